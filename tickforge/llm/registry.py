@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, simhash
+from . import decontam, line_dedup, packing, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op4_lines": line_dedup.op4_lines,
         "op5_decontam": decontam.op5_decontam,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op9_packing": packing.op9_packing,
     }
 
 
