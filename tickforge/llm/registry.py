@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, packing, simhash, toxicity
+from . import ann, decontam, line_dedup, packing, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ann": ann.op1_ann,
         "op2_simhash": simhash.op2_simhash,
         "op4_lines": line_dedup.op4_lines,
         "op5_decontam": decontam.op5_decontam,
+        "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": line_dedup.OP4_SQL, "op5_decontam": decontam.OP5_SQL}
+    return {"op4_lines": line_dedup.OP4_SQL, "op5_decontam": decontam.OP5_SQL, "op6_warc": warc.OP6_SQL}
