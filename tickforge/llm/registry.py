@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, line_dedup, packing, simhash, toxicity, warc
+from . import ann, decontam, line_dedup, packing, simhash, token_store, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_ann": ann.op1_ann,
         "op2_simhash": simhash.op2_simhash,
+        "op3_token_store": token_store.op3_token_store,
         "op4_lines": line_dedup.op4_lines,
         "op5_decontam": decontam.op5_decontam,
         "op6_warc": warc.op6_warc,
