@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, line_dedup, packing, simhash, token_store, toxicity, warc
+from . import ann, decontam, line_dedup, packing, simhash, substring_dedup, token_store, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_packing": packing.op9_packing,
+        "op10_substring": substring_dedup.op10_substring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": line_dedup.OP4_SQL, "op5_decontam": decontam.OP5_SQL, "op6_warc": warc.OP6_SQL}
+    return {"op4_lines": line_dedup.OP4_SQL, "op5_decontam": decontam.OP5_SQL, "op6_warc": warc.OP6_SQL, "op10_substring": substring_dedup.OP10_SQL}
