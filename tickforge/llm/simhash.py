@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import mix, ranges, save, shuffle_partitions
 
 BITS = 64
 CELL_HOMES, CELL_COPIES = 8192, 32768
@@ -111,50 +111,65 @@ def forest(homes: np.ndarray, copies: np.ndarray, threshold: int) -> np.ndarray:
 
 
 def links(nodes: DataFrame, threshold: int = 4, blocks: int | None = None) -> DataFrame:
-    """(u, v), u > v: links whose components are those of all pairs of `nodes`.fp within the threshold."""
+    """(u, v), u > v: links whose components are those of all pairs of `nodes`.fp within the threshold.
+
+    A row that is shuffled holds all fingerprints of a batch that go to one cell, 8 bytes each.
+    """
     spark = nodes.sparkSession
     blocks = blocks or blocks_for(nodes.count())
+    nodes = nodes.select("fp").repartition(4 * shuffle_partitions(spark))
 
-    def copy(batches):
+    def by_anchor(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(fps), 8192):
                 part = fps[i : i + 8192]
                 rows, anchors = anchor_copies(part.view(np.uint64), blocks, threshold)
-                is_home = np.arange(len(rows)) < len(part)
-                for j in range(0, len(rows), 1 << 18):
-                    k = slice(j, j + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchors[k].astype(np.int32)), pa.array(part[rows[k]]), pa.array(is_home[k])], names=["anchor", "fp", "home"])
-
-    copies = nodes.select("fp").mapInArrow(copy, "anchor int, fp long, home boolean")
-    # At most 2^blocks <= 65,536 anchors: their sizes are bounded whatever the input.
-    sizes = copies.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("copies"))
-    large = {r.anchor: (-(-r.homes // CELL_HOMES), -(-r.copies // CELL_COPIES)) for r in sizes.where((F.col("homes") > CELL_HOMES) | (F.col("copies") > CELL_COPIES)).collect()}
-    cells = spark.createDataFrame([(a, int(p), int(q)) for a, (p, q) in large.items()], "anchor int, p int, q int")
-    placed = (
-        copies.join(F.broadcast(cells), "anchor", "left")
-        .withColumn("p", F.coalesce("p", F.lit(1)))
-        .withColumn("q", F.coalesce("q", F.lit(1)))
-        .withColumn("salt", F.abs(F.xxhash64("fp")))
-        .select(
-            "anchor", "fp",
-            F.explode(
-                F.concat(
-                    F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct((F.col("salt") % F.col("p")).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("home")))).otherwise(F.expr("cast(array() as array<struct<i:int,j:int,home:boolean>>)")),
-                    F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(i.alias("i"), (F.col("salt") % F.col("q")).cast("int").alias("j"), F.lit(False).alias("home"))),
-                )
-            ).alias("c"),
-        )
-        .select("anchor", "fp", "c.i", "c.j", "c.home")
-    )
+                yield part, rows, anchors
+
+    def count(batches):
+        homes, copies = np.zeros(1 << blocks, np.int64), np.zeros(1 << blocks, np.int64)
+        for part, rows, anchors in by_anchor(batches):
+            homes += np.bincount(anchors[: len(part)], minlength=len(homes))
+            copies += np.bincount(anchors, minlength=len(copies))
+        used = np.flatnonzero(copies)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(homes[used]), pa.array(copies[used])], names=["anchor", "homes", "copies"])
+
+    # At most 2^blocks <= 65,536 anchors: what the driver takes is bounded whatever the input.
+    sizes = nodes.mapInArrow(count, "anchor long, homes long, copies long").groupBy("anchor").agg(F.sum("homes").alias("homes"), F.sum("copies").alias("copies"))
+    parts = np.ones((2, 1 << blocks), np.int64)
+    for r in sizes.where((F.col("homes") > CELL_HOMES) | (F.col("copies") > CELL_COPIES)).collect():
+        parts[:, r.anchor] = -(-r.homes // CELL_HOMES), -(-r.copies // CELL_COPIES)
+    held = spark.sparkContext.broadcast(parts)
+
+    def copy(batches):
+        p, q = held.value
+        for part, rows, anchors in by_anchor(batches):
+            salt = mix(part.view(np.uint64))
+            for home in (True, False):  # homes go to one i and every j, copies to every i and one j
+                r, a = (rows[: len(part)], anchors[: len(part)]) if home else (rows, anchors)
+                own, every = (p, q) if home else (q, p)
+                times = every[a]
+                r, a, other = np.repeat(r, times), np.repeat(a, times), ranges(np.zeros(len(a), np.int64), times)
+                mine = (salt[r] % own[a].astype(np.uint64)).astype(np.int64)
+                i, j = (mine, other) if home else (other, mine)
+                cell = a << 40 | i << 20 | j
+                order = np.argsort(cell, kind="stable")
+                cell, fps = cell[order], part[r[order]]
+                first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+                blobs = [fps[x:y].tobytes() for x, y in zip(first, np.append(first[1:], len(cell)))]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array([home] * len(first)), pa.array(blobs, pa.binary())], names=["cell", "home", "fps"])
 
     def compare(cell: pa.Table) -> pa.Table:
-        fps = cell.column("fp").to_numpy().view(np.uint64)
         home = cell.column("home").to_numpy()
-        found = forest(fps[home], fps[~home], threshold) if home.any() else np.zeros((0, 2), np.uint64)
-        return pa.table({"u": found[:, 0].view(np.int64) if len(found) else pa.array([], pa.int64()), "v": found[:, 1].view(np.int64) if len(found) else pa.array([], pa.int64())})
-
-    return placed.groupBy("anchor", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+        blobs = cell.column("fps").to_pylist()
+        sides = [np.frombuffer(b"".join(x for x, h in zip(blobs, home) if h == side), np.uint64) for side in (True, False)]
+        found = forest(*sides, threshold) if len(sides[0]) else np.zeros((0, 2), np.uint64)
+        found = np.ascontiguousarray(found.T).view(np.int64)
+        return pa.table({"u": found[0], "v": found[1]})
+
+    cells = nodes.mapInArrow(copy, "cell long, home boolean, fps binary")
+    return cells.groupBy("cell").applyInArrow(compare, "u long, v long").distinct()
 
 
 def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
