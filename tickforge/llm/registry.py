@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, line_dedup, packing, simhash, substring_dedup, token_store, toxicity, warc
+from . import ann, decontam, katz, line_dedup, packing, simhash, substring_dedup, token_store, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_decontam": decontam.op5_decontam,
         "op6_warc": warc.op6_warc,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_katz": katz.op8_katz,
         "op9_packing": packing.op9_packing,
         "op10_substring": substring_dedup.op10_substring,
     }
