@@ -1,9 +1,15 @@
-"""Queries by name."""
+"""Queries by name, and DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from . import market, volume
+
+_ALL = {**volume.QUERIES, **market.QUERIES}
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _ALL.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: text for name, (_, text) in _ALL.items()}
