@@ -30,23 +30,31 @@ def rate_limits(requests: DataFrame, limit: int = LIMIT, window: str = LIMIT_WIN
     return found.select("client", F.col("w.start").alias("ts"), "n", F.least("n", F.lit(limit)).alias("allowed"), F.greatest(F.col("n") - limit, F.lit(0)).alias("rejected"))
 
 
-def cached_lookups(requests: DataFrame, ttl_seconds: int) -> DataFrame:
-    """(key, ts, hit) for a stream of requests (key, ts): a request within `ttl_seconds` of the last miss of its key is a hit."""
+def cached_lookups(requests: DataFrame, ttl_seconds: int, late: str = "10 minutes") -> DataFrame:
+    """(key, ts, hit) for a stream of requests (key, ts): a request within `ttl_seconds` of the last miss of its key is a hit.
+
+    A key's state goes once the watermark, `late` behind the newest request, has passed its expiry.
+    """
 
     def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         filled = state.get[0] if state.exists else None
         for pdf in batches:
-            pdf, hits = pdf.sort_values("ts"), []
-            for at in pdf.ts.astype("int64") // 10**3 if str(pdf.ts.dtype) == "datetime64[ns]" else pdf.ts.astype("int64"):
+            pdf = pdf.sort_values("ts")
+            hits = []
+            for at in pdf.ts.astype("datetime64[us]").astype("int64"):
                 hit = filled is not None and 0 <= at - filled < ttl_seconds * 10**6
                 if not hit:
                     filled = int(at)
                 hits.append(hit)
             yield pd.DataFrame({"key": key[0], "ts": pdf.ts, "hit": hits})
         state.update((filled,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        state.setTimeoutTimestamp(max(filled // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("key").applyInPandasWithState(serve, "key string, ts timestamp, hit boolean", "filled long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.withWatermark("ts", late).groupBy("key")
+    return rows.applyInPandasWithState(serve, "key string, ts timestamp, hit boolean", "filled long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def polling(writer, market_is_open: bool):
