@@ -11,7 +11,7 @@ alone (multiple-instance learning) and clean ones by all of theirs. A final fit
 document's greatest logit into a probability at the classes' true shares.
 
 Training takes a bounded sample: at most `per_class` labelled documents of either class, those whose ids have
-the smallest hashes. Scoring takes every document, whole: a map without a shuffle. The model is one number for
+the smallest hashes; one task trains on it, and the driver gets the model alone. Scoring takes every document, whole: a map without a shuffle. The model is one number for
 each bucket once embeddings and softmax are multiplied out, 1 MB whatever the input.
 
 Nulls and edge cases: null and empty texts score by an empty span (logit of the offset); null labels and ids
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _powers, crc_remainder, mix
+from .common import _BASE, _BYTE, _powers, crc_remainder, fresh, mix
 
 BUCKETS, DIM, SPAN, GRAMS = 1 << 17, 8, 5, (3, 4, 5, 6)
-PER_CLASS = 3000
+PER_CLASS = 2000
 CACHE = 400_000
 EDGES = bytes(set(range(128)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 
@@ -109,9 +109,14 @@ class Scorer:
 def train(texts: list[bytes], labels: np.ndarray, share: float, steps: tuple[int, int] = (60, 120), rate: float = 0.05, seed: int = 7) -> Model:
     """labels: 0 or 1 for each text, both there; share: of toxic documents among all."""
     ids: dict[bytes, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in map(clean_word, t.split()) if w], np.int64) for t in texts]
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in map(clean_word, t.split()) if w], np.int32) for t in texts]
     vocab = list(ids)
-    own, at = features(vocab)
+    own, at = [], []
+    for i in range(0, len(vocab), 20_000):
+        o, a = features(vocab[i : i + 20_000])
+        own.append((o + i).astype(np.int32))
+        at.append(a.astype(np.int32))
+    own, at = np.concatenate(own), np.concatenate(at)
     per_word = np.bincount(own, minlength=len(vocab))
     # Spans: consecutive, SPAN words each.
     words = np.concatenate(docs)
@@ -190,12 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
         return Model(None, 0.0, 1.0, constant)
     chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
     # The sample has at most 2 * per_class rows.
-    rows = docs.select(id_col, "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), id_col).where(F.length("text") > 0).dropDuplicates([id_col]).select("text", "_y").collect()
-    texts, y = [r.text.encode() for r in rows], np.array([r._y for r in rows], float)
-    if not y.sum() or y.all():
-        return Model(None, 0.0, 1.0, constant)
-    order = sorted(range(len(rows)), key=lambda i: texts[i])
-    return train([texts[i] for i in order], y[order], constant)
+    rows = docs.select(id_col, "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), id_col).where(F.length("text") > 0).dropDuplicates([id_col])
+
+    def learn(batches):
+        found = sorted((t.as_py().encode(), y.as_py()) for b in batches for t, y in zip(b.column(0), b.column(1)))
+        y = np.array([y for _, y in found], float)
+        if len(found) and 0 < y.sum() < len(y):
+            m = train([t for t, _ in found], y, constant)
+            yield pa.RecordBatch.from_arrays([pa.array([m.buckets.tobytes()], pa.binary()), pa.array([m.offset]), pa.array([m.slope])], names=["buckets", "offset", "slope"])
+
+    got = rows.select("text", "_y").repartition(1).mapInArrow(learn, "buckets binary, offset double, slope double").collect()
+    return Model(np.frombuffer(got[0].buckets, np.float32), got[0].offset, got[0].slope, constant) if got else Model(None, 0.0, 1.0, constant)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -224,4 +234,5 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs that score below the threshold."""
-    return score(docs, fit(docs, labels), out="_score").where(F.col("_score") < threshold).select(docs.columns)
+    name = fresh(docs, "score")
+    return score(docs, fit(docs, labels), out=name).where(F.col(name) < threshold).select(docs.columns)
