@@ -236,7 +236,9 @@ def ask_alpha(batches, buckets: tuple[int, int], n_buckets: int):
             need[np.searchsorted(all_h, needs)] = True
             cuts = cut(all_h, n_buckets)
             out = [(k, batch.bid, all_h[i:j].tobytes(), [narrow(s[i:j].astype(np.int64)) for s in sums], np.packbits(need[i:j]).tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary()))], names=["bucket", "bid", "hashes", "sums", "need"])
+            if out:
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "bid", "hashes", "sums", "need"])
 
 
 def alpha(sums: np.ndarray, total: np.ndarray, totals: Totals) -> np.ndarray:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, shuffle_partitions
+from .common import fresh, save, shuffle_partitions
 
 WHITE = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
@@ -142,10 +142,11 @@ def keep_bitmaps(dropped: DataFrame) -> DataFrame:
     return dropped.groupBy("doc").agg(F.collect_set("pos").alias("pos")).mapInArrow(pack, "doc long, bitmap binary")
 
 
-def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs and a column keep_bitmap, null for documents that lose nothing."""
-    bitmaps = keep_bitmaps(dropped_lines(docs, id_col, text_col, min_chars, min_docs)).select(F.col("doc").alias("_doc"), F.col("bitmap").alias("keep_bitmap"))
-    return docs.join(bitmaps, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
+def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, out: str = "keep_bitmap") -> DataFrame:
+    """docs and a column of bitmaps, null for documents that lose nothing."""
+    key = fresh(docs, "_doc")
+    bitmaps = keep_bitmaps(dropped_lines(docs, id_col, text_col, min_chars, min_docs)).select(F.col("doc").alias(key), F.col("bitmap").alias(out))
+    return docs.join(bitmaps, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col(key), "left").drop(key)
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
@@ -159,15 +160,16 @@ def kept_text(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
 
 def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with the text of the kept lines (n_chars, if there, follows); all rows and columns stay, an untouched text stays as it is."""
-    marked = with_bitmaps(docs, min_chars=min_chars, min_docs=min_docs)
+    mark = fresh(docs, "keep_bitmap")
+    marked = with_bitmaps(docs, min_chars=min_chars, min_docs=min_docs, out=mark)
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
         return pd.Series([t if m is None else kept_text(t, m)[0] for t, m in zip(text, bitmap)], dtype=object)
 
-    out = marked.withColumn("text", F.when(F.col("keep_bitmap").isNull(), F.col("text")).otherwise(kept("text", "keep_bitmap")))
+    out = marked.withColumn("text", F.when(F.col(mark).isNull(), F.col("text")).otherwise(kept("text", mark)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("keep_bitmap").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        out = out.withColumn("n_chars", F.when(F.col(mark).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(docs.columns)
 
 

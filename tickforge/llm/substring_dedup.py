@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, hash_windows, hash_words, ranges, save, shuffle_partitions, split_words, text_runs
+from .common import SPACED, fresh, hash_windows, hash_words, ranges, save, shuffle_partitions, split_words, text_runs
 
 WINDOW, GRAM, HOT, SHARD_WORDS, BATCH_BYTES = 50, 10, 2000, 40_000, 1 << 20
 
@@ -356,10 +356,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return parts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans")).mapInArrow(merge, "doc long, spans binary")
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs and a column spans, null for documents that lose nothing."""
-    spans = removed_spans(docs, id_col, text_col, window).withColumnRenamed("doc", "_doc").withColumnRenamed("spans", "removed_spans")
-    return docs.join(spans, docs[id_col].cast("long") == F.col("_doc"), "left").drop("_doc")
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, out: str = "removed_spans") -> DataFrame:
+    """docs and a column of spans, null for documents that lose nothing."""
+    key = fresh(docs, "_doc")
+    spans = removed_spans(docs, id_col, text_col, window).select(F.col("doc").alias(key), F.col("spans").alias(out))
+    return docs.join(spans, docs[id_col].cast("long") == F.col(key), "left").drop(key)
 
 
 def kept_words(text: str | None, spans: bytes | None) -> tuple[list[bytes], int]:
