@@ -44,11 +44,11 @@ def rsi_14(spark, d):
 
 
 def daily_changes(spark, d):
-    return indicators.with_change(adapters.daily_bars(spark, d)).select("symbol", "ts", r("change"))
+    return indicators.with_change(adapters.daily_bars(spark, d)).select("symbol", "ts", "change")
 
 
 def daily_returns(spark, d):
-    return indicators.with_returns(adapters.daily_bars(spark, d)).where("ret is not null").select("symbol", "ts", r("ret", 6))
+    return indicators.with_returns(adapters.daily_bars(spark, d)).where("ret is not null").select("symbol", "ts", "ret")
 
 
 def bar_direction(spark, d):
@@ -134,8 +134,8 @@ QUERIES = {
     "ema_12_26": (ema_12_26, f"WITH RECURSIVE {sql.BARS}, {sql.ema(12)}, {sql.ema(26)} SELECT b.symbol, b.ts, round(a.v, 4) AS ema_12, round(c.v, 4) AS ema_26 FROM bars b LEFT JOIN ema_12 a USING (symbol, rn) LEFT JOIN ema_26 c USING (symbol, rn)"),
     "ema_latest": (ema_latest, f"WITH RECURSIVE {sql.BARS}, {sql.ema(12)} SELECT symbol, round(arg_max(v, rn), 4) AS ema FROM ema_12 GROUP BY symbol"),
     "rsi_14": (rsi_14, f"WITH {sql.INDICATORS} SELECT symbol, ts, round(rsi_14, 4) AS rsi_14 FROM rsi"),
-    "daily_changes": (daily_changes, f"WITH {sql.INDICATORS} SELECT symbol, ts, round(c, 4) AS change FROM changed"),
-    "daily_returns": (daily_returns, f"WITH {sql.BARS}, x AS (SELECT symbol, ts, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars) SELECT symbol, ts, round((close - p) / nullif(p, 0), 6) AS ret FROM x WHERE (close - p) / nullif(p, 0) IS NOT NULL"),
+    "daily_changes": (daily_changes, f"WITH {sql.INDICATORS} SELECT symbol, ts, c AS change FROM changed"),
+    "daily_returns": (daily_returns, f"WITH {sql.BARS}, x AS (SELECT symbol, ts, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars) SELECT symbol, ts, (close - p) / nullif(p, 0) AS ret FROM x WHERE (close - p) / nullif(p, 0) IS NOT NULL"),
     "bar_direction": (bar_direction, f"WITH {sql.BARS}, m AS (SELECT symbol, date_trunc('month', ts)::TIMESTAMP AS ts, arg_min(close, rn) AS open, arg_max(close, rn) AS close FROM bars GROUP BY 1, 2) SELECT symbol, ts, open, close, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM m"),
     "ohlc_weekly": (ohlc_weekly, f"WITH {sql.BARS} SELECT symbol, date_trunc('week', ts)::TIMESTAMP AS ts, arg_min(close, rn) AS open, max(close) AS high, min(close) AS low, arg_max(close, rn) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2"),
     **{
