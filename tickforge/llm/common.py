@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One Arrow batch is worked on in runs of documents of about so many bytes, to bound a task's memory.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
-from .tokens import default_path, encoded
+from .tokens import default_path, encoded, small_batches
 
 WINDOW, SHARD, QUERY_TERMS, NEAREST = 2048, 2048, 32, 64
 K1, B = 1.2, 0.75
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, window: int = WIN
     """(id, start, length, doc_tokens, crc, ids): full windows (crc, no ids) and remainders (ids as 4- or 2-byte integers)."""
 
     def work(batches):
-        for b in batches:
+        for b in small_batches(batches):
             rows = []
             for i, ids, dtype in encoded(b.column(1).cast(pa.binary()), path, kind, end_id):
                 n, w = len(ids) // dtype.itemsize, dtype.itemsize

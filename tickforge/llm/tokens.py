@@ -7,14 +7,24 @@ Strings of special tokens in a text are ordinary text. Ids are packed as little-
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import unicodedata
+from array import array
 
 import numpy as np
+import pyarrow as pa
 
-#: Words that a worker remembers; it then starts anew.
+from .common import LOWER, RUN_BYTES, SPACED, bytes_of, ranges, runs
+
+#: Words that a worker remembers (some 100 MB); common ones come early.
 CACHE = 500_000
 #: White space other than single spaces and line feeds: such texts are encoded whole.
 ODD = re.compile(rb"[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8\xa9\xaf]|\x81[\x9f\xa0])|\xe3\x80\x80|\xef\xbb\xbf")
+#: Bytes that such white space begins with, in UTF-8.
+SUSPECT = np.zeros(256, bool)
+SUSPECT[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 MARKS = frozenset(b".,;:!?")
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -25,64 +35,119 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> str:
+    """The character that byte-level models use for each byte: itself if printable, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(other)) for b in range(256))
+
+
 class Encoder:
-    """kind 'word': lower-casing, drops white space. kind 'byte': byte-level, a word takes the space before it."""
+    """Packed ids of texts; `known` has those of the units met so far.
+
+    kind 'word': lower-casing, drops white space; a unit is a word. kind 'byte': byte-level, a word takes the space
+    before it; a unit is a word without that space, or a line feed or (at a text's start) a zero byte and a word.
+    Letters alone are one token of the pre-tokenizer, so the library's model encodes them directly; all else goes
+    through the whole library.
+    """
 
     def __init__(self, path: str, kind: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kind, self.known = kind, {}
+        self.tokenize, self.alphabet, self.kind = self.library.model.tokenize, byte_alphabet(), kind
+        self.known: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _text_of(self, unit: bytes) -> str:
-        """The text that a unit of `_units` stands for."""
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.marks = {m: self._library(chr(m)) for m in MARKS}
+        self.line = self._library("\n")
+        self.space = self.alphabet[32] if kind == "byte" else ""
+
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _library(self, text: str) -> bytes:
+        return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, body: bytes) -> str | None:
+        """The body in the model's alphabet if the pre-tokenizer leaves it whole and no normalizer changes it."""
+        if body.isalpha():
+            return body.decode()
+        text = body.decode()
+        if text.isalpha() and (self.kind == "byte" or (text.lower() == text and unicodedata.is_normalized("NFC", text))):
+            return body.decode("latin-1").translate(self.alphabet)
+        return None
+
+    def _learn(self, unit: bytes) -> bytes:
+        lead, body, space = b"", unit, self.space
+        if self.kind == "byte" and unit and unit[0] in (0, 10):
+            lead, body, space = self.line if unit[0] else b"", unit[1:], ""
+        letters = self._letters(body)
+        if letters is not None:
+            ids = lead + self._pack([t.id for t in self.tokenize(space + letters)])
+        elif len(body) > 1 and body[-1] in MARKS and body[-2] in LETTERS:  # a mark after a letter is always a token of its own
+            ids = (self.known.get(unit[:-1]) or self._learn(unit[:-1])) + self.marks[body[-1]]
+        elif self.kind == "byte":
+            ids = self._library(unit[1:].decode() if unit[:1] == b"\0" else unit.decode() if unit[:1] == b"\n" else " " + unit.decode())
+        else:
+            ids = self._library(unit.decode())
+        if len(self.known) < CACHE:
+            self.known[unit] = ids
+        return ids
+
+    def _units(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts side by side, and where each text's begin."""
+        data = np.frombuffer(b"\0" + b"\0".join(texts), np.uint8)
         if self.kind == "word":
-            return unit.decode()
-        return unit[1:].decode() if unit[:1] == b"\0" else unit.decode() if unit[:1] == b"\n" else " " + unit.decode()
-
-    def _units(self, text: bytes) -> list[bytes] | None:
+            data = LOWER[data]
+            inside = SPACED[data]
+            inside[data == 0] = False
+            starts = inside.copy()
+            starts[1:] &= ~inside[:-1]
+        else:
+            inside = data != 32
+            starts = (data == 0) | (data == 10)
+            starts[1:] |= ~inside[:-1]
+        begins = np.flatnonzero(starts)
+        ends = np.flatnonzero(data == 0)
+        kept = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        offsets = np.append(kept[begins] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+        return words, np.searchsorted(begins, np.append(ends, len(data)))
+
+    def _odd(self, texts: list[bytes]) -> list[bool]:
+        """Which texts have to be encoded whole: zero bytes, and for 'byte' white space other than single spaces and line feeds."""
         if self.kind == "word":
-            return text.lower().split()
-        if ODD.search(text):
-            return None
-        return (b"\0" + text.replace(b"\n", b" \n")).split(b" ")
-
-    def _learn(self, units: set[bytes]) -> None:
-        known = self.known
-        if len(known) + len(units) > CACHE:
-            known.clear()
-        # A mark after a letter is always a token of its own.
-        split = {u for u in units if len(u) > 2 and u[-1] in MARKS and u[-2] in LETTERS}
-        plain = sorted((units - split) | {u for u in (s[:-1] for s in split) if u not in known})
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            known.update(zip(part, self._library([self._text_of(u) for u in part])))
-        marks = {m: e for m, e in zip(MARKS, self._library([chr(m) for m in MARKS]))}
-        for u in split:
-            known[u] = known[u[:-1]] + marks[u[-1]]
+            return [b"\0" in t for t in texts]
+        data = np.frombuffer(b"\0" + b"\0".join(texts), np.uint8)
+        ends = np.cumsum([0] + [len(t) + 1 for t in texts])
+        space = (data == 32) | (data == 10)
+        look = SUSPECT[data]
+        look[1:] |= space[1:] & space[:-1]
+        suspects = set((np.searchsorted(ends, np.flatnonzero(look), "right") - 1).tolist())
+        return [t[-1:] == b" " or (i in suspects and ODD.search(t) is not None) or b"\0" in t for i, t in enumerate(texts)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The packed ids of each text."""
-        units = [self._units(t) for t in texts]
-        get = self.known.get
-        rows = [None if u is None else list(map(get, u)) for u in units]
-        missing = {w for u, r in zip(units, rows) if r is not None and None in r for w, v in zip(u, r) if v is None}
-        if missing:
-            before = len(self.known)
-            self._learn(missing)
-            if len(self.known) < before:  # it started anew
-                self._learn({w for u in units if u is not None for w in u} - self.known.keys())
-            rows = [r if r is None or None not in r else list(map(self.known.__getitem__, u)) for u, r in zip(units, rows)]
-        whole = [i for i, u in enumerate(units) if u is None]
-        out = [b"" if r is None else b"".join(r) for r in rows]
-        for i, ids in zip(whole, self._library([texts[i].decode() for i in whole])):
-            out[i] = ids
-        return out
+        """The packed ids of each text; a unit that recurs among the texts is looked up once."""
+        odd = self._odd(texts)
+        words, first = self._units([b"" if o else t for t, o in zip(texts, odd)])
+        coded = words.dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, units))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self._learn(units[i])
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        flat = np.frombuffer(b"".join(ids), self.dtype)[ranges((np.cumsum(sizes) - sizes)[at], counts)].tobytes()
+        cuts = (np.append(0, np.cumsum(counts))[first] * width).tolist()
+        return [self._library(t.decode()) if o else flat[i:j] for t, o, i, j in zip(texts, odd, cuts[:-1], cuts[1:])]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -95,11 +160,18 @@ def encoder(path: str, kind: str) -> Encoder:
     return _ENCODERS[path, kind]
 
 
+def small_batches(batches, rows: int = 2000):
+    """Parts of Arrow batches, so that a task holds few encoded texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def encoded(texts, path: str, kind: str, end_id: int):
     """(row, packed ids with end_id appended, dtype) for each text of an Arrow column; nulls are empty."""
     e = encoder(path, kind)
     end = np.array([end_id], e.dtype).tobytes()
-    for i in range(0, len(texts), 128):
-        part = [(t.as_py() or b"") for t in texts[i : i + 128]]
-        for k, ids in enumerate(e.encode(part)):
+    _, offsets = bytes_of(texts)
+    for i, j in runs(offsets, 4 * RUN_BYTES):
+        for k, ids in enumerate(e.encode([t or b"" for t in texts[i:j].to_pylist()])):
             yield i + k, ids + end, e.dtype
