@@ -126,3 +126,8 @@ def equal_weight(n: Column, position: Column) -> Column:
     """Whole percents for n members that add up to 100: the last takes what rounding leaves. position counts from 1."""
     each = F.floor(F.lit(100.0) / n + 0.5)
     return F.when(position == n, 100 - each * (n - 1)).otherwise(each).cast("int")
+
+
+def order_of(key: Column, keys: list[str], default: int = 99) -> Column:
+    """The place of a key in a fixed order, from 0; unknown keys come last."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for i, k in enumerate(keys) for x in (k, i))), key), F.lit(default))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import dims, static_tables
@@ -79,6 +79,11 @@ def spikes(days: DataFrame, top: int | None = TOP, least: float = SPIKE, min_day
     return found.orderBy(F.desc("deviation"), "date").limit(top) if top else found
 
 
+def numbered(top: DataFrame) -> DataFrame:
+    """The top spikes in order of their days, numbered from 1; there are at most TOP of them."""
+    return top.withColumn("number", F.row_number().over(Window.orderBy("date")))
+
+
 def nearest_event(days: DataFrame, events: DataFrame | None = None, reach: int = REACH_DAYS) -> DataFrame:
     """days (date, ...) and the event nearest to each within `reach` days, else a default text; the event listed first wins ties.
 

@@ -79,3 +79,8 @@ def metrics(values: DataFrame, amount: float, start: str, end: str, risk_free: f
         ((last - amount) / amount * 100).alias("total_return"), cagr(F.lit(float(amount)), last, years).alias("cagr"),
         F.greatest(F.lit(0.0), F.max("drawdown")).alias("max_drawdown"), volatility(F.col("ret"), per_year).alias("volatility"), sharpe(F.col("ret"), risk_free, per_year).alias("sharpe"), F.count("*").alias("n"),
     ).where("n > 0").drop("n")
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """metrics and whether return and yearly growth are positive (0 is) and the Sharpe ratio is good (1 or more)."""
+    return found.withColumns({"return_class": scalar.sign_class(F.col("total_return")), "cagr_class": scalar.sign_class(F.col("cagr")), "sharpe_class": F.when(F.col("sharpe") >= 1, "good").otherwise("weak")})

@@ -114,6 +114,11 @@ def portfolio_metrics(spark, d):
     return portfolio.metrics(values, AMOUNT, START, END).select(*(r(c) for c in ("total_return", "cagr", "max_drawdown", "volatility", "sharpe")))
 
 
+def portfolio_classes(spark, d):
+    values = portfolio.simulate(adapters.daily_bars(spark, d), WEIGHTS, AMOUNT, START, END)
+    return portfolio.classes(portfolio.metrics(values, AMOUNT, START, END)).select("return_class", "cagr_class", "sharpe_class")
+
+
 def max_drawdown(spark, d):
     return portfolio.max_drawdown(adapters.daily_bars(spark, d), ["symbol"], "ts", "close").select("symbol", r("max_drawdown"))
 
@@ -217,4 +222,11 @@ v AS (SELECT arg_max(value, i) AS last, greatest(0, max((peak - value) / peak *
 SELECT round((last - {AMOUNT}) / {AMOUNT} * 100, 4) AS total_return, round((power(last / {AMOUNT}, 1 / (date_diff('day', DATE '{START}', DATE '{END}') / 365.25)) - 1) * 100, 4) AS cagr,
   round(dd, 4) AS max_drawdown, round(vol * 100, 4) AS volatility, round(CASE WHEN vol = 0 THEN 0 ELSE (m * 252 - 0.05) / vol END, 4) AS sharpe FROM v WHERE last IS NOT NULL""",
     ),
+    "portfolio_classes": (
+        portfolio_classes,
+        f"""WITH {_SIM}, x AS (SELECT i, value, value / lag(value) OVER (ORDER BY i) - 1 AS ret, max(value) OVER (ORDER BY i) AS peak FROM sim),
+v AS (SELECT arg_max(value, i) AS last, greatest(0, max((peak - value) / peak * 100)) AS dd, coalesce(stddev_samp(ret), 0) * sqrt(252) AS vol, avg(ret) AS m FROM x)
+SELECT CASE WHEN last >= {AMOUNT} THEN 'positive' ELSE 'negative' END AS return_class, CASE WHEN last >= {AMOUNT} THEN 'positive' ELSE 'negative' END AS cagr_class,
+  CASE WHEN CASE WHEN vol = 0 THEN 0 ELSE (m * 252 - 0.05) / vol END >= 1 THEN 'good' ELSE 'weak' END AS sharpe_class FROM v WHERE last IS NOT NULL""",
+    ),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import liquidity, portfolio
+from ..operators import liquidity, timeframe
 from ..sources import adapters, dims, readers, static_tables
 from ..streaming import streams
 from . import sql
@@ -42,6 +42,25 @@ def spike_days(spark, d):
     return liquidity.spikes(adapters.order_days(spark, d), top=None).select("date", r("total_volume"), r("deviation", 6))
 
 
+def spikes_numbered(spark, d):
+    return liquidity.numbered(liquidity.spikes(adapters.order_days(spark, d))).select("date", "number", scalar.month_day(F.col("date")).alias("label"))
+
+
+def ticker_point(spark, d):
+    return readers.point(_quotes(spark, d), FUTURES).select("symbol", "price", "volume", "ts")
+
+
+def source_order(spark, d):
+    """Sources by their place in a legend that leaves some out."""
+    place = scalar.order_of(F.col("key"), ["mining", "jewelry", "institutional"])
+    return dims.sources(spark).select("key", "name", place.cast("int").alias("place"))
+
+
+def price_chart(spark, d):
+    bars = timeframe.in_range(timeframe.resample(adapters.ticks(spark, d), "1h"), "1W", adapters.TICKS_AS_OF)
+    return bars.select("symbol", "ts", "open", "high", "low", "close", "volume", scalar.bar_direction(F.col("open"), F.col("close")).alias("direction"))
+
+
 def nearest_events(spark, d):
     days = adapters.tick_days(spark, d).select("date").distinct()
     return liquidity.nearest_event(days).select("date", "event_date", "title")
@@ -180,6 +199,10 @@ QUERIES = {
     ),
     "spikes_topk": (spikes_topk, f"WITH {_ORDERS}, {_SPIKES.format('order_days')} SELECT date, round(total_volume, 4) AS total_volume, round(deviation, 6) AS deviation FROM spikes ORDER BY spikes.deviation DESC, date LIMIT 6"),
     "spike_days": (spike_days, f"WITH {_ORDERS}, {_SPIKES.format('order_days')} SELECT date, round(total_volume, 4) AS total_volume, round(deviation, 6) AS deviation FROM spikes"),
+    "spikes_numbered": (spikes_numbered, f"WITH {_ORDERS}, {_SPIKES.format('order_days')}, top AS (SELECT date FROM spikes ORDER BY deviation DESC, date LIMIT 6) SELECT date, CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS number, strftime(date, '%m-%d') AS label FROM top"),
+    "ticker_point": (ticker_point, "SELECT event_type AS symbol, arg_max(value, (ts, event_id)) AS price, CAST(count(*) AS DOUBLE) AS volume, max(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY 1"),
+    "source_order": (source_order, f"WITH {sql.SOURCES} SELECT key, name, CAST(CASE key WHEN 'mining' THEN 0 WHEN 'jewelry' THEN 1 WHEN 'institutional' THEN 2 ELSE 99 END AS INTEGER) AS place FROM sources"),
+    "price_chart": (price_chart, f"WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2) SELECT *, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM b WHERE ts BETWEEN TIMESTAMP '{adapters.TICKS_AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{adapters.TICKS_AS_OF}'"),
     "nearest_events": (nearest_events, f"WITH {sql.EVENTS}, s AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events) SELECT s.date, e.event_date, coalesce(e.title, {_TITLE}) AS title FROM s {_NEAREST}"),
     "liquidity_summary": (liquidity_summary, f"WITH {sql.HISTORY}, one AS (SELECT coalesce(sum(total_volume), 0) AS total_volume, coalesce(avg(total_volume), 0) AS avg_daily_volume, count(*) AS trading_days FROM history) SELECT round(total_volume, 4) AS total_volume, round(avg_daily_volume, 4) AS avg_daily_volume, trading_days, {_SHARES} FROM one"),
     "snapshot_instruments": (snapshot_instruments, f"WITH {_QUOTES} SELECT symbol, CASE WHEN symbol = 'purchase' THEN 'Purchase Futures' ELSE short_name END AS name, volume, round(volume * price * CASE WHEN symbol = 'purchase' THEN 100 ELSE 1 END, 4) AS dollar_volume, price FROM quotes"),
