@@ -11,14 +11,14 @@ next list, less its own offset, cuts them down. With slop > 0 a term may stand u
 (proximity matches); with 0 matches are exact phrases.
 
 Nulls and edge cases: a null text has no words; an item without words has no window, one of fewer words than a
-window is one window; extra columns stay out; repeated rows of documents are judged each alike, repeated items
-count once; empty tables give no hits or no rows; a null item_id is left out.
+window is one window; extra columns stay out; repeated rows of documents are judged alike (and become one row each if the test
+set takes several blocks), repeated items count once; empty tables give no hits or no rows; a null item_id is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -173,9 +173,9 @@ def blocks_of(benchmark: DataFrame, window: int, id_col: str, text_col: str):
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, hits array of (start, length), items array): one row a document and block of test items."""
+    """(id, n_words, hits array of (start, length), items array): one row a document, hits in order of their starts."""
     spark = docs.sparkSession
-    out = None
+    parts = []
     for names, windows in blocks_of(benchmark, window, item_col, item_text):
         path = build_index(docs, np.unique(windows[windows > 0]), window + 2 * slop, id_col, text_col)
         held = spark.sparkContext.broadcast((names["item"].astype(str).to_numpy(object), names["n"].to_numpy(np.int64), windows))
@@ -195,9 +195,12 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array(hits, kind), pa.array(own, pa.list_(pa.string()))], names=[id_col, "n_words", "hits", "items"])
 
-        part = spark.read.schema(SEGMENT).parquet(path).mapInArrow(search, f"{id_col} long, n_words long, hits array<struct<start:long,length:long>>, items array<string>")
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(spark.read.schema(SEGMENT).parquet(path).mapInArrow(search, f"{id_col} long, n_words long, hits array<struct<start:long,length:long>>, items array<string>"))
+    if len(parts) == 1:
+        return parts[0]
+    # A group is one document's row of each block of test items.
+    grouped = reduce(DataFrame.unionByName, parts).groupBy(id_col, "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    return grouped.select(id_col, "n_words", F.array_sort(F.array_distinct("hits")).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def covered(hits, n_words: int) -> int:
@@ -224,15 +227,7 @@ def op5_decontam(spark, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return merged(found).mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def merged(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row a document, if the test items came in several blocks; a group is a document's blocks."""
-    if found._jdf.queryExecution().analyzed().nodeName() != "Union":
-        return found
-    grouped = found.groupBy(id_col, "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    return grouped.select(id_col, "n_words", F.array_sort(F.array_distinct("hits")).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
+    return found.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -14,8 +14,8 @@ doc_id, and a word goes if any window over it goes.
 4. Each document takes the answers of its pieces, and its removed windows become spans.
 
 A shard's automaton goes to the pieces of its keys instead of to every document: other documents can't match it, and
-a broadcast to all would make the work grow as the square of the corpus. A key with more than `HOT` different pieces
-is cut into single windows, dealt over shards by their hash, so that no shard depends on one key's size.
+a broadcast to all would make the work grow as the square of the corpus. A key whose different pieces have more
+than `HOT` words is cut into single windows, dealt over shards by their hash, so that no shard depends on one key's size.
 
 Nulls and edge cases: a null text has no words; documents shorter than a window lose nothing; a document without a
 doc_id loses nothing and takes nothing from others; repeated rows of a doc_id are judged alike, none against another;
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, fresh, hash_windows, hash_words, ranges, save, shuffle_partitions, split_words, text_runs
 
-WINDOW, GRAM, HOT, SHARD_WORDS, BATCH_BYTES = 50, 10, 2000, 40_000, 1 << 20
+WINDOW, GRAM, HOT, SHARD_WORDS, BATCH_BYTES = 50, 10, 20_000, 20_000, 1 << 20
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -272,7 +272,7 @@ class Automaton:
         return np.array(out, np.int64)
 
 
-def answers(distinct: DataFrame, window: int, words: int) -> DataFrame:
+def answers(distinct: DataFrame, window: int) -> DataFrame:
     """(piece, firsts binary): for each window of each distinct piece (shard, piece, doc, text) the smallest document that has it."""
 
     def work(t: pa.Table) -> pa.Table:
@@ -306,10 +306,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Text comes with the smallest document of each batch; the smallest of all is among them.
     distinct = found.where("text is not null").groupBy("key", "piece").agg(F.min("doc").alias("doc"), F.any_value("text").alias("text"), F.any_value("n").alias("n"))
     distinct = save(distinct, "distinct")
-    hot = distinct.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > HOT)
-    shards = max(1, int((distinct.agg(F.sum(F.col("n") + (window - 1))).first()[0] or 0) // SHARD_WORDS))
+    hot = distinct.groupBy("key").agg(F.sum(F.col("n") + (window - 1)).alias("size")).where(F.col("size") > HOT)
+    shards = 1 + int((distinct.agg(F.sum(F.col("n") + (window - 1))).first()[0] or 0) // SHARD_WORDS)
     marked = distinct.join(hot, "key", "left")
-    plain = marked.where("times is null").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "piece", "doc", "text")
+    plain = marked.where("size is null").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "piece", "doc", "text")
 
     def single(batches):
         for b in batches:
@@ -318,13 +318,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 texts = [b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(texts), pa.int64()), pa.array(texts, pa.binary()), pa.array([piece] * len(texts), pa.binary()), pa.array(range(len(texts)), pa.int32())], names=["doc", "text", "of", "i"])
 
-    ones = marked.where("times is not null").select("doc", "text", "piece").mapInArrow(single, "doc long, text binary, of binary, i int").withColumn("piece", F.unhex(F.md5("text")))
-    one_text = ones.groupBy("piece").agg(F.min("doc").alias("doc"), F.any_value("text").alias("text"))
-    one_answers = answers(one_text.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(4 * shards))), window, SHARD_WORDS)
+    ones = marked.where("size is not null").select("doc", "text", "piece").mapInArrow(single, "doc long, text binary, of binary, i int").withColumn("piece", F.unhex(F.md5("text")))
+    one_text = save(ones.groupBy("piece").agg(F.min("doc").alias("doc"), F.any_value("text").alias("text")), "windows")
+    one_shards = 1 + one_text.count() * window // SHARD_WORDS
+    one_answers = answers(one_text.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(one_shards))), window)
     # A group is one piece's windows.
     gathered = ones.select("of", "i", "piece").join(one_answers, "piece").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("i", "firsts"))).alias("parts"))
     singles = gathered.select(F.col("of").alias("piece"), F.to_binary(F.array_join(F.transform("parts", lambda p: F.hex(p["firsts"])), ""), F.lit("hex")).alias("firsts"))
-    firsts = answers(plain, window, SHARD_WORDS).unionByName(singles)
+    firsts = answers(plain, window).unionByName(singles)
 
     def lost(batches):
         for b in batches:
