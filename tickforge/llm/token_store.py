@@ -18,7 +18,7 @@ of a doc_id must be equal, and are written and read back each; extra columns sta
 from __future__ import annotations
 
 import hashlib
-import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +27,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hash_windows, mix, new_path, save, shuffle_partitions
-from .tokens import default_path, encoded
+from .tokens import default_path, encoded, small_batches
 
 ROLL, LEAST, MEAN, MOST = 8, 64, 512, 4096
 NAME = 16
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of a document's ids end."""
-    n = len(ids)
-    cuts = np.flatnonzero(hash_windows(mix(ids.astype(np.uint64) + np.uint64(1)), ROLL) & np.uint64(MEAN - 1) == 0) + ROLL
-    ends, last = [], 0
-    for c in [*cuts.tolist(), n]:
-        while c - last > MOST:
-            last += MOST
-            ends.append(last)
-        if c - last >= LEAST or (c == n and c > last):
+def chunk_ends(blobs: list[bytes], dtype: np.dtype) -> list[list[int]]:
+    """Where the chunks of each document's ids end."""
+    sizes = [len(x) // dtype.itemsize for x in blobs]
+    ids = np.frombuffer(b"".join(blobs), dtype).astype(np.uint64)
+    cuts = np.flatnonzero(hash_windows(mix(ids + np.uint64(1)), ROLL) & np.uint64(MEAN - 1) == 0) + ROLL
+    begin, out = 0, []
+    where = np.searchsorted(cuts, np.cumsum([0, *sizes])).tolist()
+    all_cuts = cuts.tolist()
+    for n, i, j in zip(sizes, where[:-1], where[1:]):
+        ends, last = [], 0
+        for c in all_cuts[i : j + 1]:
+            c -= begin
+            if c - last < LEAST or c - ROLL < 0:  # a window that begins in the document before is none of its own
+                continue
+            if c >= n:
+                break
+            while c - last > MOST:
+                last += MOST
+                ends.append(last)
             last = c
             ends.append(c)
-    return ends
+        while n - last > MOST:
+            last += MOST
+            ends.append(last)
+        if n > last:
+            ends.append(n)
+        begin += n
+        out.append(ends)
+    return out
 
 
 def name_of(data: bytes) -> bytes:
@@ -68,15 +84,15 @@ def chunked_ids(docs: DataFrame, path: str, kind: str, end_id: int, id_col: str,
     """(doc_id, names, lengths, ids): one row a document."""
 
     def work(batches):
-        for b in batches:
-            names, lengths, blobs, width = [], [], [], 0
+        for b in small_batches(batches):
+            names, lengths, blobs, width, dtype = [], [], [], 0, np.dtype("<u2")
             for _, ids, dtype in encoded(b.column(1).cast(pa.binary()), path, kind, end_id):
                 width = dtype.itemsize
-                ends = chunk_ends(np.frombuffer(ids, dtype))
-                begins = [0, *ends[:-1]]
-                names.append(b"".join(name_of(ids[i * width : j * width]) for i, j in zip(begins, ends)))
-                lengths.append(np.diff([0, *ends]).astype("<u4").tobytes())
                 blobs.append(ids)
+            for ids, ends in zip(blobs, chunk_ends(blobs, dtype)):
+                begins = [0, *ends[:-1]]
+                names.append(b"".join([name_of(ids[i * width : j * width]) for i, j in zip(begins, ends)]))
+                lengths.append(array("I", [j - i for i, j in zip(begins, ends)]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.binary()) for x in (names, lengths, blobs)), pa.array([width] * len(names), pa.int32())], names=["doc_id", "names", "lengths", "ids", "width"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(work, "doc_id long, names binary, lengths binary, ids binary, width int")
@@ -178,7 +194,7 @@ def check_ranges(spark: SparkSession, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, width, ids): every document's ids, verified; start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids): every document's ids, verified, as little-endian 4-byte integers; start counts the ids of all documents before it."""
     check_ranges(spark, path)
     before = {p: m[0] for p, m in manifests(spark, path).items()}
     rows = spark.read.schema(STORED).parquet(path).where("kind = 'd'")
@@ -195,19 +211,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def rebuild(batches):
         for b in batches:
             doc, part, start, n, width, root, names, lengths, own, others = (c.to_pylist() for c in b.columns)
-            ids = [verify(m, s, r, w, o, {x["name"]: x["ids"] for x in e or ()}) for m, s, r, w, o, e in zip(names, lengths, root, width, own, others)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([before[p] + s for p, s in zip(part, start)], pa.int64()), pa.array(n, pa.int64()), pa.array(width, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "width", "ids"])
+            ids = [np.frombuffer(verify(m, s, r, w, o, {x["name"]: x["ids"] for x in e or ()}), f"<u{w}").astype("<u4").tobytes() for m, s, r, w, o, e in zip(names, lengths, root, width, own, others)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([before[p] + s for p, s in zip(part, start)], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return whole.unionByName(joined).mapInArrow(rebuild, "doc_id long, start long, n_tokens long, width int, ids binary")
+    return whole.unionByName(joined).mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op3_token_store(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "store")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, default_path("word_bpe_49k.json"), "word", 2)
-
-    def digest(batches):
-        for b in batches:
-            sums = [zlib.crc32(np.frombuffer(i, f"<u{w}").astype("<u4").tobytes()) for i, w in zip(b.column(4).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
