@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences: toxicity, line de-duplication, SimHash near-duplicates, decontamination, packing.
+"""From raw documents to packed training sequences: toxicity, line de-duplication, near-duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns of documents.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import decontam, line_dedup, packing, simhash, toxicity
+from tickforge.llm import decontam, line_dedup, near_copies, packing, toxicity
 from tickforge.llm.common import save, table
 
 
@@ -20,7 +20,7 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
