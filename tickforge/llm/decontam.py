@@ -11,8 +11,9 @@ next list, less its own offset, cuts them down. With slop > 0 a term may stand u
 (proximity matches); with 0 matches are exact phrases.
 
 Nulls and edge cases: a null text has no words; an item without words has no window, one of fewer words than a
-window is one window; extra columns stay out; repeated rows of documents are judged alike (and become one row each if the test
-set takes several blocks), repeated items count once; empty tables give no hits or no rows; a null item_id is left out.
+window is one window; extra columns stay out; rows without a doc_id are judged like others, repeated rows of documents are
+judged alike (and become one row each if the test set takes several blocks); repeated items count once; empty tables give no hits or
+no rows; a null item_id is left out.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, hash_words, new_path, split_words, text_runs
+from .common import ALNUM, LOWER, fresh, hash_words, new_path, split_words, text_runs
 
 SEGMENT_WORDS = 1 << 19
 #: Test words that a pass over the index takes: what a task holds of the test set is bounded by it.
 BLOCK_WORDS = 1 << 20
-SEGMENT = "docs binary, bases binary, n_words binary, terms binary, ends binary, places binary"
+SEGMENT = "docs binary, known binary, bases binary, n_words binary, terms binary, ends binary, places binary"
 
 
 def hashed(texts: pa.Array):
@@ -61,7 +63,7 @@ def test_windows(items: list[tuple[object, str | None]], window: int) -> tuple[p
 
 def segments(batches, terms: np.ndarray, gap: int):
     """Index rows for (id, text) batches; terms: sorted hashes of the test terms."""
-    ids, bases, counts, keep_terms, keep_places = [], [], [], [], []
+    ids, known, bases, counts, keep_terms, keep_places = [], [], [], [], [], []
     base = 0
 
     def flush():
@@ -70,11 +72,11 @@ def segments(batches, terms: np.ndarray, gap: int):
         t, p = t[order], p[order]
         ends = np.searchsorted(t, np.arange(len(terms)), "right")
         used = np.flatnonzero(np.diff(np.concatenate(([0], ends))))
-        blobs = [np.asarray(ids, np.int64), np.asarray(bases, np.int64), np.asarray(counts, np.int64), terms[used], ends[used].astype(np.int64), p.astype(np.int64)]
+        blobs = [np.asarray(ids, np.int64), np.asarray(known, bool), np.asarray(bases, np.int64), np.asarray(counts, np.int64), terms[used], ends[used].astype(np.int64), p.astype(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     for b in batches:
-        names = b.column(0).to_numpy(zero_copy_only=False)
+        names, given = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False), b.column(0).is_valid().to_numpy(zero_copy_only=False)
         for i, j, first, words in hashed(b.column(1)):
             at = np.searchsorted(terms, words)
             at[at == len(terms)] = 0
@@ -84,12 +86,13 @@ def segments(batches, terms: np.ndarray, gap: int):
             keep_terms.append(at[hit].astype(np.int32))
             keep_places.append(places[hit])
             ids += names[i:j].tolist()
+            known += given[i:j].tolist()
             bases += own.tolist()
             counts += np.diff(first).tolist()
             base = int(own[-1] + np.diff(first)[-1] + gap)
             if base >= SEGMENT_WORDS:
                 yield flush()
-                ids, bases, counts, keep_terms, keep_places, base = [], [], [], [], [], 0
+                ids, known, bases, counts, keep_terms, keep_places, base = [], [], [], [], [], [], 0
     if ids:
         yield flush()
 
@@ -193,7 +196,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0
                         hits.append([{"start": int(s), "length": int(n)} for s, n in np.unique(part[:, 1:3], axis=0)] if len(part) else [])
                         own.append(sorted(set(items[part[:, 3]])) if len(part) else [])
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array(hits, kind), pa.array(own, pa.list_(pa.string()))], names=[id_col, "n_words", "hits", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~np.frombuffer(row["known"], bool)), pa.array(counts), pa.array(hits, kind), pa.array(own, pa.list_(pa.string()))], names=[id_col, "n_words", "hits", "items"])
 
         parts.append(spark.read.schema(SEGMENT).parquet(path).mapInArrow(search, f"{id_col} long, n_words long, hits array<struct<start:long,length:long>>, items array<string>"))
     if len(parts) == 1:
@@ -231,9 +234,11 @@ def op5_decontam(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs without those in which any test window occurs."""
-    gone = spans(docs, benchmark, window).where(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows in whose text any test window occurs."""
+    row = fresh(docs, "_row")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))  # repeated rows share it, other texts of a doc_id, or of none, don't
+    gone = spans(marked, benchmark, window, id_col=row).where(F.size("hits") > 0).select(row).distinct()
+    return marked.join(gone, row, "left_anti").select(docs.columns)
 
 
 OP5_SQL = r"""
