@@ -1,18 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index of the training tokens.
 
 The index is a table of segments. A segment covers a run of documents (about `SEGMENT_WORDS` words; a longer
-document has a segment of its own) and holds, for each test term, the sorted places where it stands. Places
+document has a segment of its own) and holds, for each term of the whole test set, the sorted places where it stands. Places
 count on over the segment's documents with a gap between them, so that no match reaches over two documents.
 Each executor writes the segments of the rows it reads: no text and no token is shuffled.
 
-A search takes the test windows in blocks of bounded size. In a segment, a window's lists are intersected from
+A search takes the test windows in blocks of bounded size, and what blocks find in a row is merged by the row's segment
+and number in it. In a segment, a window's lists are intersected from
 its rarest term on: the list of the rarest, less the term's offset, gives the starts that are possible, and each
 next list, less its own offset, cuts them down. With slop > 0 a term may stand up to `slop` words off its place
 (proximity matches); with 0 matches are exact phrases.
 
 Nulls and edge cases: a null text has no words; an item without words has no window, one of fewer words than a
-window is one window; extra columns stay out; rows without a doc_id are judged like others, repeated rows of documents are
-judged alike (and become one row each if the test set takes several blocks); repeated items count once; empty tables give no hits or
+window is one window; extra columns stay out; each row of documents is judged by its own text and comes back once, with
+or without a doc_id and however many blocks the test set takes; repeated items count once; empty tables give no hits or
 no rows; a null item_id is left out.
 """
 
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from .common import ALNUM, LOWER, fresh, hash_words, new_path, split_words, text
 SEGMENT_WORDS = 1 << 19
 #: Test words that a pass over the index takes: what a task holds of the test set is bounded by it.
 BLOCK_WORDS = 1 << 20
-SEGMENT = "docs binary, known binary, bases binary, n_words binary, terms binary, ends binary, places binary"
+SEGMENT = "segment long, docs binary, known binary, bases binary, n_words binary, terms binary, ends binary, places binary"
 
 
 def hashed(texts: pa.Array):
@@ -64,7 +66,7 @@ def test_windows(items: list[tuple[object, str | None]], window: int) -> tuple[p
 def segments(batches, terms: np.ndarray, gap: int):
     """Index rows for (id, text) batches; terms: sorted hashes of the test terms."""
     ids, known, bases, counts, keep_terms, keep_places = [], [], [], [], [], []
-    base = 0
+    base, number = 0, TaskContext.get().partitionId() << 32 if TaskContext.get() else 0
 
     def flush():
         t, p = np.concatenate(keep_terms), np.concatenate(keep_places)
@@ -73,7 +75,7 @@ def segments(batches, terms: np.ndarray, gap: int):
         ends = np.searchsorted(t, np.arange(len(terms)), "right")
         used = np.flatnonzero(np.diff(np.concatenate(([0], ends))))
         blobs = [np.asarray(ids, np.int64), np.asarray(known, bool), np.asarray(bases, np.int64), np.asarray(counts, np.int64), terms[used], ends[used].astype(np.int64), p.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], names=[x.split()[0] for x in SEGMENT.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in blobs], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     for b in batches:
         names, given = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False), b.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -92,7 +94,7 @@ def segments(batches, terms: np.ndarray, gap: int):
             base = int(own[-1] + np.diff(first)[-1] + gap)
             if base >= SEGMENT_WORDS:
                 yield flush()
-                ids, known, bases, counts, keep_terms, keep_places, base = [], [], [], [], [], [], 0
+                ids, known, bases, counts, keep_terms, keep_places, base, number = [], [], [], [], [], [], 0, number + 1
     if ids:
         yield flush()
 
@@ -176,12 +178,17 @@ def blocks_of(benchmark: DataFrame, window: int, id_col: str, text_col: str):
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, hits array of (start, length), items array): one row a document, hits in order of their starts."""
+    """(id, n_words, hits array of (start, length), items array): one row a row of docs, hits in order of their starts."""
     spark = docs.sparkSession
-    parts = []
+    blocks, terms = [], np.zeros(0, np.uint64)
     for names, windows in blocks_of(benchmark, window, item_col, item_text):
-        path = build_index(docs, np.unique(windows[windows > 0]), window + 2 * slop, id_col, text_col)
-        held = spark.sparkContext.broadcast((names["item"].astype(str).to_numpy(object), names["n"].to_numpy(np.int64), windows))
+        blocks.append(spark.sparkContext.broadcast((names["item"].astype(str).to_numpy(object), names["n"].to_numpy(np.int64), windows)))
+        terms = np.union1d(terms, windows[windows > 0])
+    # All blocks search one index: a row's segment and number in it are the same for each.
+    path = build_index(docs, terms, window + 2 * slop, id_col, text_col)
+    index = spark.read.schema(SEGMENT).parquet(path)
+    parts = []
+    for held in blocks:
 
         def search(batches, held=held):
             items, lengths, grams = held.value
@@ -196,14 +203,18 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0
                         hits.append([{"start": int(s), "length": int(n)} for s, n in np.unique(part[:, 1:3], axis=0)] if len(part) else [])
                         own.append(sorted(set(items[part[:, 3]])) if len(part) else [])
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~np.frombuffer(row["known"], bool)), pa.array(counts), pa.array(hits, kind), pa.array(own, pa.list_(pa.string()))], names=[id_col, "n_words", "hits", "items"])
+                    named = pa.array(ids, mask=~np.frombuffer(row["known"], bool))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["segment"]] * len(ids), pa.int64()), pa.array(np.arange(len(ids))), named, pa.array(counts), pa.array(hits, kind), pa.array(own, pa.list_(pa.string()))],
+                        names=["segment", "number", "id", "n_words", "hits", "items"],
+                    )
 
-        parts.append(spark.read.schema(SEGMENT).parquet(path).mapInArrow(search, f"{id_col} long, n_words long, hits array<struct<start:long,length:long>>, items array<string>"))
+        parts.append(index.mapInArrow(search, "segment long, number long, id long, n_words long, hits array<struct<start:long,length:long>>, items array<string>"))
     if len(parts) == 1:
-        return parts[0]
-    # A group is one document's row of each block of test items.
-    grouped = reduce(DataFrame.unionByName, parts).groupBy(id_col, "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    return grouped.select(id_col, "n_words", F.array_sort(F.array_distinct("hits")).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
+        return parts[0].select(F.col("id").alias(id_col), "n_words", "hits", "items")
+    # A group is one row of docs in each block of test items.
+    grouped = reduce(DataFrame.unionByName, parts).groupBy("segment", "number").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    return grouped.select(F.col("id").alias(id_col), "n_words", F.array_sort(F.array_distinct("hits")).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def covered(hits, n_words: int) -> int:
