@@ -4,9 +4,9 @@ Documents become token ids. As many full windows as a document has leave as sequ
 of it, less than a window, is packed. Remainders are dealt by a hash of doc_id into shards of about `SHARD`, and
 each shard has an inverted index of its own over its remainders' tokens, weighted by BM25 with document
 frequencies and mean length counted over the whole corpus (one number for each id of the vocabulary).
-In a shard, the first unused remainder is the seed of a new window. Its query terms (the `QUERY_TERMS` of the
-greatest weight that others share) give each unused remainder a score; those that fit are taken, best first.
-What space is left is filled by cutting the best one, whose rest stays unused. So every window but the last of a
+In a shard, the first unused remainder is the seed of a new window. All its ids give each unused remainder a score;
+down the full order of scores, those that fit are taken. What space is left, less than any unused remainder, is
+filled by cutting the best one, whose rest stays unused. So every window but the last of a
 shard is full.
 
 Nulls and edge cases: a null or empty text is its end token alone; extra columns stay out; repeated rows are
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import ranges, save
 from .tokens import default_path, encoded, small_batches
 
-WINDOW, SHARD, QUERY_TERMS, NEAREST = 2048, 2048, 32, 64
+WINDOW, SHARD = 2048, 2048
 K1, B = 1.2, 0.75
 
 
@@ -94,23 +94,28 @@ class Shard:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean))
         self.size = np.append(0, np.cumsum([len(t) for t in tokens]))
-        self.own = token, weight
+        self.own = token
         order = np.argsort(token, kind="stable")
         self.rows, self.weights = row[order], weight[order]
         self.ends = np.cumsum(np.bincount(token, minlength=len(df)))
         self.begins = np.append(0, self.ends[:-1])
         self.n = len(ids)
+        # Lists that hold an eighth of all remainders and more are rows of a matrix.
+        common = np.flatnonzero(self.ends - self.begins > max(1, self.n // 8))
+        self.line = np.full(len(df), -1)
+        self.line[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for k, t in enumerate(common.tolist()):
+            own = slice(self.begins[t], self.ends[t])
+            self.dense[k, self.rows[own]] = self.weights[own]
 
     def scores(self, seed: int) -> np.ndarray:
-        token, weight = (x[self.size[seed] : self.size[seed + 1]] for x in self.own)
-        shared = self.ends[token] - self.begins[token] > 1
-        token, weight = token[shared], weight[shared]
-        if len(token) > QUERY_TERMS:
-            token = token[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(token):
-            return np.zeros(self.n)
-        at = np.concatenate([np.arange(self.begins[t], self.ends[t]) for t in token])
-        return np.bincount(self.rows[at], self.weights[at], self.n)
+        """BM25 of each remainder for all ids of the seed."""
+        token = self.own[self.size[seed] : self.size[seed + 1]]
+        line = self.line[token]
+        rare = token[line < 0]
+        at = ranges(self.begins[rare], self.ends[rare] - self.begins[rare])
+        return np.bincount(self.rows[at], self.weights[at], self.n) + self.dense[line[line >= 0]].sum(axis=0)
 
 
 def fill(ids: list[np.ndarray], index: Shard, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -128,28 +133,24 @@ def fill(ids: list[np.ndarray], index: Shard, window: int = WINDOW) -> list[list
         left[seed] = 0
         if space:
             score = index.scores(seed)
-            score[left == 0] = -1
-            near = np.argpartition(-score, NEAREST)[:NEAREST] if len(score) > NEAREST else np.arange(len(score))
-            near = near[score[near] >= 0]
-            near = near[np.lexsort((near, -score[near]))]
-            for r in near.tolist():
-                if 0 < left[r] <= space:
-                    window_of.append((r, int(begin[r]), int(left[r])))
-                    space -= int(left[r])
-                    begin[r] += left[r]
+            near = np.flatnonzero(left)
+            near = near[np.argsort(-score[near], kind="stable")]
+            sizes, rest = left[near].tolist(), []
+            for r, n in zip(near.tolist(), sizes):
+                if n <= space:
+                    window_of.append((r, int(begin[r]), n))
+                    space -= n
+                    begin[r] += n
                     left[r] = 0
-            rest = [r for r in near.tolist() if left[r]]
-            while space:
-                if not rest:
-                    rest = np.flatnonzero(left)[:1].tolist()
-                    if not rest:
+                    if not space:
                         break
-                r = rest.pop(0)
-                n = min(space, int(left[r]))
-                window_of.append((r, int(begin[r]), n))
-                space -= n
-                begin[r] += n
-                left[r] -= n
+                elif not rest:
+                    rest.append(r)
+            if space and rest:  # all that is left is longer than the space
+                r = rest[0]
+                window_of.append((r, int(begin[r]), space))
+                begin[r] += space
+                left[r] -= space
         out.append(window_of)
 
 
