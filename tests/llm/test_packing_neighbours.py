@@ -1,8 +1,12 @@
-"""Packing: the full order of scores."""
+"""Packing: the full order of scores, and statistics of whole documents."""
+
+from collections import Counter
 
 import numpy as np
 
-from tickforge.llm import packing
+from tickforge.llm import packing, tokens
+
+from .cases import documents
 
 
 def test_full_order_of_scores():
@@ -22,3 +26,14 @@ def test_all_ids_of_the_seed_count():
     index = packing.Shard([seed, np.concatenate([few, np.arange(210, 300)]), many, many], df, 100, 140.0)
     score = index.scores(0)
     assert score[2] == score[3] > score[1] > 0
+
+
+def test_statistics_are_of_whole_documents(spark):
+    path = tokens.default_path("byte_bpe_50k.json")
+    vocab = tokens.encoder(path, "byte").library.get_vocab_size()
+    texts = ["left " * 40 + "right", "right", "left", None]
+    found = packing.pieces(documents(spark, texts).repartition(2), path, "byte", 1, vocab, window=16)
+    df, n, mean, tails = packing.frequencies(found, vocab)
+    whole = [np.frombuffer(x, np.uint16).tolist() + [1] for x in tokens.encoder(path, "byte").encode([(t or "").encode() for t in texts])]
+    assert dict(enumerate(df)) == dict.fromkeys(range(vocab), 0) | Counter(t for w in whole for t in set(w))
+    assert (n, mean, tails) == (4, sum(map(len, whole)) / 4, sum(len(w) % 16 > 0 for w in whole))

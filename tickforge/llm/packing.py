@@ -3,7 +3,7 @@
 Documents become token ids. As many full windows as a document has leave as sequences of their own; what remains
 of it, less than a window, is packed. Remainders are dealt by a hash of doc_id into shards of about `SHARD`, and
 each shard has an inverted index of its own over its remainders' tokens, weighted by BM25 with document
-frequencies and mean length counted over the whole corpus (one number for each id of the vocabulary).
+frequencies and mean length counted over whole documents (one number for each id of the vocabulary).
 In a shard, the first unused remainder is the seed of a new window. All its ids give each unused remainder a score;
 down the full order of scores, those that fit are taken. What space is left, less than any unused remainder, is
 filled by cutting the best one, whose rest stays unused. So every window but the last of a
@@ -33,49 +33,50 @@ def crc(ids: bytes, dtype: np.dtype) -> int:
     return zlib.crc32(np.frombuffer(ids, dtype).astype("<u4").tobytes())
 
 
-def pieces(docs: DataFrame, path: str, kind: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length, doc_tokens, crc, ids): full windows (crc, no ids) and remainders (ids as 4- or 2-byte integers)."""
+def pieces(docs: DataFrame, path: str, kind: str, end_id: int, vocab: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, length, doc_tokens, crc, ids): full windows (crc, no ids), remainders (ids as 4- or 2-byte integers),
+    and a row of length -1 a task, whose ids are pairs (token, whole documents that hold it) as 8-byte integers."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def work(batches):
+        df, documents, total, tails, own = np.zeros(vocab, np.int64), 0, 0, 0, None
         for b in small_batches(batches):
             rows = []
             for i, ids, dtype in encoded(b.column(1).cast(pa.binary()), path, kind, end_id):
                 n, w = len(ids) // dtype.itemsize, dtype.itemsize
+                df[np.unique(np.frombuffer(ids, dtype))] += 1
+                documents += 1
+                total += n
+                tails += n % window > 0
                 for s in range(0, n, window):
                     part = ids[s * w : (s + window) * w]
                     full = len(part) == window * w
                     rows.append((i, s, len(part) // w, n, crc(part, dtype) if full else None, None if full else part))
             cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             own = b.column(0).take(pa.array(cols[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([own] + [pa.array(c, k) for c, k in zip(cols[1:], kinds[1:])], names=["id", "start", "length", "doc_tokens", "crc", "ids"])
+        if documents:
+            used = np.flatnonzero(df)
+            counts = np.stack([np.append(used, [-3, -2, -1]), np.append(df[used], [tails, total, documents])], 1).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, own.type)] + [pa.array([x], k) for x, k in zip((0, -1, 0, None, counts), kinds[1:])], names=["id", "start", "length", "doc_tokens", "crc", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(work, f"id {dict(docs.dtypes)[id_col]}, start long, length int, doc_tokens long, crc long, ids binary")
 
 
-def frequencies(found: DataFrame, vocab: int, width: int) -> tuple[np.ndarray, int, float]:
-    """(remainders that hold each id, remainders, mean length), over all of them; at most `vocab` rows reach the driver."""
+def frequencies(found: DataFrame, vocab: int) -> tuple[np.ndarray, int, float, int]:
+    """(documents that hold each id, documents, mean length, remainders), over all of them; at most `vocab` rows reach the driver."""
 
     def count(batches):
-        df, n, total = np.zeros(vocab, np.int64), 0, 0
         for b in batches:
-            blobs = b.column(0).to_pylist()
-            for i in range(0, len(blobs), 32):
-                part = [np.frombuffer(x, f"<u{width}") for x in blobs[i : i + 32]]
-                seen = np.zeros((len(part), vocab), bool)
-                for k, ids in enumerate(part):
-                    seen[k, ids] = True
-                    total += len(ids)
-                n += len(part)
-                df += seen.sum(axis=0)
-        used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-2, -1], used))), pa.array(np.concatenate(([total, n], df[used])))], names=["token", "n"])
-
-    got = {r.token: r.n for r in found.where("ids is not null").select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    n, total = got.pop(-1, 0), got.pop(-2, 0)
+            for x in b.column(0):
+                pairs = np.frombuffer(x.as_py(), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["token", "n"])
+
+    got = {r.token: r.n for r in found.where("length < 0").select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    n, total, tails = (got.pop(k, 0) for k in (-1, -2, -3))
     df = np.zeros(vocab, np.int64)
     df[list(got)] = list(got.values())
-    return df, n, total / max(n, 1)
+    return df, n, total / max(n, 1), tails
 
 
 class Shard:
@@ -159,11 +160,12 @@ def pack(docs: DataFrame, path: str, kind: str, end_id: int, window: int = WINDO
     from .tokens import encoder
 
     spark = docs.sparkSession
-    found = save(pieces(docs, path, kind, end_id, window, id_col, text_col), "pieces")
     e = encoder(path, kind)
     vocab, width = max(e.library.get_vocab_size(), end_id + 1), e.dtype.itemsize
-    held = spark.sparkContext.broadcast(frequencies(found, vocab, width))
-    shards = max(1, -(-held.value[1] // shard))
+    found = save(pieces(docs, path, kind, end_id, vocab, window, id_col, text_col), "pieces")
+    *numbers, tails = frequencies(found, vocab)
+    held = spark.sparkContext.broadcast(numbers)
+    shards = max(1, -(-tails // shard))
 
     def pack_shard(group: pa.Table) -> pa.Table:
         group = group.sort_by([("id", "ascending"), ("start", "ascending")])
@@ -188,7 +190,7 @@ def pack(docs: DataFrame, path: str, kind: str, end_id: int, window: int = WINDO
         cols = list(zip(*rows))
         return pa.table([pa.array(cols[0], group.column("id").type)] + [pa.array(c, pa.int64()) for c in cols[1:]], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    dealt = found.where("length >= 0").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     kind_of = dict(docs.dtypes)[id_col]
     return dealt.groupBy("shard").applyInArrow(pack_shard, f"{id_col} {kind_of}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
