@@ -1,6 +1,7 @@
-"""Packing: the full order of scores, and statistics of whole documents."""
+"""Packing: the full order of scores, statistics of whole documents, and neighbours over many shards."""
 
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -37,3 +38,33 @@ def test_statistics_are_of_whole_documents(spark):
     whole = [np.frombuffer(x, np.uint16).tolist() + [1] for x in tokens.encoder(path, "byte").encode([(t or "").encode() for t in texts])]
     assert dict(enumerate(df)) == dict.fromkeys(range(vocab), 0) | Counter(t for w in whole for t in set(w))
     assert (n, mean, tails) == (4, sum(map(len, whole)) / 4, sum(len(w) % 16 > 0 for w in whole))
+
+
+def topics(n, each):
+    rng = random.Random(1)
+    words = [["".join(rng.choices("abcdefghijklm", k=6)) for _ in range(30)] for _ in range(n)]
+    rows = [(k, " ".join(rng.choices(words[k], k=20))) for k in range(n) for _ in range(each)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_neighbours_meet_over_many_shards(spark):
+    rows = topics(12, 40)
+    docs = documents(spark, [t for _, t in rows]).repartition(3)
+    got = packing.pack(docs, tokens.default_path("byte_bpe_50k.json"), "byte", 1, 512, shard=40).collect()
+    windows, taken = defaultdict(Counter), Counter()
+    for r in got:
+        windows[r.sequence_id][rows[r.doc_id][0]] += r.length
+        taken[r.doc_id] += r.length
+    assert len(taken) == len(rows) and sum(max(w.values()) for w in windows.values()) > 0.8 * sum(taken.values())
+
+
+def test_hot_id_is_spread(spark):
+    rows = topics(3, 200)
+    path = tokens.default_path("byte_bpe_50k.json")
+    vocab = tokens.encoder(path, "byte").library.get_vocab_size()
+    found = packing.pieces(documents(spark, [t for _, t in rows], [None] * len(rows)), path, "byte", 1, vocab).cache()
+    df, n, _, tails = packing.frequencies(found, vocab)
+    dealt, shards = packing.deal(found.where("length >= 0"), df, n, tails, 50, 2)
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 100 and len(sizes) <= shards

@@ -1,13 +1,15 @@
 """Lexical retrieval packing: windows of seed documents filled with their BM25 neighbours.
 
 Documents become token ids. As many full windows as a document has leave as sequences of their own; what remains
-of it, less than a window, is packed. Remainders are dealt by a hash of doc_id into shards of about `SHARD`, and
-each shard has an inverted index of its own over its remainders' tokens, weighted by BM25 with document
-frequencies and mean length counted over whole documents (one number for each id of the vocabulary).
+of it, less than a window, is packed. Document frequencies and mean length are counted over whole documents.
+
+Remainders are dealt so that lexical neighbours meet: a sample gives the main axes of the BM25-weighted tokens and a
+tree that cuts along them into leaves of about `SHARD` remainders; a leaf of over half as much again is dealt by a
+hash of the row. Each shard has an inverted index of its own over its remainders' tokens, weighted by BM25.
 In a shard, the first unused remainder is the seed of a new window. All its ids give each unused remainder a score;
 down the full order of scores, those that fit are taken. What space is left, less than any unused remainder, is
-filled by cutting the best one, whose rest stays unused. So every window but the last of a
-shard is full.
+filled by cutting the best one, whose rest stays unused. So every window but the last of a shard is full. Neighbours
+in other shards aren't seen: README says how many of the true ones meet.
 
 Nulls and edge cases: a null or empty text is its end token alone; extra columns stay out; repeated rows are
 packed each; a row without a doc_id is packed too; an empty table gives an empty result.
@@ -26,6 +28,8 @@ from .common import ranges, save
 from .tokens import default_path, encoded, small_batches
 
 WINDOW, SHARD = 2048, 2048
+#: Of the tree that deals remainders: latent axes, remainders they are fitted to, sampled remainders a leaf and in all.
+AXES, LATENT, LEAF_SAMPLE, SAMPLE = 32, 4096, 64, 1 << 15
 K1, B = 1.2, 0.75
 
 
@@ -79,6 +83,58 @@ def frequencies(found: DataFrame, vocab: int) -> tuple[np.ndarray, int, float, i
     return df, n, total / max(n, 1), tails
 
 
+class Dealer:
+    """A tree over remainders' directions in a small latent space, fitted to a sample: neighbours come to the same leaf."""
+
+    def __init__(self, sample: list[np.ndarray], df: np.ndarray, n: int, leaves: int):
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        rng = np.random.default_rng(42)
+        self.axes = rng.standard_normal((len(df), AXES), np.float32)
+        held = [self.weights(x) for x in sample[:LATENT]]
+        for _ in range(2):  # power iterations towards the main axes of the sample
+            q = np.linalg.qr(np.stack([w @ self.axes[t] for t, w in held]))[0]
+            axes = np.zeros((len(df), q.shape[1]), np.float32)
+            for (t, w), row in zip(held, q.astype(np.float32)):
+                axes[t] += w[:, None] * row
+            self.axes = axes / np.maximum(np.linalg.norm(axes, axis=0), 1e-9)
+        points = np.stack([self.point(x) for x in sample])
+        self.nodes: list[tuple] = []
+        self.leaves = 0
+        self._split(points, leaves)
+
+    def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t, tf = np.unique(ids, return_counts=True)
+        w = self.idf[t] * (tf * (K1 + 1) / (tf + K1)).astype(np.float32)
+        return t, w / max(np.linalg.norm(w), 1e-9)
+
+    def point(self, ids: np.ndarray) -> np.ndarray:
+        t, w = self.weights(ids)
+        x = w @ self.axes[t]
+        return x / max(np.linalg.norm(x), 1e-9)
+
+    def _split(self, points: np.ndarray, leaves: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append(())
+        left = leaves // 2
+        if leaves > 1 and len(points) > 1:
+            axis = np.linalg.svd(points - points.mean(axis=0), full_matrices=False)[2][0]
+            along = points @ axis
+            cut = np.quantile(along, left / leaves)
+            low = along <= cut
+            if 0 < low.sum() < len(points):
+                self.nodes[at] = (axis, cut, self._split(points[low], left), self._split(points[~low], leaves - left))
+                return at
+        self.nodes[at] = (self.leaves,)
+        self.leaves += 1
+        return at
+
+    def leaf(self, ids: np.ndarray) -> int:
+        x, node = self.point(ids), self.nodes[0]
+        while len(node) > 1:
+            node = self.nodes[node[2] if x @ node[0] <= node[1] else node[3]]
+        return node[0]
+
+
 class Shard:
     """An inverted index over remainders: for each id, the remainders that hold it and their BM25 weights."""
 
@@ -155,6 +211,33 @@ def fill(ids: list[np.ndarray], index: Shard, window: int = WINDOW) -> list[list
         out.append(window_of)
 
 
+def deal(found: DataFrame, df: np.ndarray, n: int, tails: int, shard: int, width: int) -> tuple[DataFrame, int]:
+    """found and a column of shards, and their number: a leaf of the tree is a shard, or several of equal parts if it is large."""
+    leaves = max(1, -(-tails // shard))
+    spread = F.xxhash64("id", "start", "ids", "crc")
+    if leaves > 1:
+        # Hashes choose the sample: the same rows each time, repeated ones once.
+        every = max(1, tails // min(SAMPLE, LEAF_SAMPLE * leaves))
+        sample = found.where("ids is not null").withColumn("h", spread).where(F.pmod("h", F.lit(every)) == 0).groupBy("h").agg(F.first("ids").alias("ids")).collect()
+        sample.sort(key=lambda r: r.h)
+        dealer = found.sparkSession.sparkContext.broadcast(Dealer([np.frombuffer(r.ids, f"<u{width}") for r in sample], df, n, leaves))
+
+        def place(batches):
+            for b in batches:
+                leaf = [None if x is None else dealer.value.leaf(np.frombuffer(x, f"<u{width}")) for x in b.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int32())], names=[*b.schema.names, "leaf"])
+
+        found = save(found.mapInArrow(place, ", ".join(f"{k} {t}" for k, t in found.dtypes) + ", leaf int"), "dealt")
+        sizes = {r.leaf: r["count"] for r in found.where("leaf is not null").groupBy("leaf").count().collect()}
+    else:
+        found, sizes = found.withColumn("leaf", F.when(F.col("ids").isNotNull(), 0)), {0: tails}
+    parts = np.array([max(1, -(-sizes.get(k, 0) // (shard + shard // 2))) for k in range(max(sizes, default=0) + 1)])
+    first, shards = np.cumsum(parts) - parts, int(parts.sum())
+    table = found.sparkSession.createDataFrame([(k, int(a), int(p)) for k, (a, p) in enumerate(zip(first, parts))], "leaf int, first int, parts int")
+    own = F.when(F.col("leaf").isNull(), F.pmod(spread, F.lit(shards))).otherwise(F.col("first") + F.pmod(spread, F.col("parts")))
+    return found.join(F.broadcast(table), "leaf", "left").withColumn("shard", own.cast("long")).drop("leaf", "first", "parts"), shards
+
+
 def pack(docs: DataFrame, path: str, kind: str, end_id: int, window: int = WINDOW, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row a piece."""
     from .tokens import encoder
@@ -165,7 +248,7 @@ def pack(docs: DataFrame, path: str, kind: str, end_id: int, window: int = WINDO
     found = save(pieces(docs, path, kind, end_id, vocab, window, id_col, text_col), "pieces")
     *numbers, tails = frequencies(found, vocab)
     held = spark.sparkContext.broadcast(numbers)
-    shards = max(1, -(-tails // shard))
+    dealt, shards = deal(found.where("length >= 0"), numbers[0], numbers[1], tails, shard, width)
 
     def pack_shard(group: pa.Table) -> pa.Table:
         group = group.sort_by([("id", "ascending"), ("start", "ascending")])
@@ -190,7 +273,6 @@ def pack(docs: DataFrame, path: str, kind: str, end_id: int, window: int = WINDO
         cols = list(zip(*rows))
         return pa.table([pa.array(cols[0], group.column("id").type)] + [pa.array(c, pa.int64()) for c in cols[1:]], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = found.where("length >= 0").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     kind_of = dict(docs.dtypes)[id_col]
     return dealt.groupBy("shard").applyInArrow(pack_shard, f"{id_col} {kind_of}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
