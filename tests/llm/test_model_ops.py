@@ -182,6 +182,40 @@ def test_toxicity(spark, tmp_path):
     assert toxicity.score(documents(spark, []), one).count() == 0
 
 
+def test_toxicity_among_junk(spark):
+    """Roots that only toxic words have, with endings that training never saw; menus, shouting and repeats are clean."""
+    rng = np.random.default_rng(4)
+    endings = [prose(1, 4000 + k, 5000) for k in range(60)]
+    texts, toxic = [], []
+    for i in range(420):
+        words = prose(int(rng.integers(30, 300)), 5000 + i, 3000).split()
+        if i % 5 == 1:
+            words = [w + "!!" for w in words]
+        elif i % 5 == 2:
+            words = " | ".join(words).split()
+        elif i % 5 == 3:
+            words = [w for w in words[:20] for _ in range(15)]
+        if i % 6 == 0:
+            for k in rng.integers(0, len(words), 3):
+                words[k] = ("zorv", "quib")[k % 2] + endings[int(rng.integers(0, 40)) if i < 300 else int(rng.integers(40, 60))]
+        texts.append(" ".join(words))
+        toxic.append(int(i % 6 == 0))
+    labels = spark.createDataFrame(list(enumerate(toxic))[:300], "doc_id long, toxic int")
+    kept = {r.doc_id for r in toxicity.drop_toxic(documents(spark, texts), labels).collect()}
+    unseen = range(300, 420)
+    assert np.mean([i not in kept for i in unseen if toxic[i]]) >= 0.9
+    assert np.mean([i in kept for i in unseen if not toxic[i]]) >= 0.95
+
+
+def test_cut_has_the_most_recall_for_its_price():
+    z, y = np.array([-3.0, -2, -1, 1, 2, 2, 3, 4]), np.array([0, 0, 0, 1, 0, 1, 1, 1])
+    slope, offset = toxicity.calibrate(z, y, 0.5, price=2.0)
+    assert ((slope * z + offset > 0) == [False] * 4 + [False, False, True, True]).all() or ((slope * z + offset > 0) == (z > 0)).all()
+    slope, offset = toxicity.calibrate(z, y, 0.5, price=0.1)
+    assert ((slope * z + offset > 0) == (z > 0)).all()
+    assert toxicity.calibrate(np.zeros(4), np.array([0, 1, 0, 1]), 0.5)[0] > 0
+
+
 def test_katz(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(katz, "BATCH_BYTES", 3000)
     texts = awkward() + [prose(50 + i, 2000 + i, 30) for i in range(40)]

@@ -6,17 +6,24 @@ never seen, misspellings among them, get their score from n-grams that were.
 
 A toxic document may hold one toxic word among thousands of clean ones, which an average over all of it would
 drown. So a document's logit is its most toxic span's (`SPAN` consecutive words, sliding), and training goes in
-two steps: first each span takes its document's label; then toxic documents count by their most toxic spans
-alone (multiple-instance learning) and clean ones by all of theirs. A final fit of slope and offset turns a
-document's greatest logit into a probability at the classes' true shares.
+two phases: first each span takes its document's label; then a document counts by the softmax over its own spans'
+logits, so that a toxic one is answered for by its toxic spans and a clean one by what looks most toxic in it
+(multiple-instance learning). Embeddings and weights carry an L2 penalty, without which they learn documents by heart.
 
-Training takes a bounded sample: at most `per_class` labelled documents of either class, those whose ids have
-the smallest hashes; one task trains on it, and the driver gets the model alone. Scoring takes every document, whole: a map without a shuffle. The model is one number for
-each bucket once embeddings and softmax are multiplied out, 1 MB whatever the input.
+The sample is cut into `FOLDS` by a hash of the text, so copies stay together. A model is trained without each fold, a
+task each, and says how that fold's documents score: logits of texts it hasn't seen. On these the cut is chosen that has
+the most recall less `PRICE` times the false alarms; a score of 0.5 is that cut, and its slope is a ridge fit at the
+classes' true shares. The model that scores is the mean of the folds' models.
 
-Nulls and edge cases: null and empty texts score by an empty span (logit of the offset); null labels and ids
-aren't learned from; repeated labels of an id count once, toxic if any is; without labels of both classes the
-score is the share of toxic labels, 0 without any; extra columns stay out of scores; rows with a null id are scored too.
+Training takes a bounded sample: at most `per_class` labelled documents of either class, those whose ids have
+the smallest hashes; the driver gets the models alone, and a logit for each sampled document. Scoring takes every document,
+whole: a map without a shuffle. A model is one number for each bucket once embeddings and softmax are multiplied out,
+1 MB whatever the input.
+
+Nulls and edge cases: texts without words, null and empty ones too, score the share of toxic labels; null labels and ids
+aren't learned from; repeated labels of an id count once, toxic if any is; of repeated rows of an id the least text is learned
+from; without labels of both classes the score is the share of toxic labels, 0 without any; a class in one fold alone is
+learned from by all; extra columns stay out of scores; rows with a null id are scored too.
 """
 
 from __future__ import annotations
@@ -30,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _powers, crc_remainder, fresh, mix
+from .common import _BASE, _BYTE, _powers, crc_remainder, fresh, mix, ranges, save
 
-BUCKETS, DIM, SPAN, GRAMS = 1 << 17, 8, 5, (3, 4, 5, 6)
-PER_CLASS = 2000
+BUCKETS, DIM, SPAN, GRAMS = 1 << 17, 8, 3, (3, 4, 5, 6)
+PER_CLASS, FOLDS, PRICE = 2000, 3, 2.0
 CACHE = 400_000
 EDGES = bytes(set(range(128)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 
@@ -61,9 +68,9 @@ def clean_word(token: bytes) -> bytes:
 
 
 def span_means(scores: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Means of every `span` consecutive scores (of all, if fewer; 0 without any)."""
+    """Means of every `span` consecutive scores (of all, if fewer; nan without any)."""
     if len(scores) <= span:
-        return np.array([scores.mean() if len(scores) else 0.0])
+        return np.array([scores.mean() if len(scores) else np.nan])
     sums = np.concatenate(([0.0], np.cumsum(scores)))
     return (sums[span:] - sums[:-span]) / span
 
@@ -84,7 +91,7 @@ class Model:
     def probability(self, top: np.ndarray) -> np.ndarray:
         if self.buckets is None:
             return np.full(len(top), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * top + self.offset, -30, 30)))
+        return np.where(np.isnan(top), self.constant, 1 / (1 + np.exp(-np.clip(self.slope * top + self.offset, -30, 30))))
 
 
 class Scorer:
@@ -106,86 +113,113 @@ class Scorer:
         return np.array([span_means(np.fromiter(map(known.__getitem__, s), float, len(s))).max() for s in split])
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float, steps: tuple[int, int] = (60, 120), rate: float = 0.05, seed: int = 7) -> Model:
-    """labels: 0 or 1 for each text, both there; share: of toxic documents among all."""
-    ids: dict[bytes, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in map(clean_word, t.split()) if w], np.int32) for t in texts]
-    vocab = list(ids)
-    own, at = [], []
-    for i in range(0, len(vocab), 20_000):
-        o, a = features(vocab[i : i + 20_000])
-        own.append((o + i).astype(np.int32))
-        at.append(a.astype(np.int32))
-    own, at = np.concatenate(own), np.concatenate(at)
-    per_word = np.bincount(own, minlength=len(vocab))
-    # Spans: consecutive, SPAN words each.
-    words = np.concatenate(docs)
-    sizes = np.array([len(d) for d in docs])
-    doc_of = np.repeat(np.arange(len(docs)), sizes)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    new = np.ones(len(words), bool)
-    new[1:] = (doc_of[1:] != doc_of[:-1]) | (place[1:] % SPAN == 0)
-    span_of = np.cumsum(new) - 1
-    n_spans = span_of[-1] + 1
-    span_doc = doc_of[new]
-    span_size = np.bincount(span_of, minlength=n_spans)
-    y = labels[span_doc].astype(float)
+class Sample:
+    """Texts as words, their n-grams by word and by bucket, and the spans of each text."""
+
+    def __init__(self, texts: list[bytes], span: int = SPAN):
+        ids: dict[bytes, int] = {}
+        docs = [np.array([ids.setdefault(clean_word(w), len(ids)) for w in t.split() or [b""]], np.int32) for t in texts]
+        vocab = list(ids)
+        own, at = [], []
+        for i in range(0, len(vocab), 20_000):
+            o, a = features(vocab[i : i + 20_000])
+            own.append((o + i).astype(np.int32))
+            at.append(a.astype(np.int32))
+        own, at = np.concatenate(own), np.concatenate(at)
+        order = np.argsort(own, kind="stable")
+        self.words, self.at = np.concatenate(docs), at[order]
+        self.n, self.per = len(vocab), np.bincount(own, minlength=len(vocab)).astype(np.float32)
+        self.word_begin = np.cumsum(self.per).astype(np.int64) - self.per.astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        self.own = own[order]
+        self.used, self.used_begin = np.unique(at[order], return_index=True)
+        sizes = np.array([len(d) for d in docs])
+        first = np.cumsum(sizes) - sizes
+        counts = np.maximum(sizes - span + 1, 1)
+        self.begin = ranges(first, counts)
+        self.doc = np.repeat(np.arange(len(docs)), counts)
+        self.doc_begin = np.cumsum(counts) - counts
+        self.size = np.minimum(sizes, span)[self.doc]
+        self.spans = counts
+
+    def logits(self, per_bucket: np.ndarray) -> np.ndarray:
+        """Of each span, without the softmax's offset."""
+        word = np.add.reduceat(per_bucket[self.at], self.word_begin) / self.per
+        sums = np.concatenate(([0.0], np.cumsum(word[self.words], dtype=float)))
+        return (sums[self.begin + self.size] - sums[self.begin]) / self.size
+
+    def gradient(self, of_spans: np.ndarray) -> np.ndarray:
+        """Of the used buckets, for a gradient of the spans' logits."""
+        change = np.zeros(len(self.words) + 1)
+        share = of_spans / self.size
+        change[self.begin] += share
+        change -= np.bincount(self.begin + self.size, share, len(change))  # texts shorter than a span may end together
+        of_words = np.bincount(self.words, np.cumsum(change)[:-1], self.n) / self.per
+        return np.add.reduceat(of_words.astype(np.float32)[self.own], self.used_begin)
+
+    def tops(self, per_bucket: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(self.logits(per_bucket), self.doc_begin)
+
+
+def train(sample: Sample, labels: np.ndarray, steps: tuple[int, int] = (30, 60), rate: float = 0.1, penalty: float = 1e-6, seed: int = 7) -> np.ndarray:
+    """A number for each bucket, the softmax's offset taken in; labels: 0 or 1 for each text, both there."""
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.1, (BUCKETS, DIM))
-    w = rng.normal(0, 0.1, (DIM, 2))
-    b = np.zeros(2)
-    used = np.unique(at)
-    params, m, v = [e, w, b], [0, 0, 0], [0, 0, 0]
-
-    def scores() -> np.ndarray:
-        per_bucket = e @ (w[:, 1] - w[:, 0])
-        s_word = np.bincount(own, per_bucket[at], len(vocab)) / per_word
-        return np.bincount(span_of, s_word[words], n_spans) / span_size + b[1] - b[0]
-
-    def step(weight: np.ndarray, t: int) -> None:
-        z = scores()
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        d = weight * (p - y) / weight.sum()
-        d_word = np.bincount(words, (d / span_size)[span_of], len(vocab)) / per_word
-        d_bucket = np.bincount(at, d_word[own], BUCKETS)
+    params = [rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
+    y = labels[sample.doc]
+    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())[sample.doc]
+    for t in range(1, sum(steps) + 1):
+        e, w, b = params
         u = w[:, 1] - w[:, 0]
-        g_u = e[used].T @ d_bucket[used]
-        grads = [np.outer(d_bucket, u), np.stack([-g_u, g_u], 1), np.array([-d.sum(), d.sum()])]
-        for i, g in enumerate(grads):  # Adam
+        z = sample.logits(e @ u) + b[1] - b[0]
+        if t <= steps[0]:
+            part = 1 / sample.spans[sample.doc]
+        else:
+            part = np.exp(z - np.maximum.reduceat(z, sample.doc_begin)[sample.doc])
+            part /= np.add.reduceat(part, sample.doc_begin)[sample.doc]
+        d = share * part * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        of_buckets = sample.gradient(d)
+        held = e[sample.used]
+        of_e = np.zeros_like(e)
+        of_e[sample.used] = np.outer(of_buckets, u) + penalty * held
+        of_u = held.T @ of_buckets + penalty * u
+        for i, g in enumerate((of_e, np.stack([-of_u, of_u], 1), np.array([-d.sum(), d.sum()], np.float32))):  # Adam
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
-            params[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
-
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    for t in range(1, steps[0] + 1):
-        step(weight, t)
-    for t in range(steps[0] + 1, sum(steps) + 1):
-        if (t - steps[0]) % 10 == 1:
-            z = scores()
-            top = np.full(len(docs), -np.inf)
-            np.maximum.at(top, span_doc, z)
-            chosen = (y == 1) & (z >= top[span_doc])
-            clean = y == 0
-            hard = np.where(clean, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0) + 0.02 * clean
-            weight = np.where(chosen, 0.5 / max(chosen.sum(), 1), 0.5 * hard / max(hard.sum(), 1e-9))
-        step(weight, t)
-    model = Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), 0.0, 1.0)
-    top = Scorer(model).tops(texts)
-    center, scale = top.mean(), top.std() + 1e-9
-    x, slope, offset = (top - center) / scale, 1.0, 0.0
-    weight = np.where(labels == 1, share / max(labels.sum(), 1), (1 - share) / max((1 - labels).sum(), 1))
-    for _ in range(50):  # Newton steps of a ridge fit
-        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-        r, h = weight * (p - labels), weight * p * (1 - p)
-        g = np.array([(r * x).sum() + 1e-4 * slope, r.sum()])
-        hess = np.array([[(h * x * x).sum() + 1e-4, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
-        change = np.clip(np.linalg.solve(hess, g), -3, 3)
-        slope, offset = slope - change[0], offset - change[1]
-    model.slope, model.offset = slope / scale, offset - slope * center / scale
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+            params[i] = params[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
+    e, w, b = params
+    return e @ (w[:, 1] - w[:, 0]) + (b[1] - b[0])  # every bucket takes the offset in, so every average does
+
+
+def cross_fit(texts: list[bytes], labels: np.ndarray, out: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each bucket, trained on the texts that aren't `out`; logits of those that are)."""
+    inner = ~out if 0 < labels[~out].sum() < (~out).sum() else np.ones(len(out), bool)
+    per_bucket = train(Sample([t for t, k in zip(texts, inner) if k]), labels[inner], seed=seed)
+    held = [t for t, k in zip(texts, out) if k]
+    return per_bucket, Sample(held).tops(per_bucket) if held else np.zeros(0)
+
+
+def calibrate(tops: np.ndarray, labels: np.ndarray, share: float, price: float = PRICE) -> tuple[float, float]:
+    """(slope, offset) of the score for logits of unseen texts: 0.5 is the cut of most recall less `price` times the false alarms."""
+    order = np.argsort(tops, kind="stable")
+    z, y = tops[order], labels[order]
+    missed, alarms = np.append(0, np.cumsum(y)) / max(y.sum(), 1), np.append(np.cumsum((1 - y)[::-1])[::-1], 0) / max((1 - y).sum(), 1)
+    between = np.concatenate(([True], z[1:] > z[:-1], [True]))  # equal logits stay together
+    worth = np.where(between, -missed - price * alarms, -np.inf)
+    at = int(np.flatnonzero(worth == worth.max())[-1])
+    cut = z[0] - 1 if at == 0 else z[-1] + 1 if at == len(z) else (z[at - 1] + z[at]) / 2
+    low, high = np.quantile(z, [0.01, 0.99])
+    scale = max(high - low, 1e-6) / 4
+    x, slope = np.clip((z - cut) / scale, -4, 4), 1.0
+    weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
+    for _ in range(50):  # Newton steps of a ridge fit through the cut
+        p = 1 / (1 + np.exp(-slope * x))
+        slope -= float(np.clip(((weight * (p - y) * x).sum() + 1e-3 * slope) / ((weight * p * (1 - p) * x * x).sum() + 1e-3), -2, 2))
+    slope = max(slope, 0.1) / scale
+    return slope, -slope * cut
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, text_col: str = "text") -> Model:
     """Learns from at most `per_class` labelled documents of each class."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y"))
     counts = {r._y: r.n for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -195,17 +229,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
         return Model(None, 0.0, 1.0, constant)
     chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
     # The sample has at most 2 * per_class rows.
-    rows = docs.select(id_col, "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), id_col).where(F.length("text") > 0).dropDuplicates([id_col])
-
-    def learn(batches):
-        found = sorted((t.as_py().encode(), y.as_py()) for b in batches for t, y in zip(b.column(0), b.column(1)))
-        y = np.array([y for _, y in found], float)
-        if len(found) and 0 < y.sum() < len(y):
-            m = train([t for t, _ in found], y, constant)
-            yield pa.RecordBatch.from_arrays([pa.array([m.buckets.tobytes()], pa.binary()), pa.array([m.offset]), pa.array([m.slope])], names=["buckets", "offset", "slope"])
-
-    got = rows.select("text", "_y").repartition(1).mapInArrow(learn, "buckets binary, offset double, slope double").collect()
-    return Model(np.frombuffer(got[0].buckets, np.float32), got[0].offset, got[0].slope, constant) if got else Model(None, 0.0, 1.0, constant)
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), id_col).where(F.length("text") > 0)
+    sample = save(rows.groupBy(id_col).agg(F.min("text").alias("text"), F.first("_y").alias("y")).select("text", "y", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold")), "sample")
+
+    def learn(t: pa.Table) -> pa.Table:
+        found = sorted((x.encode(), y, k) for x, y, k in zip(t.column("text").to_pylist(), t.column("y").to_pylist(), t.column("fold").to_pylist()))
+        number = t.column("without")[0].as_py()
+        y, out = np.array([f[1] for f in found], float), np.array([f[2] == number for f in found])
+        if not 0 < y.sum() < len(y):
+            return pa.table({"buckets": pa.array([], pa.binary()), "tops": pa.array([], pa.binary()), "labels": pa.array([], pa.binary())})
+        buckets, tops = cross_fit([f[0] for f in found], y, out, number)
+        return pa.table({"buckets": pa.array([buckets.astype(np.float32).tobytes()], pa.binary()), "tops": pa.array([tops.tobytes()], pa.binary()), "labels": pa.array([y[out].tobytes()], pa.binary())})
+
+    copies = sample.withColumn("without", F.explode(F.array(*(F.lit(k) for k in range(FOLDS)))))
+    got = copies.groupBy("without").applyInArrow(learn, "buckets binary, tops binary, labels binary").collect()
+    if not got:
+        return Model(None, 0.0, 1.0, constant)
+    tops, y = (np.concatenate([np.frombuffer(r[k], float) for r in got]) for k in ("tops", "labels"))
+    slope, offset = calibrate(tops, y, constant)
+    return Model(np.mean([np.frombuffer(r.buckets, np.float32) for r in got], axis=0), offset, slope, constant)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -232,7 +274,7 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "text"), model).select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs that score below the threshold."""
     name = fresh(docs, "score")
-    return score(docs, fit(docs, labels), out=name).where(F.col(name) < threshold).select(docs.columns)
+    return score(docs, fit(docs, labels, id_col, text_col=text_col), text_col, out=name).where(F.col(name) < threshold).select(docs.columns)
