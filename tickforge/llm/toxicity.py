@@ -161,7 +161,7 @@ class Sample:
         return np.maximum.reduceat(self.logits(per_bucket), self.doc_begin)
 
 
-def train(sample: Sample, labels: np.ndarray, steps: tuple[int, int] = (30, 60), rate: float = 0.1, penalty: float = 1e-6, seed: int = 7) -> np.ndarray:
+def train(sample: Sample, labels: np.ndarray, steps: tuple[int, int] = (30, 60), rate: float = 0.1, penalty: float = 1e-4, seed: int = 7) -> np.ndarray:
     """A number for each bucket, the softmax's offset taken in; labels: 0 or 1 for each text, both there."""
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
