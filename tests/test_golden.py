@@ -188,3 +188,31 @@ def test_sources(spark, tmp_path):
     empty = bars(spark)
     assert indicators.with_sma(empty, [3]).count() == 0 and compare.period_returns(empty, "2024-01-01").count() == 0
     assert liquidity.summary(days(spark, [])).first().total_volume == 0
+
+
+def test_sorted_outputs(spark, sf_dir):
+    from tickforge.plans import catalog
+
+    rows = {n: catalog.queries()[n](spark, sf_dir).collect() for n in ("liquidity_history", "normalized_compare", "source_order", "symbol_filter")}
+    for name, key in (("liquidity_history", "date"), ("normalized_compare", "date"), ("source_order", "place"), ("symbol_filter", "ordinal")):
+        got = [r[key] for r in rows[name]]
+        assert len(got) > 1 and got == sorted(got), name
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_peaks_are_chained_over_slices(spark, rows):
+    found = portfolio.drawdowns(bars(spark, s=X, t=X[::-1]), ["symbol"], "ts", "close", rows=rows)
+    near(column(found.where("symbol = 's'"), "drawdown"), [0, 0, 0, 100 / 12, 200 / 12, 25, 200 / 12, 0, 0, 100 / 14])
+
+
+def test_a_missing_price_ends_an_average(spark):
+    gaps = bars(spark, s=X).withColumn("close", F.when(F.dayofmonth("ts") != 6, F.col("close")))
+    for rows in (3, 100):
+        near(column(indicators.with_ema(gaps, [3], rows=rows), "ema_3"), [None, None, 11, 11, 10.5] + [None] * 5)
+    assert indicators.latest_ema(gaps, 3).first().ema is None
+
+
+def test_weight_totals(spark):
+    rows = [("a", "x", 60.0), ("a", "y", 40.0), ("b", "x", 60.0), ("c", "x", 100.0), ("c", "y", None)]
+    got = portfolio.weight_totals(spark.createDataFrame(rows, "p string, symbol string, weight double"), ["p"])
+    assert {r.p: (r.members, r.total_weight, r.is_valid) for r in got.collect()} == {"a": (2, 100.0, True), "b": (1, 60.0, False), "c": (2, 100.0, True)}

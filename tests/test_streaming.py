@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from tickforge.streaming import streams
 
@@ -42,6 +43,22 @@ def test_cached_lookups(spark, tmp_path):
     assert got == {("k", 0): False, ("k", 10): True, ("k", 31): False, ("j", 5): False}
 
 
+def test_lookup_hits(spark):
+    """Batch look-ups against a walk through each key's requests."""
+    rng = __import__("random").Random(2)
+    rows = [(rng.choice("aab"), at(rng.randrange(3000)), i) for i in range(400)]
+    want, last = {}, {}
+    for key, ts, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        hit = key in last and (ts - last[key]).total_seconds() < 30
+        if not hit:
+            last[key] = ts
+        want[i] = hit
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id long").repartition(5)
+    got = {r.id: (r.hit, r.key) for r in streams.lookup_hits(df, 30).collect()}
+    assert {i: h for i, (h, _) in got.items()} == want and {i: k for i, (_, k) in got.items()} == {i: k for k, _, i in rows}
+    assert streams.lookup_hits(df.limit(0), 30).count() == 0
+
+
 def test_plans(spark, sf_dir):
     """Windows are by symbol, filters reach the scan, fixed tables are broadcast."""
     from tickforge.operators import indicators, timeframe
@@ -51,7 +68,10 @@ def test_plans(spark, sf_dir):
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
 
-    assert "SinglePartition" not in plan(indicators.with_rsi(indicators.with_sma(adapters.daily_bars(spark, sf_dir), [50, 200])))
+    found = plan(indicators.with_rsi(indicators.with_sma(adapters.daily_bars(spark, sf_dir), [50, 200])))
+    assert "SinglePartition" not in found
+    for name in ("sma_50_200", "rsi_14", "daily_changes", "daily_returns", "ma_crosses", "signal_report", "ma_panel", "rsi_zone", "running_peak", "max_drawdown", "ema_12_26"):
+        assert re.search(r"hashpartitioning\(symbol#\d+, slice#", plan(catalog.queries()[name](spark, sf_dir))), name
     scan = plan(timeframe.in_range(adapters.table(spark, sf_dir, "events").select("ts", "value"), "1W", "2024-01-31"))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in scan and "ReadSchema: struct<ts:timestamp_ntz,value:double>" in scan
     assert "Broadcast" in plan(catalog.queries()["nearest_events"](spark, sf_dir))

@@ -118,8 +118,8 @@ def toggle(items: Column, item: Column) -> Column:
 
 
 def fallback(v: Column, default) -> Column:
-    """default where v is null, 0 or empty."""
-    return F.when(v.isNull() | (v.cast("string").isin("0", "0.0", "")), F.lit(default)).otherwise(v)
+    """default where v is null, 0, nan or empty."""
+    return F.when(v.isNull() | (v.cast("string").isin("0", "0.0", "-0.0", "NaN", "")), F.lit(default)).otherwise(v)
 
 
 def equal_weight(n: Column, position: Column) -> Column:

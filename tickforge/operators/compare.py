@@ -43,9 +43,12 @@ def correlation_matrix(bars: DataFrame, align: str = "position") -> DataFrame:
     """
     rets = indicators.with_returns(indicators.positions(bars)).where("rn > 1")
     key = F.col("rn") if align == "position" else F.to_date("ts")
-    # One row for each key, with the symbols' returns: pairs come from it without a join.
+    # One row for each key, with the symbols' returns: pairs of the upper triangle come from it without a join, and are mirrored once summed up.
     wide = rets.groupBy(key.alias("k")).agg(F.array_sort(F.collect_list(F.struct("symbol", "ret"))).alias("v"))
-    pairs = wide.select(F.explode(F.flatten(F.transform("v", lambda a: F.transform(F.col("v"), lambda b: F.struct(a["symbol"].alias("sym_a"), b["symbol"].alias("sym_b"), a["ret"].alias("x"), b["ret"].alias("y")))))).alias("p")).select("p.*")
-    found = pairs.groupBy("sym_a", "sym_b").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("corr"))
+    upper = F.flatten(F.transform("v", lambda a, i: F.transform(F.slice("v", i + 1, F.size("v") - i), lambda b: F.struct(a["symbol"].alias("sym_a"), b["symbol"].alias("sym_b"), a["ret"].alias("x"), b["ret"].alias("y")))))
+    pairs = wide.select(F.explode(upper).alias("p")).select("p.*")
+    half = pairs.groupBy("sym_a", "sym_b").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("corr"))
+    both = F.when(F.col("sym_a") == F.col("sym_b"), F.array(F.struct("sym_a", "sym_b"))).otherwise(F.array(F.struct("sym_a", "sym_b"), F.struct(F.col("sym_b").alias("sym_a"), F.col("sym_a").alias("sym_b"))))
+    found = half.select(F.explode(both).alias("p"), "n", "corr").select("p.*", "n", "corr")
     many = bars.select("symbol").distinct().limit(2).agg(F.count("*").alias("symbols"))
     return found.crossJoin(F.broadcast(many)).where("symbols >= 2").select("sym_a", "sym_b", "n", "corr", signals.correlation_class(F.col("corr")).alias("class"))

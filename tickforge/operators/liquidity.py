@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import dims, static_tables
+from . import timeframe
 
 SPIKE, MIN_DAYS, TOP, REACH_DAYS = 1.2, 10, 6, 3
 
@@ -21,6 +22,14 @@ def history(days: DataFrame, futures: str) -> DataFrame:
     return days.groupBy("date").agg(F.sum(value).alias("total_volume"))
 
 
+def history_for_range(days: DataFrame, range_name: str, as_of: str, futures: str) -> DataFrame:
+    """history of (symbol, date, volume, close) over a range, by days, weeks or months as the range wants: volumes add up, the last close counts."""
+    bars = timeframe.in_range(days.withColumn("ts", F.col("date").cast("timestamp_ntz")), range_name, as_of)
+    interval = timeframe.history_interval(range_name)
+    wide = bars if interval == "1d" else timeframe.coarsen(bars, interval)
+    return history(wide.select("symbol", F.to_date("ts").alias("date"), "volume", "close"), futures)
+
+
 def split_columns(days: DataFrame, total: str = "total_volume") -> DataFrame:
     """A column for each demand source, by name."""
     return days.withColumns({key: F.col(total) * (percent / 100) for key, _, percent, _ in static_tables.SOURCES})
@@ -89,10 +98,10 @@ def nearest_event(days: DataFrame, events: DataFrame | None = None, reach: int =
 
     Each event is put on the days it reaches, so the join is on equal days.
     """
-    events = events if events is not None else F.broadcast(dims.events(days.sparkSession))
-    near = events.select(F.explode(F.sequence(F.date_sub("event_date", reach), F.date_add("event_date", reach))).alias("date"), "event_date", "ordinal", "title", "description")
+    fixed = events is None  # 52 events, so at most 52 * (2 * reach + 1) days
+    near = (dims.events(days.sparkSession) if fixed else events).select(F.explode(F.sequence(F.date_sub("event_date", reach), F.date_add("event_date", reach))).alias("date"), "event_date", "ordinal", "title", "description")
     best = near.groupBy("date").agg(F.min_by(F.struct("event_date", "title", "description"), F.struct(F.abs(F.datediff("date", "event_date")), "ordinal")).alias("e"))
     title, text = static_tables.DEFAULT_EVENT
-    return days.join(F.broadcast(best) if events is None else best, "date", "left").select(
+    return days.join(F.broadcast(best) if fixed else best, "date", "left").select(
         *days.columns, F.col("e.event_date").alias("event_date"), F.coalesce("e.title", F.lit(title)).alias("title"), F.coalesce("e.description", F.lit(text)).alias("description")
     )

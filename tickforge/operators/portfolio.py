@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -25,10 +25,11 @@ def sharpe(ret: Column, risk_free: float = 0.05, per_year: int = 252) -> Column:
     return F.when(vol == 0, 0.0).otherwise(F.try_divide(F.avg(ret) * per_year - risk_free, vol))
 
 
-def drawdowns(values: DataFrame, by: list[str], order: str, value: str = "value") -> DataFrame:
-    """values and drawdown, the distance from the highest value so far in percent."""
-    peak = F.max(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return values.withColumn("drawdown", F.try_divide(peak - F.col(value), peak) * 100)
+def drawdowns(values: DataFrame, by: list[str], order: str, value: str = "value", rows: int = indicators.SLICE_ROWS) -> DataFrame:
+    """values and drawdown, the distance from the highest value so far in percent; peaks are chained over slices of rows."""
+    numbered = values if "rn" in values.columns else indicators.positions(values, order, tuple(by))
+    found = indicators.with_peak(numbered, tuple(by), value, rows).withColumn("drawdown", F.try_divide(F.col("peak") - F.col(value), "peak") * 100).drop("peak")
+    return found if "rn" in values.columns else found.drop("rn")
 
 
 def max_drawdown(values: DataFrame, by: list[str], order: str, value: str = "value") -> DataFrame:
@@ -47,6 +48,12 @@ def check_weights(weights: dict[str, float]) -> None:
         raise ValueError("weights must add up to 100")
 
 
+def weight_totals(allocations: DataFrame, by: list[str]) -> DataFrame:
+    """(by, members, total_weight, is_valid) of (by, symbol, weight): as check_weights for many portfolios at once."""
+    total = F.sum(F.coalesce("weight", F.lit(0.0)))
+    return allocations.groupBy(*by).agg(F.count("symbol").alias("members"), total.alias("total_weight"), ((total == 100) & (F.count("symbol") > 0)).alias("is_valid"))
+
+
 def simulate(bars: DataFrame, weights: dict[str, float], amount: float, start: str, end: str, align: str = "position", whole_end_day: bool = False) -> DataFrame:
     """(i, ts, value): the portfolio's value at each bar; ts is the first symbol's.
 
@@ -64,15 +71,15 @@ def simulate(bars: DataFrame, weights: dict[str, float], amount: float, start: s
     summed = grown.groupBy(key.alias("k")).agg(
         F.sum(F.lit(amount) * F.col("weight") / 100 * F.col("growth")).alias("value"), F.count("*").alias("n"), F.max(F.when(F.col("symbol") == first, F.col("ts"))).alias("ts")
     ).where(F.col("n") == len(weights))
-    numbered = F.row_number().over(Window.orderBy("k")) if align == "date" else F.col("k")
-    return summed.select(numbered.cast("long").alias("i"), "ts", "value")
+    if align == "date":  # days are numbered by month, then in their month
+        summed = indicators.positions(summed, "k", (), "month").withColumn("k", F.col("rn"))
+    return summed.select(F.col("k").cast("long").alias("i"), "ts", "value")
 
 
 def metrics(values: DataFrame, amount: float, start: str, end: str, risk_free: float = 0.05, per_year: int = 252) -> DataFrame:
-    """One row of total_return, cagr, max_drawdown, volatility, sharpe for (i, value); a portfolio's bars are one short series."""
-    one = values.withColumn("g", F.lit(1))
-    rets = one.withColumn("ret", F.try_divide(F.col("value") - F.lag("value").over(Window.partitionBy("g").orderBy("i")), F.lag("value").over(Window.partitionBy("g").orderBy("i"))))
-    falls = drawdowns(rets, ["g"], "i")
+    """One row of total_return, cagr, max_drawdown, volatility, sharpe for (i, value), in slices of rows."""
+    numbered = values.select(F.lit("portfolio").alias("symbol"), F.col("i").alias("rn"), "i", "value")
+    falls = drawdowns(indicators.with_returns(numbered, "value", "i"), ["symbol"], "i")
     years = scalar.year_fraction(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
     last = F.max_by("value", "i")
     return falls.agg(

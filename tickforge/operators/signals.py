@@ -75,21 +75,31 @@ def correlation_class(r: Column) -> Column:
 
 
 def latest_indicators(bars: DataFrame) -> DataFrame:
-    """(symbol, price, rsi_14, sma_50, sma_200, ema_12, ema_26) at each symbol's last bar."""
-    numbered = indicators.positions(bars)
-    windowed = indicators.with_rsi(indicators.with_sma(numbered, [50, 200]), 14)
-    full = windowed.join(indicators.with_ema(numbered, [12, 26]).select("symbol", "rn", "ema_12", "ema_26"), ["symbol", "rn"])
-    last = full.groupBy("symbol").agg(F.max_by(F.struct(F.col("close").alias("price"), "rsi_14", "sma_50", "sma_200", "ema_12", "ema_26"), "rn").alias("v"))
-    return last.select("symbol", "v.*")
+    """(symbol, price, rsi_14, sma_50, sma_200, ema_12, ema_26, cross_ts, cross) at each symbol's last bar, and its last cross.
+
+    One window stage over slices, then partial aggregates.
+    """
+    numbered = indicators.with_last(indicators.positions(bars))
+
+    def windows(cut: DataFrame) -> DataFrame:
+        averaged = indicators.with_rsi(indicators.with_sma(cut, [50, 200]), 14)
+        return averaged.withColumn("cross", indicators.cross_kind("sma_50", "sma_200"))
+
+    full = indicators.in_slices(numbered, 200, windows)
+    at = F.when(F.col("cross").isNotNull(), F.col("ts"))
+    last = full.groupBy("symbol").agg(
+        F.max_by(F.struct(F.col("close").alias("price"), "rsi_14", "sma_50", "sma_200"), "rn").alias("v"),
+        *(indicators.ema_aggregate(p, last=F.col("n")).alias(f"ema_{p}") for p in (12, 26)),
+        F.max(at).alias("cross_ts"), F.max_by("cross", at).alias("cross"),
+    )
+    return last.select("symbol", "v.*", "ema_12", "ema_26", "cross_ts", "cross")
 
 
 def report(bars: DataFrame) -> DataFrame:
     """Latest indicators, the latest cross, and one signal for each symbol."""
-    now = latest_indicators(bars)
-    crossed = indicators.recent_cross(indicators.crosses(indicators.with_sma(bars, [50, 200])))
     price = F.col("price")
     parts = [F.when(F.col("rsi_14").isNotNull(), from_rsi(F.col("rsi_14")))] + [F.when(F.col(c).isNotNull(), from_average(price, F.col(c))) for c in ("sma_50", "sma_200", "ema_12", "ema_26")]
-    return now.join(crossed, "symbol", "left").withColumn("signal", combine(parts))
+    return latest_indicators(bars).withColumn("signal", combine(parts))
 
 
 def panel(bars: DataFrame) -> DataFrame:

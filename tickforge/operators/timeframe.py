@@ -55,6 +55,11 @@ def resample(ticks: DataFrame, interval: str) -> DataFrame:
     ).withColumnRenamed("bar_ts", "ts")
 
 
+def bars_for_range(ticks: DataFrame, range_name: str, as_of: str, interval: str | None = None) -> DataFrame:
+    """Bars of a range at its own width, or at `interval`; the range is cut before bars are made."""
+    return resample(in_range(ticks, range_name, as_of), interval_for(range_name, interval))
+
+
 def coarsen(bars: DataFrame, interval: str) -> DataFrame:
     """Wider bars from bars (symbol, ts, close, volume)."""
     return bars.groupBy("symbol", F.date_trunc(TRUNC[interval], "ts").cast("timestamp_ntz").alias("bar_ts")).agg(

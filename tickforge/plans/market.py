@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -21,14 +24,21 @@ def bars_in_range(spark, d):
     return timeframe.in_range(adapters.daily_bars(spark, d), "1Y", AS_OF).select("symbol", "ts", "close", "volume")
 
 
+def bars_by_range(spark, d):
+    """Bars of four ranges, each at its own width, and one at a width asked for."""
+    asked = [(k, None) for k in ("1D", "1W", "1M", "5Y")] + [("1D", "1h")]
+    found = [timeframe.bars_for_range(adapters.ticks(spark, d), k, adapters.TICKS_AS_OF, i).select(F.lit(k).alias("range"), F.lit(timeframe.interval_for(k, i)).alias("width"), "symbol", "ts", "open", "high", "low", "close", "volume") for k, i in asked]
+    return reduce(DataFrame.unionByName, found)
+
+
 def sma_50_200(spark, d):
     return indicators.with_sma(adapters.daily_bars(spark, d), [50, 200]).select("symbol", "ts", r("sma_50"), r("sma_200"))
 
 
 def sma_sliced(spark, d):
     """The same from slices of 500 rows."""
-    cut = indicators.sliced(indicators.positions(adapters.daily_bars(spark, d)), 199, 500)
-    return indicators.with_sma(cut, [50, 200]).where("not extra").select("symbol", "ts", r("sma_50"), r("sma_200"))
+    bars = adapters.daily_bars(spark, d)
+    return indicators.in_slices(bars, 199, lambda cut: indicators.with_sma(cut, [50, 200]), rows=500).select("symbol", "ts", r("sma_50"), r("sma_200"))
 
 
 def ema_12_26(spark, d):
@@ -65,11 +75,11 @@ def _ohlc(interval):
 
 
 def ma_crosses(spark, d):
-    return indicators.crosses(indicators.with_sma(adapters.daily_bars(spark, d), [50, 200])).select("symbol", "ts", F.col("cross").alias("cross_type"))
+    return indicators.average_crosses(adapters.daily_bars(spark, d)).select("symbol", "ts", F.col("cross").alias("cross_type"))
 
 
 def recent_cross(spark, d):
-    found = indicators.recent_cross(indicators.crosses(indicators.with_sma(adapters.daily_bars(spark, d), [50, 200])))
+    found = indicators.recent_cross(indicators.average_crosses(adapters.daily_bars(spark, d)))
     return found.select("symbol", "cross_ts", F.col("cross").alias("cross_type"), signals.cross_text(F.col("cross")).alias("banner"))
 
 
@@ -89,7 +99,7 @@ def rsi_zone(spark, d):
 
 def normalized_compare(spark, d):
     recent = timeframe.in_range(adapters.daily_bars(spark, d), "6M", AS_OF)
-    return compare.normalized(recent, ["A", "N", "R"]).select("date", *(F.round(s, 4).alias(f"pct_{s.lower()}") for s in "ANR"))
+    return compare.normalized(recent, ["A", "N", "R"]).select("date", *(F.round(s, 4).alias(f"pct_{s.lower()}") for s in "ANR")).orderBy("date")
 
 
 def growth_factors(spark, d):
@@ -133,6 +143,13 @@ def running_peak(spark, d):
 
 
 QUERIES = {
+    "bars_by_range": (
+        bars_by_range,
+        " UNION ALL ".join(
+            f"(SELECT '{k}' AS range, '{i}' AS width, event_type AS symbol, {trunc} AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events WHERE events.ts BETWEEN TIMESTAMP '{adapters.TICKS_AS_OF}' - INTERVAL {days} DAY AND TIMESTAMP '{adapters.TICKS_AS_OF}' GROUP BY event_type, {trunc})"
+            for k, i, days, trunc in (("1D", "5m", 1, "time_bucket(INTERVAL 5 MINUTE, events.ts)"), ("1W", "15m", 7, "time_bucket(INTERVAL 15 MINUTE, events.ts)"), ("1M", "1d", 30, "date_trunc('day', events.ts)::TIMESTAMP"), ("5Y", "1wk", 1825, "date_trunc('week', events.ts)::TIMESTAMP"), ("1D", "1h", 1, "date_trunc('hour', events.ts)"))
+        ),
+    ),
     "bars_in_range": (bars_in_range, f"WITH {sql.BARS} SELECT symbol, ts, close, volume FROM bars WHERE ts BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY AND TIMESTAMP '{AS_OF}'"),
     "sma_50_200": (sma_50_200, f"WITH {sql.INDICATORS} SELECT symbol, ts, round(sma_50, 4) AS sma_50, round(sma_200, 4) AS sma_200 FROM rsi"),
     "sma_sliced": (sma_sliced, f"WITH {sql.INDICATORS} SELECT symbol, ts, round(sma_50, 4) AS sma_50, round(sma_200, 4) AS sma_200 FROM rsi"),
@@ -145,7 +162,7 @@ QUERIES = {
     "ohlc_weekly": (ohlc_weekly, f"WITH {sql.BARS} SELECT symbol, date_trunc('week', ts)::TIMESTAMP AS ts, arg_min(close, rn) AS open, max(close) AS high, min(close) AS low, arg_max(close, rn) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2"),
     **{
         f"ohlc_{name}": (_ohlc(i), f"SELECT event_type AS symbol, {trunc} AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2")
-        for name, i, trunc in (("15m", "15m", "time_bucket(INTERVAL 15 MINUTE, ts)"), ("hourly", "1h", "date_trunc('hour', ts)"), ("daily", "1d", "date_trunc('day', ts)::TIMESTAMP"), ("monthly", "1mo", "date_trunc('month', ts)::TIMESTAMP"))
+        for name, i, trunc in (("5m", "5m", "time_bucket(INTERVAL 5 MINUTE, ts)"), ("15m", "15m", "time_bucket(INTERVAL 15 MINUTE, ts)"), ("hourly", "1h", "date_trunc('hour', ts)"), ("daily", "1d", "date_trunc('day', ts)::TIMESTAMP"), ("monthly", "1mo", "date_trunc('month', ts)::TIMESTAMP"))
     },
     "ma_crosses": (ma_crosses, f"WITH {sql.CROSSES} SELECT symbol, ts, cross_type FROM crosses"),
     "recent_cross": (recent_cross, f"WITH {sql.CROSSES}, l AS (SELECT symbol, max(ts) AS cross_ts, arg_max(cross_type, ts) AS cross_type FROM crosses GROUP BY symbol) SELECT *, CASE cross_type WHEN 'golden_cross' THEN 'Golden Cross: SMA-50 crossed above SMA-200' ELSE 'Death Cross: SMA-50 crossed below SMA-200' END AS banner FROM l"),

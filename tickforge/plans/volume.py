@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import liquidity, timeframe
+from ..operators import liquidity, portfolio, timeframe
 from ..sources import adapters, dims, readers, static_tables
 from ..streaming import streams
 from . import sql
 
 FUTURES = adapters.FUTURES
+CACHE_SECONDS = 24 * streams.TTL_SECONDS["daily"]
+RANGES = ("1Y", "5Y", "ALL")
 SPLIT = [k for k, *_ in static_tables.SOURCES]
 
 
@@ -27,13 +32,19 @@ def _total(spark, d):
 
 
 def liquidity_history(spark, d):
-    return liquidity.split_columns(_history(spark, d)).select("date", r("total_volume"), *(r(k) for k in SPLIT))
+    return liquidity.split_columns(_history(spark, d)).select("date", r("total_volume"), *(r(k) for k in SPLIT)).orderBy("date")
 
 
 def liquidity_spikes_explained(spark, d):
     return liquidity.nearest_event(liquidity.spikes(_history(spark, d))).select("date", r("total_volume"), r("deviation"), "event_date", "title", "description")
 
 
+def history_by_range(spark, d):
+    """Histories of three ranges, whose bars are days, weeks and months."""
+    found = [liquidity.history_for_range(adapters.tick_days(spark, d), k, adapters.TICKS_AS_OF, FUTURES).select(F.lit(k).alias("range"), "date", r("total_volume")) for k in RANGES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def spikes_topk(spark, d):
     return liquidity.spikes(adapters.order_days(spark, d)).select("date", r("total_volume"), r("deviation", 6))
 
@@ -53,7 +64,7 @@ def ticker_point(spark, d):
 def source_order(spark, d):
     """Sources by their place in a legend that leaves some out."""
     place = scalar.order_of(F.col("key"), ["mining", "jewelry", "institutional"])
-    return dims.sources(spark).select("key", "name", place.cast("int").alias("place"))
+    return dims.sources(spark).orderBy(place, "ordinal").select("key", "name", place.cast("int").alias("place"))
 
 
 def price_chart(spark, d):
@@ -139,6 +150,45 @@ def format_money(spark, d):
     return rows.select("c_custkey", scalar.currency(F.col("v")).alias("money"), scalar.sign_class(F.col("v")).alias("sign"))
 
 
+def format_numbers(spark, d):
+    rows = adapters.table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"))
+    return rows.select("c_custkey", scalar.percent(F.col("v")).alias("percent"), scalar.number(F.col("v")).alias("short"), scalar.number(F.col("v") * 1000).alias("thousands"))
+
+
+def date_parts(spark, d):
+    """The days of texts such as 2024-01-02T03:04:05."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return adapters.ticks(spark, d).select("id", scalar.date_part(iso).alias("day"))
+
+
+def fallback_values(spark, d):
+    """Balances and names with gaps, zeros and empty texts, and what stands in for them."""
+    s, k = adapters.table(spark, d, "supplier"), F.col("s_suppkey") % 4
+    balance, name = F.when(k == 0, 0.0).when(k != 1, F.col("s_acctbal")), F.when(k == 2, "").when(k != 3, F.col("s_name"))
+    return s.select("s_suppkey", scalar.fallback(balance, 7.0).alias("balance"), scalar.fallback(name, "none").alias("name"))
+
+
+def weight_checks(spark, d):
+    """Order priorities as weights of each customer's portfolio, whole percents of its orders: which add up to 100."""
+    orders = adapters.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("portfolio"), F.col("o_orderpriority").alias("symbol")).agg(F.count("*").alias("n"))
+    sums = orders.groupBy("portfolio").agg(F.sum("n").alias("all"))
+    weights = orders.join(sums, "portfolio").select("portfolio", "symbol", scalar.half_up(F.col("n") * 100 / F.col("all"), 0).cast("double").alias("weight"))
+    return portfolio.weight_totals(weights, ["portfolio"])
+
+
+def symbol_lists(spark, d):
+    """Comma lists with empty parts, as arrays."""
+    text = F.concat_ws(",", "symbol", F.lit(""), F.upper("symbol"), F.lit(""))
+    found = adapters.ticks(spark, d).select("id", readers.parse_symbols(text).alias("symbols"))
+    return found.select("id", F.size("symbols").cast("long").alias("n"), F.array_join("symbols", ";").alias("symbols"))
+
+
+def cached_lookups(spark, d):
+    """Each user's requests: which find an answer not yet expired."""
+    requests = adapters.table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    return streams.lookup_hits(requests, CACHE_SECONDS).select("id", "key", "hit")
+
+
 def rate_limit_windows(spark, d):
     requests = adapters.table(spark, d, "events").select(F.col("user_id").alias("client"), "ts")
     return streams.rate_limits(requests, 2).select("client", F.col("ts").cast("timestamp_ntz").alias("ts"), "n", F.col("allowed").cast("long").alias("allowed"), F.col("rejected").cast("long").alias("rejected"))
@@ -197,6 +247,39 @@ QUERIES = {
         liquidity_spikes_explained,
         f"WITH {sql.HISTORY}, {_SPIKES.format('history')}, {sql.EVENTS}, top AS (SELECT * FROM spikes ORDER BY deviation DESC, date LIMIT 6) SELECT s.date, round(s.total_volume, 4) AS total_volume, round(s.deviation, 4) AS deviation, e.event_date, coalesce(e.title, {_TITLE}) AS title, coalesce(e.description, {_TEXT}) AS description FROM top s {_NEAREST}",
     ),
+    "history_by_range": (
+        history_by_range,
+        f"WITH {sql.DAYS} "
+        + " UNION ALL ".join(
+            f"(WITH b AS (SELECT symbol, {trunc} AS date, sum(volume) AS volume, arg_max(close, date) AS close FROM days WHERE CAST(date AS TIMESTAMP) BETWEEN {since} AND TIMESTAMP '{adapters.TICKS_AS_OF}' GROUP BY 1, 2) SELECT '{k}' AS range, date, round(sum(volume * close * CASE WHEN symbol = 'purchase' THEN 100 ELSE 1 END), 4) AS total_volume FROM b GROUP BY date)"
+            for k, trunc, since in (("1Y", "date", f"TIMESTAMP '{adapters.TICKS_AS_OF}' - INTERVAL 365 DAY"), ("5Y", "CAST(date_trunc('week', date) AS DATE)", f"TIMESTAMP '{adapters.TICKS_AS_OF}' - INTERVAL 1825 DAY"), ("ALL", "CAST(date_trunc('month', date) AS DATE)", f"TIMESTAMP '{timeframe.ALL_SINCE}'"))
+        ),
+    ),
+    "format_numbers": (
+        format_numbers,
+        "WITH v AS (SELECT c_custkey, c_acctbal AS v FROM customer), s AS (SELECT c_custkey, v, abs(v) AS a, abs(v * 1000) AS b FROM v) SELECT c_custkey, CASE WHEN v >= 0 THEN '+' ELSE '' END || printf('%.2f%%', v) AS percent, "
+        + ", ".join(
+            f"CASE WHEN v < 0 THEN '-' ELSE '' END || CASE WHEN {c} >= 1e6 THEN regexp_replace(printf('%.1f', round({c} / 1e6, 1)), '[.]0$', '') || 'M' WHEN {c} >= 1e3 THEN regexp_replace(printf('%.1f', round({c} / 1e3, 1)), '[.]0$', '') || 'K' ELSE regexp_replace(printf('%.1f', round({c}, 1)), '[.]0$', '') END AS {n}"
+            for c, n in (("a", "short"), ("b", "thousands"))
+        )
+        + " FROM s",
+    ),
+    "date_parts": (date_parts, "SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS day FROM events"),
+    "fallback_values": (
+        fallback_values,
+        "SELECT s_suppkey, CASE WHEN s_suppkey % 4 IN (0, 1) OR s_acctbal = 0 THEN 7.0 ELSE s_acctbal END AS balance, CASE WHEN s_suppkey % 4 IN (2, 3) THEN 'none' ELSE s_name END AS name FROM supplier",
+    ),
+    "weight_checks": (
+        weight_checks,
+        "WITH o AS (SELECT o_custkey AS portfolio, o_orderpriority AS symbol, count(*) AS n FROM orders GROUP BY 1, 2), w AS (SELECT portfolio, floor(n * 100 / sum(n) OVER (PARTITION BY portfolio) + 0.5) AS weight FROM o) SELECT portfolio, count(*) AS members, CAST(sum(weight) AS DOUBLE) AS total_weight, sum(weight) = 100 AS is_valid FROM w GROUP BY portfolio",
+    ),
+    "symbol_lists": (symbol_lists, "SELECT event_id AS id, 2::BIGINT AS n, array_to_string(list_filter(string_split(event_type || ',,' || upper(event_type) || ',', ','), lambda x: x <> ''), ';') AS symbols FROM events"),
+    "cached_lookups": (
+        cached_lookups,
+        f"""WITH RECURSIVE e AS (SELECT user_id AS key, ts, min(event_id) AS id FROM events GROUP BY 1, 2),
+misses AS (SELECT key, min(ts) AS ts FROM e GROUP BY key UNION ALL SELECT m.key, min(e.ts) AS ts FROM misses m JOIN e ON e.key = m.key AND e.ts >= m.ts + INTERVAL {CACHE_SECONDS} SECOND GROUP BY m.key, m.ts)
+SELECT event_id AS id, user_id AS key, e.id IS NULL AS hit FROM events LEFT JOIN (SELECT e.id FROM e JOIN misses USING (key, ts)) e ON e.id = event_id""",
+    ),
     "spikes_topk": (spikes_topk, f"WITH {_ORDERS}, {_SPIKES.format('order_days')} SELECT date, round(total_volume, 4) AS total_volume, round(deviation, 6) AS deviation FROM spikes ORDER BY spikes.deviation DESC, date LIMIT 6"),
     "spike_days": (spike_days, f"WITH {_ORDERS}, {_SPIKES.format('order_days')} SELECT date, round(total_volume, 4) AS total_volume, round(deviation, 6) AS deviation FROM spikes"),
     "spikes_numbered": (spikes_numbered, f"WITH {_ORDERS}, {_SPIKES.format('order_days')}, top AS (SELECT date FROM spikes ORDER BY deviation DESC, date LIMIT 6) SELECT date, CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS number, strftime(date, '%m-%d') AS label FROM top"),

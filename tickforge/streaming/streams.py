@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import indicators
+
 # Seconds that answers stay fresh, by kind of query, and request limits.
 TTL_SECONDS = {"quote": 30, "intraday": 60, "daily": 1800, "gold": 60}
 LIMIT, LIMIT_WINDOW = 100, "60 seconds"
@@ -57,6 +60,35 @@ def cached_lookups(requests: DataFrame, ttl_seconds: int, late: str = "10 minute
     return rows.applyInPandasWithState(serve, "key string, ts timestamp, hit boolean", "filled long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def lookup_hits(requests: DataFrame, ttl_seconds: int) -> DataFrame:
+    """requests (key, ts, id) and hit, in batch form: a request within `ttl_seconds` of the last miss of its key is a hit; ids order requests of one moment.
+
+    After a gap as long as that, a request is a miss whatever came before. So each key's requests are cut at such gaps, found
+    in slices of rows, and the parts are streamed in order by different tasks.
+    """
+    ttl = ttl_seconds * 10**6
+    at = F.expr("unix_micros(cast(ts as timestamp))")
+    rows = indicators.positions(requests.select(F.col("key").alias("symbol"), F.struct("ts", "id").alias("at"), "ts", "id"), tie="id")
+    gap = at - F.lag(at).over(indicators.by_slice("at"))
+    marked = indicators.in_slices(rows, 1, lambda cut: cut.withColumn("first", F.when(F.coalesce(gap >= ttl, F.lit(True)), F.col("rn"))), "at")
+    parts = indicators.with_peak(marked, ("symbol",), "first").select("symbol", "peak", "ts", "id", at.alias("us"))
+
+    def serve(batches):
+        part, filled = None, 0
+        for b in batches:
+            hits = []
+            for key, peak, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
+                hit = part == (key, peak) and us - filled < ttl
+                if not hit:
+                    part, filled = (key, peak), us
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(hits, pa.bool_())], names=["key", "ts", "id", "hit"])
+
+    kinds = dict(parts.dtypes)
+    ordered = parts.repartition("symbol", "peak").sortWithinPartitions("symbol", "peak", "us", "id")
+    return ordered.mapInArrow(serve, f"key {kinds['symbol']}, ts {kinds['ts']}, id {kinds['id']}, hit boolean")
+
+
 def polling(writer, market_is_open: bool):
     """A stream writer that polls every 30 seconds in market hours, every 300 outside."""
     return writer.trigger(processingTime=f"{30 if market_is_open else 300} seconds")
