@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One Arrow batch is worked on in runs of documents of about so many bytes, to bound a task's memory.
 RUN_BYTES = 1 << 20
+MARK = (1 << 31) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +57,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_mark(text: F.Column) -> F.Column:
+    """31 bits that tell rows of one id with different texts apart; as mark_of in tasks."""
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")).bitwiseAND(F.lit(MARK))
+
+
+def mark_of(text: bytes) -> int:
+    return zlib.crc32(text) & MARK
+
+
+def heavy(counted: DataFrame, on: str, count: str = "n", share: int = 1000) -> DataFrame:
+    """(on): values with more than a `share`-th of all rows, so fewer than `share` of them; counted: (on, count)."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return save(counted.where(F.col(count) > total // share).select(on), "heavy")
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: str, hot: DataFrame, by: list[str], copies: int = 64) -> DataFrame:
+    """left joined with right (one row a value of `on`): rows of hot values (see heavy) are dealt by a hash of columns `by` over copies of their row."""
+    mark, salt = fresh(left, "_hot"), fresh(left, "_salt")
+    few = F.broadcast(hot.withColumn(mark, F.lit(True)))
+    dealt = left.join(few, on, "left").withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(*by), F.lit(copies)).cast("int")).otherwise(0)).drop(mark)
+    every = F.explode(F.when(F.col(mark), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(right.join(few, on, "left").withColumn(salt, every).drop(mark), [on, salt]).drop(salt)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -136,11 +163,16 @@ def split_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of data, alike wherever a word stands."""
-    up, down = _powers(_BASE, len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """XXH3 of each word of data, alike wherever a word stands; each distinct word is hashed once."""
+    change = np.zeros(len(data) + 1, np.int8)
+    change[starts] += 1
+    change[ends] -= 1
+    inside = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    offsets = np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.fromiter(map(digest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return hashes[words.indices.to_numpy()] if len(starts) else hashes
 
 
 def hash_windows(words: np.ndarray, k: int) -> np.ndarray:

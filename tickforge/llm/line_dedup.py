@@ -10,8 +10,8 @@ tasks. A key that touches an end of a task's range is settled afterwards from at
 What comes back is a bitmap of the lines to keep for each document that loses any, not text.
 
 Nulls and edge cases: a null or empty text is one empty line; a null doc_id's lines count as one more document,
-smaller than all others, and what such rows lose is lost in all of them; extra columns are kept by
-`drop_lines`; repeated rows of a doc_id are one document; empty tables give empty results.
+smaller than all others; extra columns are kept by `drop_lines`; repeated rows of a doc_id, or of none, are one document, and
+each loses lines of its own text; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,30 +26,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, save, shuffle_partitions
+from .common import fresh, mark_of, save, shuffle_partitions, text_mark
 
 WHITE = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
 
 
 def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(h, g, doc, pos): a 128-bit key hash in two longs, for each line that is long enough."""
+    """(h, g, doc, pos): a 128-bit key hash in two longs, for each line that is long enough; pos has the row's text_mark above its 32 bits."""
 
     def work(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             keys, doc, pos = [], [], []
             for i, text in enumerate(b.column(1)):
-                for p, line in enumerate((text.as_py() or "").split("\n")):
+                text = text.as_py() or ""
+                base = mark_of(text.encode()) << 32
+                for p, line in enumerate(text.split("\n")):
                     if len(line) >= min_chars and len(line := line.strip(WHITE)) >= min_chars:
                         keys.append(xxhash.xxh3_128_digest(line.encode().lower()))
                         doc.append(ids[i])
-                        pos.append(p)
+                        pos.append(base | p)
             hashes = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(doc, pa.int64()), pa.array(pos, pa.int32())], names=["h", "g", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(doc, pa.int64()), pa.array(pos, pa.int64())], names=["h", "g", "doc", "pos"])
 
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(ids.alias("id"), text_col).mapInArrow(work, "h long, g long, doc long, pos int")
+    return docs.select(ids.alias("id"), text_col).mapInArrow(work, "h long, g long, doc long, pos long")
 
 
 def stream_range(batches, min_docs: int):
@@ -104,7 +106,7 @@ def stream_range(batches, min_docs: int):
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc, pos): the lines to drop."""
+    """(doc, pos): the lines to drop; pos as in hashed_lines."""
     spark = docs.sparkSession
     order = [F.col("h"), F.col("g"), F.col("doc").desc(), F.col("pos")]
     lines = hashed_lines(docs, id_col, text_col, min_chars)
@@ -133,20 +135,22 @@ def unpack_bitmap(blob: bytes | None, n: int) -> np.ndarray:
 
 
 def keep_bitmaps(dropped: DataFrame) -> DataFrame:
-    """(doc, bitmap) for each document that loses lines. A group is one document's lines."""
+    """(doc, mark, bitmap) for each document that loses lines. A group is one document's lines, those of one text if it has several."""
 
     def pack(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack_bitmap(np.asarray(x.as_py(), np.int64)) for x in b.column(1)], pa.binary())], names=["doc", "bitmap"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack_bitmap(np.asarray(x.as_py(), np.int64)) for x in b.column(2)], pa.binary())], names=["doc", "mark", "bitmap"])
 
-    return dropped.groupBy("doc").agg(F.collect_set("pos").alias("pos")).mapInArrow(pack, "doc long, bitmap binary")
+    mark, place = F.shiftright("pos", 32), F.col("pos").bitwiseAND(F.lit((1 << 32) - 1))
+    return dropped.groupBy("doc", mark.alias("mark")).agg(F.collect_set(place).alias("pos")).mapInArrow(pack, "doc long, mark long, bitmap binary")
 
 
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, out: str = "keep_bitmap") -> DataFrame:
     """docs and a column of bitmaps, null for documents that lose nothing."""
-    key = fresh(docs, "_doc")
-    bitmaps = keep_bitmaps(dropped_lines(docs, id_col, text_col, min_chars, min_docs)).select(F.col("doc").alias(key), F.col("bitmap").alias(out))
-    return docs.join(bitmaps, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col(key), "left").drop(key)
+    key, mark = fresh(docs, "_doc"), fresh(docs, "_mark")
+    bitmaps = keep_bitmaps(dropped_lines(docs, id_col, text_col, min_chars, min_docs)).select(F.col("doc").alias(key), F.col("mark").alias(mark), F.col("bitmap").alias(out))
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col(key)) & (text_mark(docs[text_col]) == F.col(mark))
+    return docs.join(bitmaps, same, "left").drop(key, mark)
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
