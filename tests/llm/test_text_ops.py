@@ -26,6 +26,24 @@ def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
+def test_word_hashes():
+    """Words that a polynomial modulo 2^64 can't tell apart, and the same word at any place."""
+    import numpy as np
+
+    from tickforge.llm import common
+
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    text = np.frombuffer(f"{thue} {thue.translate(str.maketrans('ab', 'ba'))} x {thue}".encode(), np.uint8)
+    starts, ends, _ = common.split_words(text, np.array([0, len(text)]), common.SPACED)
+    h = common.hash_words(text, starts, ends).tolist()
+    assert h[0] == h[3] and len(set(h)) == 3
+    two = np.frombuffer(b"abab", np.uint8)  # rows that end and begin inside a run of letters
+    starts, ends, _ = common.split_words(two, np.array([0, 2, 4]), common.SPACED)
+    assert common.hash_words(two, starts, ends).tolist() == [common.xxhash.xxh3_64_intdigest(b"ab")] * 2
+
+
 def test_lines(spark, tmp_path):
     texts = awkward() + [f"common line of the whole corpus\nown {i}" for i in range(60)]
     d = write(spark, tmp_path, documents=documents(spark, texts).repartition(7))
@@ -86,13 +104,33 @@ def test_substrings(spark, tmp_path, monkeypatch, hot):
 
 
 def test_automaton():
+    """Matching statistics of texts that are and that aren't in the automaton."""
     a = substring_dedup.Automaton()
-    a.add("b a n a n a".split(), 5)
-    a.add("a n a s".split(), 2)
-    a.add("n a n".split(), 1)
-    a.finish()
-    assert a.first_docs("b a n a n a".split(), 3).tolist() == [5, 2, 1, 2]
-    assert a.first_docs("a n a s".split(), 2).tolist() == [1, 1, 2]
+    for text, doc in (("n a n", 1), ("a n a s", 2), ("b a n a n a", 5)):
+        a.add(text.split(), doc)
+    assert a.statistics("b a n a n a".split(), 3)[1] == [None, None, 5, 2, 1, 2]
+    assert a.statistics("a n a s".split(), 2)[1] == [None, 1, 1, 2]
+    assert a.statistics("x n a q a n a s s".split(), 9)[0] == [0, 1, 2, 0, 1, 2, 3, 4, 1]
+    assert a.statistics("x n a q a n a s s".split(), 3)[1] == [None] * 6 + [2, 2, None]
+
+
+def test_automaton_against_all_pairs():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        texts = [[rng.choice("ab" if k % 2 else "abc") for _ in range(rng.randrange(1, 25))] for k in range(6)]
+        foreign = [rng.choice("abcd") for _ in range(40)]
+        a, k = substring_dedup.Automaton(), rng.randrange(1, 6)
+        for doc, t in enumerate(texts):
+            a.add(t, doc)
+        inside = lambda part, t: any(t[i : i + len(part)] == part for i in range(len(t) - len(part) + 1))
+        lengths, docs = a.statistics(foreign, k)
+        for i in range(len(foreign)):
+            longest = max(n for n in range(i + 2) if n == 0 or any(inside(foreign[i + 1 - n : i + 1], t) for t in texts))
+            assert min(lengths[i], k) == min(longest, k)
+            want = next((d for d, t in enumerate(texts) if inside(foreign[i + 1 - k : i + 1], t)), None) if longest >= k else None
+            assert docs[i] == want
 
 
 def test_simhash(spark, tmp_path):
@@ -176,7 +214,7 @@ def test_decontamination(spark, tmp_path):
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 8)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 3)
     bench = spark.createDataFrame([(i, prose(12, 300 + i, 900)) for i in range(5)], "item_id long, text string")
     docs = documents(spark, [prose(12, 301, 900), prose(12, 304, 900) + " " + prose(12, 300, 900), "clean"])
     got = {r.doc_id: r["items"] for r in decontam.spans(docs, bench).collect()}

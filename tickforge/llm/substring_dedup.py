@@ -8,17 +8,19 @@ doc_id, and a word goes if any window over it goes.
 2. Those windows' hashes meet in buckets, packed, once for each batch of documents. What is left are passages: runs
    of windows that (but for hash collisions) occur in several documents.
 3. A passage is cut into pieces, runs of windows under one key. Equal pieces are collapsed to the smallest doc_id, and
-   reference shards, bounded in words, take all pieces of a key. A shard builds a suffix automaton over its pieces in
-   which each state knows the smallest doc_id that has its words, and streams the pieces through it: the matching
-   statistics give, for each window, the first document that has it. They decide; the hashes before only spare work.
+   reference shards, bounded in words, take all pieces of a key. A shard takes its pieces in ascending doc_id: each is
+   streamed through the suffix automaton of the documents before it, following suffix links where it stops matching, and the
+   matching statistics say which windows an earlier document has, and which document is the first. A piece with a window
+   that is new then goes into the automaton itself. The statistics decide; the hashes before only spare work.
 4. Each document takes the answers of its pieces, and its removed windows become spans.
 
-A shard's automaton goes to the pieces of its keys instead of to every document: other documents can't match it, and
+A shard's automaton meets the pieces of its keys instead of every document: other documents can't match it, and
 a broadcast to all would make the work grow as the square of the corpus. A key whose different pieces have more
 than `HOT` words is cut into single windows, dealt over shards by their hash, so that no shard depends on one key's size.
+Keys and pieces that many documents have are salted where they are joined.
 
 Nulls and edge cases: a null text has no words; documents shorter than a window lose nothing; a document without a
-doc_id loses nothing and takes nothing from others; repeated rows of a doc_id are judged alike, none against another;
+doc_id loses nothing and takes nothing from others; repeated rows of a doc_id, equal or not, lose what an earlier doc_id has, none against another;
 extra columns stay out of the spans; empty tables give empty results.
 """
 
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, fresh, hash_windows, hash_words, ranges, save, shuffle_partitions, split_words, text_runs
+from .common import SPACED, fresh, hash_windows, hash_words, heavy, join_spread, mark_of, ranges, save, shuffle_partitions, split_words, text_mark, text_runs
 
 WINDOW, GRAM, HOT, SHARD_WORDS, BATCH_BYTES = 50, 10, 20_000, 20_000, 1 << 20
 
@@ -78,7 +80,7 @@ SPANS = "bid long, docs binary, starts binary, sizes binary, keys binary, words
 
 
 def candidate_spans(docs: DataFrame, window: int) -> DataFrame:
-    """Batches of spans of windows under shared keys; docs: (doc, text, keys binary)."""
+    """Batches of spans of windows under shared keys; docs: (doc, text, keys binary). Starts have the row's text_mark above their 32 bits."""
 
     def flush(rows: list) -> pa.RecordBatch:
         blobs = [np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)]
@@ -106,10 +108,11 @@ def candidate_spans(docs: DataFrame, window: int) -> DataFrame:
                         continue
                     hit = np.isin(own_keys, np.frombuffer(shared[d], np.uint64))
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+                    base = mark_of(raw[offsets[d - i] : offsets[d - i + 1]]) << 32 if len(edges) else 0
                     for a, z in zip(edges[::2], edges[1::2]):
                         s, e = own[a], own[z - 1] + window
                         text = b" ".join(raw[x:y] for x, y in zip(starts[s:e].tolist(), ends[s:e].tolist()))
-                        rows.append((ids[d], int(s - first[d - i]), int(e - s), own_keys[a:z], text))
+                        rows.append((ids[d], base + int(s - first[d - i]), int(e - s), own_keys[a:z], text))
                         size += len(text)
                     if size >= BATCH_BYTES:
                         yield flush(rows)
@@ -207,21 +210,21 @@ def pieces(spans: DataFrame, found: DataFrame, window: int) -> DataFrame:
 
 
 class Automaton:
-    """A suffix automaton of several word sequences; each state knows the smallest document of its words."""
+    """A suffix automaton of word sequences that come in ascending order of their documents; each state knows the first document of its words."""
 
     def __init__(self):
         self.next: list[dict] = [{}]
-        self.link, self.length, self.least = [-1], [0], [1 << 63]
+        self.link, self.length, self.first = [-1], [0], [-1]
 
-    def _state(self, length: int, link: int, moves: dict, least: int) -> int:
+    def _state(self, length: int, link: int, moves: dict, first: int | None) -> int:
         self.next.append(moves)
         self.link.append(link)
         self.length.append(length)
-        self.least.append(least)
+        self.first.append(first)
         return len(self.next) - 1
 
     def add(self, words: list, doc: int) -> None:
-        nxt, link, length, least = self.next, self.link, self.length, self.least
+        nxt, link, length, first = self.next, self.link, self.length, self.first
         last = 0
         for w in words:
             q = nxt[last].get(w)
@@ -230,7 +233,7 @@ class Automaton:
                     q = self._split(last, w, q)
                 last = q
             else:
-                cur = self._state(length[last] + 1, 0, {}, 1 << 63)
+                cur = self._state(length[last] + 1, 0, {}, None)
                 p = last
                 while p != -1 and w not in nxt[p]:
                     nxt[p][w] = cur
@@ -239,61 +242,67 @@ class Automaton:
                     q = nxt[p][w]
                     link[cur] = q if length[p] + 1 == length[q] else self._split(p, w, q)
                 last = cur
-            if doc < least[last]:
-                least[last] = doc
+            p = last
+            while p != -1 and first[p] is None:  # suffixes seen before have an earlier document
+                first[p] = doc
+                p = link[p]
 
     def _split(self, p: int, w, q: int) -> int:
         """A state for the words up to w from p, of which q then holds the longer ones only."""
         nxt, link = self.next, self.link
-        clone = self._state(self.length[p] + 1, link[q], dict(nxt[q]), 1 << 63)
+        clone = self._state(self.length[p] + 1, link[q], dict(nxt[q]), self.first[q])
         link[q] = clone
         while p != -1 and nxt[p].get(w) == q:
             nxt[p][w] = clone
             p = link[p]
         return clone
 
-    def finish(self) -> None:
-        """Smallest documents go from longer words to their suffixes."""
-        least, link = self.least, self.link
-        for v in sorted(range(1, len(least)), key=self.length.__getitem__, reverse=True):
-            if least[v] < least[link[v]]:
-                least[link[v]] = least[v]
-
-    def first_docs(self, words: list, window: int) -> np.ndarray:
-        """The smallest document of each window of a sequence that is in the automaton."""
-        nxt, link, length, least = self.next, self.link, self.length, self.least
-        state, out = 0, []
-        for i, w in enumerate(words):
-            state = nxt[state][w]
-            while length[link[state]] >= window:
+    def statistics(self, words: list, window: int) -> tuple[list[int], list[int | None]]:
+        """Matching statistics: at each word, how many words up to it are in the automaton (those beyond `window` may be left
+        out of the count) and, where they are a window, the first document that has it."""
+        nxt, link, length, first = self.next, self.link, self.length, self.first
+        state, n = 0, 0
+        lengths, docs = [], []
+        for w in words:
+            while state and w not in nxt[state]:  # a shorter match may go on
                 state = link[state]
-            if i >= window - 1:
-                out.append(least[state])
-        return np.array(out, np.int64)
+                n = length[state]
+            to = nxt[state].get(w)
+            if to is not None:
+                state, n = to, n + 1
+                while length[link[state]] >= window:
+                    state = link[state]
+                    n = length[state]
+            lengths.append(n)
+            docs.append(first[state] if n >= window else None)
+        return lengths, docs
 
 
 def answers(distinct: DataFrame, window: int) -> DataFrame:
     """(piece, firsts binary): for each window of each distinct piece (shard, piece, doc, text) the smallest document that has it."""
 
     def work(t: pa.Table) -> pa.Table:
-        a = Automaton()
-        texts = [x.split() for x in t.column("text").to_pylist()]
-        for text, doc in zip(texts, t.column("doc").to_pylist()):
-            a.add(text, doc)
-        a.finish()
-        return pa.table({"piece": t.column("piece"), "firsts": pa.array([a.first_docs(x, window).tobytes() for x in texts], pa.binary())})
+        a, t = Automaton(), t.sort_by([("doc", "ascending"), ("piece", "ascending")])
+        out = []
+        for text, doc in zip(t.column("text").to_pylist(), t.column("doc").to_pylist()):
+            words = text.split()
+            found = a.statistics(words, window)[1][window - 1 :]
+            if None in found:
+                a.add(words, doc)
+            out.append(np.array([doc if x is None else x for x in found], np.int64).tobytes())
+        return pa.table({"piece": t.column("piece"), "firsts": pa.array(out, pa.binary())})
 
     return distinct.groupBy("shard").applyInArrow(work, "piece binary, firsts binary")
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc, spans binary): for each document that loses words, pairs of first word and length, in order."""
+    """(doc, mark, spans binary): for each document that loses words, pairs of first word and length, in order; mark tells texts of a doc_id apart."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     keys = save(keys_of(rows, window), "keys")
-    shared = keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
+    shared = save(keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("key", "n"), "shared")
     # A group is one document's keys.
-    per_doc = keys.join(shared, "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    per_doc = join_spread(keys, shared.select("key"), "key", heavy(shared, "key"), ["doc"]).groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
     def packed(batches):
         for b in batches:
@@ -308,7 +317,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = save(distinct, "distinct")
     hot = distinct.groupBy("key").agg(F.sum(F.col("n") + (window - 1)).alias("size")).where(F.col("size") > HOT)
     shards = 1 + int((distinct.agg(F.sum(F.col("n") + (window - 1))).first()[0] or 0) // SHARD_WORDS)
-    marked = distinct.join(hot, "key", "left")
+    many = heavy(distinct.groupBy("key").agg(F.count("*").alias("n")), "key")
+    every = distinct.select("key").distinct().join(hot, "key", "left")
+    marked = join_spread(distinct, every, "key", many, ["piece"])
     plain = marked.where("size is null").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "piece", "doc", "text")
 
     def single(batches):
@@ -338,12 +349,13 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "start", "length"])
 
-    parts = found.select("doc", "start", "piece").distinct().join(firsts, "piece").select("doc", "start", "firsts").mapInArrow(lost, "doc long, start long, length long")
+    places = found.select("doc", "start", "piece").distinct()
+    parts = join_spread(places, firsts, "piece", heavy(found.groupBy("piece").agg(F.count("*").alias("n")), "piece"), ["doc", "start"]).select("doc", "start", "firsts").mapInArrow(lost, "doc long, start long, length long")
 
     def merge(batches):
         for b in batches:
             merged = []
-            for spans in b.column(1).to_pylist():
+            for spans in b.column(2).to_pylist():
                 out = []
                 for s in spans:  # sorted by start
                     if out and s["start"] <= out[-1][0] + out[-1][1]:
@@ -351,17 +363,18 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     else:
                         out.append([s["start"], s["length"]])
                 merged.append(np.array(out, np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(merged, pa.binary())], names=["doc", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(merged, pa.binary())], names=["doc", "mark", "spans"])
 
+    place = F.col("start").bitwiseAND(F.lit((1 << 32) - 1)).alias("start")
     # A group is one document's spans.
-    return parts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans")).mapInArrow(merge, "doc long, spans binary")
+    return parts.groupBy("doc", F.shiftright("start", 32).alias("mark")).agg(F.sort_array(F.collect_list(F.struct(place, "length"))).alias("spans")).mapInArrow(merge, "doc long, mark long, spans binary")
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, out: str = "removed_spans") -> DataFrame:
     """docs and a column of spans, null for documents that lose nothing."""
-    key = fresh(docs, "_doc")
-    spans = removed_spans(docs, id_col, text_col, window).select(F.col("doc").alias(key), F.col("spans").alias(out))
-    return docs.join(spans, docs[id_col].cast("long") == F.col(key), "left").drop(key)
+    key, mark = fresh(docs, "_doc"), fresh(docs, "_mark")
+    spans = removed_spans(docs, id_col, text_col, window).select(F.col("doc").alias(key), F.col("mark").alias(mark), F.col("spans").alias(out))
+    return docs.join(spans, (docs[id_col].cast("long") == F.col(key)) & (text_mark(docs[text_col]) == F.col(mark)), "left").drop(key, mark)
 
 
 def kept_words(text: str | None, spans: bytes | None) -> tuple[list[bytes], int]:
