@@ -8,10 +8,11 @@ of bounded size, in any store that Spark writes.
 
 Reading: each task parses its files by Content-Length. Records that are whole are decoded at once; only segments
 are shuffled: grouped by origin record, ordered by number, verified (numbers gapless from 1, total length), joined
-and decoded. A payload that doesn't match its digest raises ValueError.
+and decoded. A payload that doesn't match its digest raises ValueError, and so does a revisit of a page that has no response
+with its digest. A record is named by its page_id and its payload's digest, so rows that share a page_id keep apart.
 
-Nulls and edge cases: null html is an empty payload; rows without page_id are left out; repeated equal rows are
-written and read back each; extra columns are left out; null urls are written as empty; an empty table makes an
+Nulls and edge cases: null html is an empty payload; rows without page_id are left out; repeated rows of a page_id,
+equal or not, are written and read back each, and those with the smallest page_id of a payload are all responses; extra columns are left out; null urls are written as empty; an empty table makes an
 archive without records; pages far longer than a segment only make more segments.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import heavy, join_spread, new_path, save
 
 END = b"\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -71,12 +72,13 @@ def record(kind: bytes, name: bytes, headers: list[tuple[bytes, bytes]], block:
 
 
 def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    name = b"urn:x-page:%d" % page_id
+    digest = hashlib.sha256(payload).hexdigest().encode()
+    name = b"urn:x-page:%d:%s" % (page_id, digest[:32])
     uri = (url or "").replace("\r", "").replace("\n", "").encode()
-    about = [(b"WARC-Target-URI", uri), (b"WARC-Payload-Digest", b"sha256:" + hashlib.sha256(payload).hexdigest().encode())]
+    about = [(b"WARC-Target-URI", uri), (b"WARC-Payload-Digest", b"sha256:" + digest)]
     if refers_to is not None:
         profile = (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        return [record(b"revisit", name, [*about, profile, (b"WARC-Refers-To", b"<urn:x-page:%d>" % refers_to)], b"")]
+        return [record(b"revisit", name, [*about, profile, (b"WARC-Refers-To", b"<urn:x-page:%d:%s>" % (refers_to, digest[:32]))], b"")]
     block = HTTP + chunked(payload)
     about.append((b"Content-Type", b"application/http; msgtype=response"))
     if len(block) <= segment_bytes:
@@ -94,9 +96,10 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
 def write(pages: DataFrame, path: str, min_bytes: int = 100, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes a record, or its segments, for each row of pages (page_id, url, html)."""
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    prints = pages.where(F.octet_length("html") >= min_bytes).select("page_id", F.unhex(F.sha2("html", 256)).alias("d"))
-    firsts = prints.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("d", "refers_to")
-    revisits = prints.join(firsts, "d").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    digest = F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha2("html", 256)))
+    prints = save(pages.select("page_id", digest.alias("d")).where("d is not null"), "prints")
+    firsts = save(prints.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count("*").alias("n")).where("refers_to < last"), "firsts")
+    revisits = join_spread(prints, firsts.select("d", "refers_to"), "d", heavy(firsts, "d"), ["page_id"]).where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
 
     def build(batches):
         for b in batches:
@@ -104,7 +107,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 100, segment_bytes: int
             for i in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 1000], pa.binary()).cast(pa.string())], names=["value"])
 
-    rows = pages.join(revisits, "page_id", "left").select("page_id", "url", "html", "refers_to").mapInArrow(build, "value string")
+    rows = pages.withColumn("d", digest).join(revisits, ["page_id", "d"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(build, "value string")
     rows.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -148,13 +151,13 @@ def payload_of(block: bytes, digest: str) -> bytes:
 
 def reassemble(segments: list[dict]) -> list[tuple[bytes, dict]]:
     """(block, first segment) for a record's segments; more than one if equal records are repeated."""
-    times = Counter(s["number"] for s in segments)
+    times, firsts = Counter(s["number"] for s in segments), [s for s in segments if s["number"] == 1]
     by = {s["number"]: s for s in segments}
     total = by[max(by)]["total"]
     block = b"".join(by[k]["block"] for k in sorted(by))
     if sorted(by) != list(range(1, len(by) + 1)) or total != len(block) or len(set(times.values())) > 1:
         raise ValueError("segments are missing or don't add up to the total length")
-    return [(block, by[1])] * times[1]
+    return [(block, first) for first in firsts]
 
 
 RECORDS = "page_id long, type string, url string, refers_to long, digest string, payload binary"
@@ -197,11 +200,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    read_back = read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "digest")
-    responses = read_back.where("record_type = 'response'").drop("digest")
-    full = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
-    revisits = read_back.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.substring_index("digest", ":", -1).alias("own")).join(full, "refers_to").where("own = payload_digest").drop("own")
-    return responses.unionByName(revisits)
+    read_back = save(read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", F.substring_index("digest", ":", -1).alias("told")), "records")
+    responses = read_back.where("record_type = 'response'").drop("told")
+    full = responses.select(F.concat_ws(":", "page_id", "payload_digest").alias("of"), "payload_bytes", "payload_digest").dropDuplicates(["of"]).withColumn("found", F.lit(True))
+    revisits = read_back.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.concat_ws(":", "refers_to", "told").alias("of"))
+    asked = revisits.groupBy("of").agg(F.count("*").alias("n"))
+    # A revisit whose response isn't there must not go missing: it joins a row of its own, which raises.
+    lost = asked.join(full, "of", "left_anti").select("of", F.lit(None).cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("payload_digest"), F.lit(False).alias("found"))
+    joined = join_spread(revisits, full.unionByName(lost), "of", heavy(asked, "of"), ["page_id"])
+    checked = F.when(F.col("found"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a revisit has no response with its digest")))
+    return responses.unionByName(joined.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to"))
 
 
 OP6_SQL = """
