@@ -19,9 +19,9 @@ def test_rows_without_an_id(spark, tmp_path):
     assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "clean"), (3, "clean too")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 8])
+@pytest.mark.parametrize("block", [1 << 18, 3])
 def test_blocks_give_the_same_rows(spark, monkeypatch, block):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
     bench = spark.createDataFrame([(i, prose(12, 300 + i, 900)) for i in range(5)], "item_id long, text string")
     one, two = prose(12, 301, 900), prose(12, 304, 900)
     docs = documents(spark, [one, one, two, None, None, one], [7, 7, 7, 8, 8, None]).repartition(2)

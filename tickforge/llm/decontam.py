@@ -1,13 +1,14 @@
 """Benchmark decontamination by a distributed positional inverted index of the training tokens.
 
 The index is a table of segments. A segment covers a run of documents (about `SEGMENT_WORDS` words; a longer
-document has a segment of its own) and holds, for each term of the whole test set, the sorted places where it stands. Places
+document has a segment of its own) and holds, for each of its terms, the sorted places where it stands. Places
 count on over the segment's documents with a gap between them, so that no match reaches over two documents.
-Each executor writes the segments of the rows it reads: no text and no token is shuffled.
+Each executor writes the segments of the rows it reads: no text and no token is shuffled. All training tokens are
+indexed, whatever the test set; `build_index` writes an index, and `search` asks one as often as wanted.
 
-A search takes the test windows in blocks of bounded size, and what blocks find in a row is merged by the row's segment
-and number in it. In a segment, a window's lists are intersected from
-its rarest term on: the list of the rarest, less the term's offset, gives the starts that are possible, and each
+The test windows are a table as well, dealt into blocks of at most about `BLOCK_WINDOWS`; each block is broadcast, asked of all
+segments, and let go, and what it finds is stored by the row's segment and number in it. In a segment, a window's lists are
+intersected from its rarest term on: the list of the rarest, less the term's offset, gives the starts that are possible, and each
 next list, less its own offset, cuts them down. With slop > 0 a term may stand up to `slop` words off its place
 (proximity matches); with 0 matches are exact phrases.
 
@@ -20,21 +21,19 @@ no rows; a null item_id is left out.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, fresh, hash_words, new_path, split_words, text_runs
+from .common import ALNUM, LOWER, fresh, hash_words, new_path, save, split_words, text_runs
 
 SEGMENT_WORDS = 1 << 19
-#: Test words that a pass over the index takes: what a task holds of the test set is bounded by it.
-BLOCK_WORDS = 1 << 20
+#: Test windows that a pass over the index takes, some 90 bytes each: what is broadcast is bounded by it.
+BLOCK_WINDOWS = 1 << 18
 SEGMENT = "segment long, docs binary, known binary, bases binary, n_words binary, terms binary, ends binary, places binary"
 
 
@@ -46,47 +45,46 @@ def hashed(texts: pa.Array):
         yield i, j, first, hash_words(data, starts, ends)
 
 
-def test_windows(items: list[tuple[object, str | None]], window: int) -> tuple[pd.DataFrame, np.ndarray]:
-    """Windows (item, length) and their terms' hashes, padded with 0 to the window; windows that recur in an item count once."""
-    names, lengths, rows = [], [], []
-    texts = pa.array([t for _, t in items], pa.string())
-    for i, j, first, words in hashed(texts):
-        for k in range(i, j):
-            own = words[first[k - i] : first[k - i + 1]]
-            if not len(own):
-                continue
-            n = min(window, len(own))
-            grams = np.unique(np.lib.stride_tricks.sliding_window_view(own, n), axis=0)
-            rows.append(np.pad(grams, ((0, 0), (0, window - n))))
-            names += [items[k][0]] * len(grams)
-            lengths += [n] * len(grams)
-    return pd.DataFrame({"item": names, "n": lengths}), np.concatenate(rows) if rows else np.zeros((0, window), np.uint64)
-
-
-def segments(batches, terms: np.ndarray, gap: int):
-    """Index rows for (id, text) batches; terms: sorted hashes of the test terms."""
-    ids, known, bases, counts, keep_terms, keep_places = [], [], [], [], [], []
+WINDOWS = "item string, n int, words binary"
+
+
+def test_windows(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, n, words): the windows of each item, as hashes of their n words padded with 0; those that recur in a row count once."""
+
+    def work(batches):
+        for b in batches:
+            names = b.column(0).to_pylist()
+            for i, j, first, words in hashed(b.column(1)):
+                for k in range(i, j):
+                    own = words[first[k - i] : first[k - i + 1]]
+                    if len(own):
+                        n = min(window, len(own))
+                        grams = np.pad(np.unique(np.lib.stride_tricks.sliding_window_view(own, n), axis=0), ((0, 0), (0, window - n)))
+                        yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["item", "n", "words"])
+
+    rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).distinct()
+    return rows.mapInArrow(work, WINDOWS)
+
+
+def segments(batches, gap: int):
+    """Index rows for (id, text) batches."""
+    ids, known, bases, counts, all_words, all_places = [], [], [], [], [], []
     base, number = 0, TaskContext.get().partitionId() << 32 if TaskContext.get() else 0
 
     def flush():
-        t, p = np.concatenate(keep_terms), np.concatenate(keep_places)
+        t, p = np.concatenate(all_words), np.concatenate(all_places)
         order = np.argsort(t, kind="stable")
-        t, p = t[order], p[order]
-        ends = np.searchsorted(t, np.arange(len(terms)), "right")
-        used = np.flatnonzero(np.diff(np.concatenate(([0], ends))))
-        blobs = [np.asarray(ids, np.int64), np.asarray(known, bool), np.asarray(bases, np.int64), np.asarray(counts, np.int64), terms[used], ends[used].astype(np.int64), p.astype(np.int64)]
+        t = t[order]
+        ends = np.flatnonzero(np.append(t[1:] != t[:-1], True)[: len(t)]) + 1
+        blobs = [np.asarray(ids, np.int64), np.asarray(known, bool), np.asarray(bases, np.int64), np.asarray(counts, np.int64), t[ends - 1], ends.astype(np.int64), p[order].astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in blobs], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     for b in batches:
         names, given = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False), b.column(0).is_valid().to_numpy(zero_copy_only=False)
         for i, j, first, words in hashed(b.column(1)):
-            at = np.searchsorted(terms, words)
-            at[at == len(terms)] = 0
-            hit = terms[at] == words if len(terms) else np.zeros(len(words), bool)
             own = base + first[:-1] + gap * np.arange(j - i)
-            places = np.repeat(own - first[:-1], np.diff(first)) + np.arange(len(words))
-            keep_terms.append(at[hit].astype(np.int32))
-            keep_places.append(places[hit])
+            all_words.append(words)
+            all_places.append((np.repeat(own - first[:-1], np.diff(first)) + np.arange(len(words))).astype(np.int64))
             ids += names[i:j].tolist()
             known += given[i:j].tolist()
             bases += own.tolist()
@@ -94,16 +92,15 @@ def segments(batches, terms: np.ndarray, gap: int):
             base = int(own[-1] + np.diff(first)[-1] + gap)
             if base >= SEGMENT_WORDS:
                 yield flush()
-                ids, known, bases, counts, keep_terms, keep_places, base, number = [], [], [], [], [], [], 0, number + 1
+                ids, known, bases, counts, all_words, all_places, base, number = [], [], [], [], [], [], 0, number + 1
     if ids:
         yield flush()
 
 
-def build_index(docs: DataFrame, terms: np.ndarray, window: int, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Writes the index of docs and returns its path."""
+def build_index(docs: DataFrame, gap: int, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Writes the index of docs and returns its path; gap: words kept free between documents, at least a window and twice the slop."""
     path = new_path(docs.sparkSession, "index")
-    held = docs.sparkSession.sparkContext.broadcast(terms)
-    docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lambda batches: segments(batches, held.value, window), SEGMENT).write.option("compression", "zstd").parquet(path)
+    docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lambda batches: segments(batches, gap), SEGMENT).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -153,68 +150,69 @@ def intersect(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, windows:
     return (np.concatenate(found_w), np.concatenate(found_s)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def search_segment(row: dict[str, bytes], windows: np.ndarray, lengths: np.ndarray, slop: int):
-    """(docs, n_words, matches): matches are (document's number, start, length, window)."""
-    docs, bases, counts, ends, places = (np.frombuffer(row[k], np.int64) for k in ("docs", "bases", "n_words", "ends", "places"))
-    terms = np.frombuffer(row["terms"], np.uint64)
-    if not len(terms):
-        return docs, counts, np.zeros((0, 4), np.int64)
+def search_segment(row: dict[str, bytes], windows: np.ndarray, lengths: np.ndarray, slop: int) -> np.ndarray:
+    """Matches as (document's number, start, length, window)."""
+    bases, counts, ends = (np.frombuffer(row[k], np.int64) for k in ("bases", "n_words", "ends"))
+    terms, places = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["places"], np.int32)
+    if not len(terms) or not len(windows):
+        return np.zeros((0, 4), np.int64)
     w, s = intersect(terms, ends, places, windows, lengths, slop)
     d = np.searchsorted(bases, s + slop, "right") - 1
     matches = np.stack([d, s - bases[d], lengths[w], w], 1)
-    return docs, counts, matches[(matches[:, 1] >= -slop) & (matches[:, 1] + matches[:, 2] <= counts[d] + slop)]
+    return matches[(matches[:, 1] >= -slop) & (matches[:, 1] + matches[:, 2] <= counts[d] + slop)]
+
+
+def search(spark: SparkSession, path: str, windows: DataFrame, window: int, slop: int = 0) -> DataFrame:
+    """(segment, number, hits array of (start, length), items array): the rows of an index in which a window of (item, n, words) occurs."""
+    windows = save(windows, "windows")
+    blocks = -(-windows.count() // BLOCK_WINDOWS)
+    dealt = windows.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(max(blocks, 1))))
+    index = spark.read.schema(SEGMENT).parquet(path).select("segment", "bases", "n_words", "terms", "ends", "places")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    found = spark.createDataFrame([], "segment long, number long, hits array<struct<start:long,length:long>>, items array<string>")
+    for k in range(blocks):
+        block = dealt.where(F.col("block") == k).drop("block").toPandas()  # about BLOCK_WINDOWS rows
+        grams = np.frombuffer(b"".join(map(bytes, block["words"])), np.uint64).reshape(-1, window)
+        held = spark.sparkContext.broadcast((block["item"].to_numpy(object), block["n"].to_numpy(np.int64), grams))
+
+        def ask(batches, held=held):
+            items, lengths, grams = held.value
+            for b in batches:
+                for row in b.to_pylist():
+                    got = search_segment(row, grams, lengths, slop)
+                    got = got[np.argsort(got[:, 0], kind="stable")]
+                    numbers, first = np.unique(got[:, 0], return_index=True)
+                    parts = np.split(got, first[1:])
+                    hits = [[{"start": int(s), "length": int(n)} for s, n in np.unique(part[:, 1:3], axis=0)] for part in parts if len(part)]
+                    own = [sorted(set(items[part[:, 3]])) for part in parts if len(part)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * len(numbers), pa.int64()), pa.array(numbers, pa.int64()), pa.array(hits, kind), pa.array(own, pa.list_(pa.string()))], names=["segment", "number", "hits", "items"])
 
+        found = found.unionByName(save(index.mapInArrow(ask, ", ".join(f"{c} {t}" for c, t in found.dtypes)), "found"))
+        held.destroy()
+    # A group is one row of docs in each block of test windows.
+    grouped = found.groupBy("segment", "number").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    return grouped.select("segment", "number", F.array_sort(F.array_distinct("hits")).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
 
-def blocks_of(benchmark: DataFrame, window: int, id_col: str, text_col: str):
-    """The test windows in blocks of about BLOCK_WORDS words; rows come to the driver one partition at a time."""
-    block, size = [], 0
-    for r in benchmark.where(F.col(id_col).isNotNull()).select(id_col, text_col).distinct().toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1] or "") // 4
-        if size >= BLOCK_WORDS:
-            yield test_windows(block, window)
-            block, size = [], 0
-    yield test_windows(block, window)
+
+def rows_of(spark: SparkSession, path: str) -> DataFrame:
+    """(segment, number, id, n_words): the rows of docs in an index; only those columns are read."""
+
+    def work(batches):
+        for b in batches:
+            for segment, docs, known, counts in zip(*(c.to_pylist() for c in b.columns)):
+                ids = np.frombuffer(docs, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([segment] * len(ids), pa.int64()), pa.array(np.arange(len(ids))), pa.array(ids, mask=~np.frombuffer(known, bool)), pa.array(np.frombuffer(counts, np.int64))], names=["segment", "number", "id", "n_words"])
+
+    return spark.read.schema(SEGMENT).parquet(path).select("segment", "docs", "known", "n_words").mapInArrow(work, "segment long, number long, id long, n_words long")
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, hits array of (start, length), items array): one row a row of docs, hits in order of their starts."""
     spark = docs.sparkSession
-    blocks, terms = [], np.zeros(0, np.uint64)
-    for names, windows in blocks_of(benchmark, window, item_col, item_text):
-        blocks.append(spark.sparkContext.broadcast((names["item"].astype(str).to_numpy(object), names["n"].to_numpy(np.int64), windows)))
-        terms = np.union1d(terms, windows[windows > 0])
-    # All blocks search one index: a row's segment and number in it are the same for each.
-    path = build_index(docs, terms, window + 2 * slop, id_col, text_col)
-    index = spark.read.schema(SEGMENT).parquet(path)
-    parts = []
-    for held in blocks:
-
-        def search(batches, held=held):
-            items, lengths, grams = held.value
-            for b in batches:
-                for row in b.to_pylist():
-                    ids, counts, found = search_segment(row, grams, lengths, slop)
-                    found = found[np.argsort(found[:, 0], kind="stable")]
-                    at = np.searchsorted(found[:, 0], np.arange(len(ids) + 1))
-                    hits, own = [], []
-                    for i in range(len(ids)):
-                        part = found[at[i] : at[i + 1]]
-                        hits.append([{"start": int(s), "length": int(n)} for s, n in np.unique(part[:, 1:3], axis=0)] if len(part) else [])
-                        own.append(sorted(set(items[part[:, 3]])) if len(part) else [])
-                    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-                    named = pa.array(ids, mask=~np.frombuffer(row["known"], bool))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["segment"]] * len(ids), pa.int64()), pa.array(np.arange(len(ids))), named, pa.array(counts), pa.array(hits, kind), pa.array(own, pa.list_(pa.string()))],
-                        names=["segment", "number", "id", "n_words", "hits", "items"],
-                    )
-
-        parts.append(index.mapInArrow(search, "segment long, number long, id long, n_words long, hits array<struct<start:long,length:long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0].select(F.col("id").alias(id_col), "n_words", "hits", "items")
-    # A group is one row of docs in each block of test items.
-    grouped = reduce(DataFrame.unionByName, parts).groupBy("segment", "number").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    return grouped.select(F.col("id").alias(id_col), "n_words", F.array_sort(F.array_distinct("hits")).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
+    path = build_index(docs, window + 2 * slop, id_col, text_col)
+    found = search(spark, path, test_windows(benchmark, window, item_col, item_text), window, slop)
+    none = {c: F.coalesce(c, F.array().cast(dict(found.dtypes)[c])) for c in ("hits", "items")}
+    return rows_of(spark, path).join(found, ["segment", "number"], "left").withColumns(none).select(F.col("id").alias(id_col), "n_words", "hits", "items")
 
 
 def covered(hits, n_words: int) -> int:
