@@ -1,18 +1,23 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Training (k-means of the centroids, then of each part of the residuals) takes a bounded sample, the `sample` rows
-whose ids have the smallest hashes. Every row is indexed: its list is the nearest centroid's, its code the nearest
-residual centroids, one byte a part. A query looks into its `probes` nearest lists. In a list it adds up, for each
-code, a table of distances between its own residual's parts and the part centroids (asymmetric distances), takes
-the `shortlist` least, and reranks those by exact Euclidean distance on the original vectors in double precision.
+Equal vectors count once, with their k + 1 smallest ids, which is all that can rank, so that copies never crowd a
+shortlist. Training (k-means of the centroids, then of each part of the residuals) takes a bounded sample, the rows
+whose ids have the smallest hashes, 32 for each list. Every row is indexed: its list is the nearest centroid's, its code the
+nearest residual centroids, one byte a part. A query looks into its `probes` nearest lists; how many that are is measured
+on the sample, so that a share `reach` of the sample's true neighbours lies in them: few if vectors have clusters.
 
-Lists and their queries are cut into cells of bounded size, so that a list with a third of all rows is many
-groups. Equal vectors count once in a cell and come back with their k + 1 smallest ids each, which is all that
-can rank, so that copies never crowd a shortlist.
+With centroid c, residual code r and query q the squared distance is |q - c|^2 + (|r|^2 + 2 c.r) - 2 q.r. The bracket is a number
+stored with a row; the last term is a sum over a table of the query's parts against all part centroids (asymmetric distances),
+the same for every list. Of all the lists it looks into, a query keeps the `shortlist` least, over all cells; only for
+those are vectors fetched, and reranked by exact Euclidean distance in double precision.
+
+Lists are packed into groups of bounded size, and one with more rows is cut; a query goes once to each group that has
+a list of its own. What is shuffled for the search are codes and queries.
 
 Nulls and edge cases: vectors that are null, zero, of another length than most (ties: the shorter), or hold null or
-non-finite components take no part, nor do null ids; repeated rows of an id count once (the least vector, as
-bytes); extra columns stay out; with fewer candidates all found are returned; an empty table gives no rows.
+non-finite components take no part, nor do null ids; repeated rows of an id count once (the least vector);
+extra columns stay out; with fewer candidates all found are returned, and lists are added for a query until its
+probes hold `shortlist` rows or there are no more; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import heavy, join_spread, save, shuffle_partitions
 
-SAMPLE, CELL_ROWS, CELL_QUERIES = 20_000, 8192, 1024
+PER_LIST, CELL_ROWS, CELL_QUERIES = 32, 1 << 16, 1 << 13
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -60,20 +65,37 @@ class Model:
     parts: list[np.ndarray]  # for each part: up to 256 x its dimensions
     bounds: np.ndarray
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self):
+        return zip(self.parts, self.bounds[:-1], self.bounds[1:])
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list, code, number stored with it) of each row."""
         lists = nearest(x, self.centers)
         rest = x - self.centers[lists]
-        codes = np.stack([nearest(rest[:, a:b], p) for p, a, b in zip(self.parts, self.bounds[:-1], self.bounds[1:])], 1)
-        return lists.astype(np.int32), codes.astype(np.uint8)
-
-    def tables(self, x: np.ndarray, at: int) -> np.ndarray:
-        """queries x parts x 256 squared distances from the queries' residuals in list `at`."""
-        rest = x - self.centers[at]
-        out = np.full((len(x), len(self.parts), 256), np.inf, np.float32)
-        for m, (p, a, b) in enumerate(zip(self.parts, self.bounds[:-1], self.bounds[1:])):
-            out[:, m, : len(p)] = distances(rest[:, a:b], p)
+        codes = np.stack([nearest(rest[:, a:b], p) for p, a, b in self.spans()], 1)
+        bias = np.zeros(len(x))
+        for m, (p, a, b) in enumerate(self.spans()):
+            r = p[codes[:, m]]
+            bias += (r * r).sum(1) + 2 * (self.centers[lists, a:b] * r).sum(1)
+        return lists.astype(np.int32), codes.astype(np.uint8), bias
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """queries x parts x 256: what each part centroid takes off or adds."""
+        out = np.zeros((len(q), len(self.parts), 256), np.float32)
+        for m, (p, a, b) in enumerate(self.spans()):
+            out[:, m, : len(p)] = -2 * q[:, a:b] @ p.T
         return out
 
+    def reaching(self, sample: np.ndarray, share: float, k: int = 10, asked: int = 256) -> int:
+        """How many lists hold a share of the k nearest in the sample of its first rows."""
+        far = distances(sample[:asked], sample)
+        far[np.arange(len(far)), np.arange(len(far))] = np.inf
+        near = np.argpartition(far, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+        own = nearest(sample, self.centers)
+        rank = distances(sample[:asked], self.centers).argsort(axis=1).argsort(axis=1)
+        ranks = np.sort(np.take_along_axis(rank, own[near], 1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(share * len(ranks))) - 1)]) + 1 if len(ranks) else len(self.centers)
+
 
 def train(x: np.ndarray, lists: int, parts: int) -> Model:
     centers = kmeans(x, lists)
@@ -83,8 +105,8 @@ def train(x: np.ndarray, lists: int, parts: int) -> Model:
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): one row an id, v the vector of doubles."""
-    v = F.col(vec_col).cast("array<double>")
+    """(id, v): one row an id, v the vector, of floats if it is one, else of doubles."""
+    v = F.col(vec_col) if dict(df.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
@@ -98,85 +120,120 @@ def matrix(column) -> np.ndarray:
     """An Arrow list column of equally long lists as a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1)
 
 
-def search_cell(model: Model, at: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, exact distance) of each query's k nearest of its shortlist."""
-    order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], codes[order]
-    _, first, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
-    members = np.argsort(group, kind="stable")  # of each distinct vector, by id
-    begin = np.concatenate(([0], np.cumsum(np.bincount(group))))
+def collapsed(vectors: DataFrame, k: int) -> DataFrame:
+    """(id, v, ids): a row for each distinct vector, its least id, and its k + 1 least ids."""
+    order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = vectors.withColumn("place", order).where(F.col("place") <= k + 1)
+    return few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")).select("id", "v", "ids")
+
+
+def search_cell(model: Model, lists: np.ndarray, ids: np.ndarray, codes: np.ndarray, bias: np.ndarray, query_ids: np.ndarray, q: np.ndarray, probes: np.ndarray, shortlist: int):
+    """(query, id, approximate squared distance) of each query's least in a cell; probes: each query's lists as bits."""
     out = []
-    for i in range(0, len(q), 64):
-        tables = model.tables(q[i : i + 64], at)
-        sums = np.zeros((len(tables), len(first)), np.float32)
+    step = max(1, (1 << 21) // max(len(ids), 1))
+    for i in range(0, len(q), step):
+        tables = model.tables(q[i : i + step])
+        sums = np.repeat(bias.astype(np.float32)[None, :], len(tables), 0)
         for m in range(tables.shape[1]):
-            sums += tables[:, m, codes[first, m]]
-        for j in range(len(tables)):
-            near = np.argpartition(sums[j], shortlist - 1)[:shortlist] if len(first) > shortlist else np.arange(len(first))
-            exact = np.sqrt(((x[first[near]] - q[i + j]) ** 2).sum(axis=1))
-            near_ids = [members[begin[g] : min(begin[g + 1], begin[g] + k + 1)] for g in near]
-            score, found = np.repeat(exact, [len(n) for n in near_ids]), ids[np.concatenate(near_ids)]
-            other = found != query_ids[i + j]
-            best = np.lexsort((found[other], score[other]))[:k]
-            out.append((np.full(len(best), query_ids[i + j]), found[other][best], score[other][best]))
+            sums += tables[:, m, :][:, codes[:, m]]
+        sums += distances(q[i : i + step], model.centers).astype(np.float32)[:, lists]
+        sums[~np.unpackbits(probes[i : i + step], axis=1, bitorder="little")[:, : len(model.centers)].astype(bool)[:, lists]] = np.inf
+        near = np.argpartition(sums, shortlist - 1, axis=1)[:, :shortlist] if len(ids) > shortlist else np.repeat(np.arange(len(ids))[None, :], len(sums), 0)
+        got = np.take_along_axis(sums, near, 1)
+        row, col = np.nonzero(np.isfinite(got))
+        out.append((query_ids[i + row], ids[near[row, col]], got[row, col].astype(float)))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, parts: int = 16, shortlist: int = 40, share: float = 0.6, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, id, score) for (id, v) tables from `usable`; a query's own id is no candidate.
-
-    Without `probes`, a query looks into `share` of the lists: vectors without clusters have their neighbours
-    spread over so many that fewer miss more than a tenth of them.
-    """
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, parts: int = 16, shortlist: int = 200, reach: float = 0.97) -> DataFrame:
+    """(query_id, rank, id, score) for (id, v) tables from `usable`; a query's own id is no candidate."""
     spark = vectors.sparkSession
-    result = "query_id long, rank int, id long, score double"
-    fit_on = np.array([r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()])
-    if not len(fit_on):
-        return spark.createDataFrame([], result)
-    lists = lists or int(np.clip(np.sqrt(vectors.count()), 8, 4096))
+    distinct = save(collapsed(vectors, k), "distinct")
+    n = distinct.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    lists = lists or int(np.clip(np.sqrt(n), 8, 4096))
+
+    def packed(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in matrix(b.column(0))], pa.binary())], names=["v"])
+
+    # At most PER_LIST * 4,096 vectors.
+    sample = distinct.orderBy(F.xxhash64("id"), "id").limit(PER_LIST * max(lists, 128)).select("v").mapInArrow(packed, "v binary").toPandas()["v"]
+    fit_on = np.frombuffer(b"".join(map(bytes, sample)), float).reshape(len(sample), -1)
     model = train(fit_on, lists, parts)
-    probes = min(probes or max(16, int(np.ceil(share * lists))), len(model.centers))
+    probes = min(probes or model.reaching(fit_on, reach, k), len(model.centers))
     held = spark.sparkContext.broadcast(model)
 
     def to_lists(batches):
         for b in batches:
             if b.num_rows:
-                at, codes = held.value.encode(matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "id", "v", "code"])
+                at, codes, bias = held.value.encode(matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(bias)], names=["list", "id", "code", "bias"])
+
+    index = save(distinct.select("id", "v").mapInArrow(to_lists, "list int, id long, code binary, bias double"), "ivf")
+    # One row a list, at most 4,096: lists are packed into groups, side by side; one that is larger than a group is cut.
+    sizes = np.zeros(len(model.centers), np.int64)
+    for r in index.groupBy("list").agg(F.count("*").alias("n")).collect():
+        sizes[r.list] = r.n
+    room = int(np.clip(n // (2 * shuffle_partitions(spark)), 1024, CELL_ROWS))
+    pieces = np.maximum(1, -(-sizes // room))
+    first = np.zeros(len(sizes), np.int64)
+    group, used = 0, 0
+    for at, (size, cut) in enumerate(zip(sizes.tolist(), pieces.tolist())):
+        if cut > 1 or used + size > room:
+            group, used = group + (used > 0), 0
+        first[at] = group
+        group, used = (group + cut, 0) if cut > 1 else (group, used + size)
+    deal = spark.sparkContext.broadcast((sizes, first, pieces))
+    chunks = max(1, -(-queries.count() // CELL_QUERIES))
+    salt = F.abs(F.xxhash64("id"))
+    table = F.broadcast(spark.createDataFrame([(k_, int(a), int(c)) for k_, (a, c) in enumerate(zip(first, pieces))], "list int, first long, pieces long"))
+    rows = index.join(table, "list").select((F.col("first") + salt % F.col("pieces")).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("j"), "id", "list", "code", "bias", F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("binary").alias("probes"))
 
-    def to_probes(batches):
+    def to_groups(batches):
+        size, begin, cut = deal.value
         for b in batches:
-            if b.num_rows:
-                near = np.argsort(distances(matrix(b.column(1)), held.value.centers), axis=1, kind="stable")[:, :probes]
-                rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(rows), b.column(1).take(rows), pa.array([None] * len(rows), pa.binary())], names=["list", "id", "v", "code"])
-
-    schema = "list int, id long, v array<double>, code binary"
-    index = save(vectors.mapInArrow(to_lists, schema), "ivf")
-    asked = queries.mapInArrow(to_probes, schema)
-    # One row a list, at most 4,096.
-    sizes = {r.list: r for r in index.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")), "list").collect()}
-    cells = F.broadcast(spark.createDataFrame([(r.list, -(-r.n // CELL_ROWS), -(-r.m // CELL_QUERIES)) for r in sizes.values()], "list int, p int, q int"))
-    salt = F.abs(F.xxhash64("id"))
-    rows = index.join(cells, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), (salt % F.col("p")).cast("int").alias("i"), "id", "v", "code")
-    asks = asked.join(cells, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), (salt % F.col("q")).cast("int").alias("j"), "id", "v", "code")
+            if not b.num_rows:
+                continue
+            order = np.argsort(distances(matrix(b.column(1)), held.value.centers), axis=1, kind="stable")
+            enough = (np.cumsum(size[order], axis=1) < shortlist).sum(axis=1) + 1  # lists until they hold a shortlist
+            for i, (own, m) in enumerate(zip(order, np.maximum(enough, probes))):
+                own = own[:m][size[own[:m]] > 0]
+                mask = np.zeros(len(size), bool)
+                mask[own] = True
+                groups = np.unique(np.concatenate([np.arange(begin[a], begin[a] + cut[a]) for a in own]))
+                blob = np.packbits(mask, bitorder="little").tobytes()
+                part = b.slice(i, 1).take(pa.array(np.zeros(len(groups), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(groups), part.column(0), part.column(1), pa.array([blob] * len(groups), pa.binary())], names=["g", "id", "q", "probes"])
+
+    asked = queries.select("id", F.col("v").cast("array<double>")).mapInArrow(to_groups, "g long, id long, q array<double>, probes binary")
+    asks = asked.select("g", (salt % chunks).cast("int").alias("j"), "id", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("bias"), "q", "probes")
 
     def cell(t: pa.Table) -> pa.Table:
         is_row = np.asarray(t.column("code").is_valid())
         rows, asks = t.filter(pa.array(is_row)), t.filter(pa.array(~is_row))
         if not len(rows) or not len(asks):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float64())})
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
-        found = search_cell(held.value, t.column("list")[0].as_py(), rows.column("id").to_numpy(), matrix(rows.column("v")), codes, asks.column("id").to_numpy(), matrix(asks.column("v")), k, shortlist)
-        return pa.table({"query_id": found[0], "id": found[1], "score": found[2]})
-
-    found = rows.unionByName(asks).groupBy("list", "i", "j").applyInArrow(cell, "query_id long, id long, score double")
+        bits = np.frombuffer(b"".join(asks.column("probes").to_pylist()), np.uint8).reshape(len(asks), -1)
+        found = search_cell(held.value, rows.column("list").to_numpy(), rows.column("id").to_numpy(), codes, rows.column("bias").to_numpy(), asks.column("id").to_numpy(), matrix(asks.column("q")), bits, shortlist)
+        return pa.table({"query_id": found[0], "id": found[1], "near": found[2]})
+
+    found = rows.unionByName(asks).groupBy("g", "j").applyInArrow(cell, "query_id long, id long, near double")
+    least = Window.partitionBy("query_id").orderBy("near", "id")
+    chosen = save(found.withColumn("place", F.row_number().over(least)).where(F.col("place") <= shortlist).select("query_id", "id"), "shortlists")
+    hot = heavy(chosen.groupBy("id").agg(F.count("*").alias("n")), "id")
+    fetched = join_spread(chosen, distinct, "id", hot, ["query_id"]).join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    gap = F.zip_with("v", "q", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0)))
+    exact = fetched.select("query_id", F.explode("ids").alias("id"), F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)).alias("score")).where("id <> query_id")
     best = Window.partitionBy("query_id").orderBy("score", "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op1_ann(spark, sf_dir: str) -> DataFrame:
