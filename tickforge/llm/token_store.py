@@ -9,6 +9,7 @@ range of documents ends with a manifest row: its first document's number, how ma
 
 Writing shuffles ids once, to the range of their doc_id; who stores a chunk is settled on names alone. Reading
 takes documents that have all their chunks from where they stand; for the others only the shared chunks move.
+Names that many documents share are salted in both joins, so a common chunk is copied to a bounded number of tasks.
 Every chunk is checked against its name, every document against its root and every range against its manifest.
 
 Nulls and edge cases: a null or empty text is its end id alone; a null doc_id comes first in the order; repeated rows
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_windows, mix, new_path, save, shuffle_partitions
+from .common import hash_windows, heavy, join_spread, mix, new_path, save, shuffle_partitions
 from .tokens import default_path, encoded, small_batches
 
 ROLL, LEAST, MEAN, MOST = 8, 64, 512, 4096
@@ -145,10 +146,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, id
     spark = docs.sparkSession
     staged = save(chunked_ids(docs, tokenizer, kind, end_id, id_col, text_col), "ids")
     named = staged.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("names"), F.lit(NAME)), F.lit(NAME)), lambda i: F.substring(F.col("names"), i, F.lit(NAME)))).alias("seq", "name"))
-    several = named.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "seq")).alias("first")).where("n > 1").select("name", F.col("first.d").alias("d"))
+    several = named.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "seq")).alias("first")).where("n > 1").select("name", F.col("first.d").alias("d"), "n")
+    several = save(several, "several")
     mark = F.concat("name", F.when(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("d"), F.lit(b"\1")).otherwise(F.lit(b"\0")))
     # A group is one document's chunks.
-    marks = named.join(several, "name").groupBy("doc_id").agg(F.collect_set(mark).alias("mark")).select("doc_id", "mark", *(F.lit(None).cast(t).alias(c) for c, t in (("names", "binary"), ("lengths", "binary"), ("ids", "binary"), ("width", "int"))))
+    marks = join_spread(named, several.drop("n"), "name", heavy(several, "name"), ["doc_id", "seq"]).groupBy("doc_id").agg(F.collect_set(mark).alias("mark")).select("doc_id", "mark", *(F.lit(None).cast(t).alias(c) for c, t in (("names", "binary"), ("lengths", "binary"), ("ids", "binary"), ("width", "int"))))
     rows = staged.select("doc_id", F.lit(None).cast("array<binary>").alias("mark"), "names", "lengths", "ids", "width").unionByName(marks)
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.col("mark").isNull())
     ordered.mapInArrow(write_range, STORED).write.option("compression", "zstd").parquet(path)
@@ -203,7 +205,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     mixed = rows.where("foreign").withColumn("row", row)
     needed = mixed.select("row", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("names"), F.lit(NAME)), lambda i: F.substring(F.col("names"), i, F.lit(NAME))))).alias("name"))
     # A group is one document's chunks.
-    others = needed.join(shared, "name").groupBy("row").agg(F.collect_list(F.struct("name", "ids")).alias("others"))
+    others = join_spread(needed, shared, "name", heavy(needed.groupBy("name").agg(F.count("*").alias("n")), "name"), ["row"]).groupBy("row").agg(F.collect_list(F.struct("name", "ids")).alias("others"))
     columns = ["doc_id", "part", "start", "n_tokens", "width", "root", "names", "lengths", "own"]
     whole = rows.where("not foreign").select(*columns, F.lit(None).cast("array<struct<name:binary,ids:binary>>").alias("others"))
     joined = mixed.join(others, "row", "left").select(*columns, "others")
