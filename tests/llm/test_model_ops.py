@@ -34,6 +34,20 @@ def test_encoders(kind, monkeypatch):
         assert e.encode([]) == [] and e.encode([b""]) == [b""]
 
 
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_encoders_on_random_texts(kind):
+    """Whatever characters meet: ids are those of the whole library on the whole text."""
+    import random
+
+    rng = random.Random(11)
+    pools = ["ab'.,;!? \n", "aé ß\u0301ñ中\u3000 \u00a0\t", "x1_-'’“”\u200b\u00ad\r\n ", "İıſﬁΣς Aa", "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(300)) + " \n"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 30))) for _ in range(6000)]
+    path, want = library(kind, texts, 0)
+    got = tokens.Encoder(path, kind).encode([t.encode() for t in texts])
+    for t, x, ids in zip(texts, got, want):
+        assert np.frombuffer(x, np.uint16).tolist() == ids[:-1].tolist(), t
+
+
 def test_token_store(spark, tmp_path):
     texts = ODD + awkward() + [prose(900, 50), prose(40, 51) + " " + prose(900, 50), prose(900, 50)]
     ids = [5 * i for i in range(len(texts))]
@@ -217,42 +231,79 @@ def test_cut_has_the_most_recall_for_its_price():
     assert toxicity.calibrate(np.zeros(4), np.array([0, 1, 0, 1]), 0.5)[0] > 0
 
 
-def test_katz(spark, tmp_path, monkeypatch):
+def brute_katz(split, held, order):
+    """(words' counts, stats, a word's probability after a history) of plain dictionaries."""
+    grams = [Counter() for _ in range(order)]
+    for s, h in zip(split, held):
+        if not h:
+            whole = ["start"] + s
+            grams[0].update(s)
+            for n in range(2, order + 1):
+                grams[n - 1].update(tuple(whole[k : k + n]) for k in range(len(whole) - n + 1))
+    one, starts = grams[0], held.count(False)
+    by = [Counter(g.values()) for g in grams]
+    t = katz.Totals.of([[b[r] for r in range(1, katz.K + 2)] + [len(g), sum(g.values())] for b, g in zip(by, grams)], starts)
+    after = [defaultdict(list) for _ in range(order)]
+    for n in range(1, order):
+        for g, c in grams[n].items():
+            after[n][g[:-1]].append((g[-1], c))
+    kept = lambda c, n: t.keep[n][c] if c <= katz.K else c - (katz.REST if n else 0)
+    times = lambda h: starts if h == ("start",) else one[h[0]] if len(h) == 1 else grams[len(h) - 1][h]
+
+    def p(w, h):
+        n = len(h)
+        if not n:
+            return kept(one[w], 0) * t.scale if one[w] else t.unknown
+        c = grams[n][*h, w]
+        return kept(c, n) / times(h) if c else alpha(h) * p(w, h[1:])
+
+    def alpha(h):
+        seen = after[len(h)][h]
+        return (1 - sum(kept(c, len(h)) for _, c in seen) / times(h)) / (1 - sum(p(w, h[1:]) for w, _ in seen)) if times(h) else 1.0
+
+    return one, t, p, after
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz(spark, tmp_path, monkeypatch, order):
     monkeypatch.setattr(katz, "BATCH_BYTES", 3000)
     texts = awkward() + [prose(50 + i, 2000 + i, 30) for i in range(40)]
-    d = write(spark, tmp_path, documents=documents(spark, texts).repartition(3))
+    docs = documents(spark, texts).repartition(3)
     split = [(t or "").encode().lower().split() + ["end"] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    one, two = Counter(), Counter()
-    for s, h in zip(split, held):
-        if not h:
-            one.update(s)
-            two.update(zip(["start"] + s, s))
-    n, v, starts = sum(one.values()), len(one), held.count(False)
-    by = [Counter(c.values()) for c in (one, two)]
-    t = katz.Totals.of([by[0][r] for r in range(1, 7)] + [v, n], [by[1][r] for r in range(1, 7)] + [len(two), sum(two.values())], starts)
-    seen = defaultdict(list)
-    for (h, w), c in two.items():
-        seen[h].append((w, c))
-    total = lambda h: starts if h == "start" else one[h]
-    kept = lambda c: t.keep[c] if c <= katz.K else c - katz.REST
-    low = lambda w: (1 - t.unknown) * one[w] / n if one[w] else t.unknown
-    alpha = lambda h: (1 - sum(kept(c) / total(h) for _, c in seen[h])) / (1 - sum(low(w) for w, _ in seen[h])) if total(h) else 1.0
-    p = lambda h, w: kept(two[h, w]) / total(h) if two[h, w] else alpha(h) * low(w)
-    got = {r.doc_id: r for r in katz.op8_katz(spark, d).collect()}
-    assert len(got) == len(texts)
+    one, t, p, after = brute_katz(split, held, order)
+    n, v = sum(one.values()), len(one)
+    context = lambda s, k: tuple((["start"] + s)[max(0, k + 2 - order) : k + 1])
+    want = [sum(math.log10(p(w, context(s, k))) for k, w in enumerate(s)) for s in split]
+    held_col = katz.crc_remainder("doc_id", 7) == 2
+    model, found = katz.fit_scores(docs, held_col, order=order)
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == len(texts) and not [x for x in spark.catalog.listTables() if x.name.startswith("katz_")]
     for i, (s, h) in enumerate(zip(split, held)):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(s), sum(one[w] > 0 for w in s), n)
         assert r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in s), abs=1e-6)
-        assert r.score == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip(["start"] + s, s)), abs=1e-6)
-    for h in ("start", "end", *list(one)[:5]):
-        if h != "end":
-            assert sum(p(h, w) for w in one) + (alpha(h) * t.unknown) == pytest.approx(1)
-    none = write(spark, tmp_path / "none", documents=documents(spark, []))
-    assert katz.op8_katz(spark, none).count() == 0
-    only_held = write(spark, tmp_path / "held", documents=documents(spark, ["a b"], [next(i for i, h in enumerate(held) if h)]))
-    assert katz.op8_katz(spark, only_held).first().score == 0
+        assert r.score == pytest.approx(want[i], abs=1e-6)
+    again = {r.doc_id: r.score for r in model.scores(docs).collect()}  # the stored tables, asked once more
+    assert again == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-9)
+    for k in range(1, order):
+        for h in [*after[k]][:12] + [("unknown",) * k]:
+            assert sum(p(w, h) for w in one) + p("unseen", h) == pytest.approx(1, abs=1e-9)
+    if order == 2:
+        d = write(spark, tmp_path, documents=docs)
+        assert {r.doc_id: r.score for r in katz.op8_katz(spark, d).collect()} == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-9)
+        none = write(spark, tmp_path / "none", documents=documents(spark, []))
+        assert katz.op8_katz(spark, none).count() == 0
+        only_held = write(spark, tmp_path / "held", documents=documents(spark, ["a b"], [next(i for i, h in enumerate(held) if h)]))
+        assert katz.op8_katz(spark, only_held).first().score == 0
+
+
+def test_packed_hashes():
+    rng = np.random.default_rng(8)
+    for x in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**64, 999, np.uint64))):
+        assert katz.unpack(katz.pack(x)).tolist() == x.tolist()
+    for x in (np.zeros(0, np.int64), np.array([0, 300, 2**33])):
+        assert katz.widen(katz.narrow(x)).tolist() == x.tolist()
 
 
 def test_pipeline(spark, sf_dir):
