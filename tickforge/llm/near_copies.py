@@ -1,12 +1,13 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least `SIMILARITY`.
 
-Candidates come from MinHash: a document has `BANDS` keys of `ROWS` minima each, and documents with a key in common
-are a group. Two documents at similarity s have none in common with chance (1 - s^ROWS)^BANDS: 3 in a million at
-0.8, less above. Fingerprints of 64 bits don't serve here: documents at 0.8 differ in 10 bits on average and in up to
-19, and so do too many strangers for a search whose cost isn't quadratic.
+Candidates come from two searches. SimHash (operator 2, anchor-point covering) on fingerprints of the same shingles links
+documents within `BITS` bits. But documents at similarity 0.8 differ in 10 of 64 bits on average and in up to 19, and so do too many
+strangers for a search whose cost isn't quadratic; so MinHash takes the rest: a document has `BANDS` keys of `ROWS` minima each, and
+documents with a key in common are a group. Two documents at similarity s have none in common with chance (1 - s^ROWS)^BANDS: 3 in
+a million at 0.8, less above.
 No candidate is believed: in each group the shingle sets themselves are compared. Groups that recur over the keys are
-compared once. A group of over `CHUNK` members is compared in chunks that share its smallest member, then chunk against
-chunk, without pairs of chunks that are of one component by then.
+compared once; they are told apart by aggregates, not by lists. A group of over `CHUNK` members is compared in chunks that share its
+smallest member, then chunk against chunk, without pairs of chunks that are of one component by then.
 
 Documents with the same set are one node, so exact copies cost nothing; only sets of nodes in groups are shuffled.
 
@@ -23,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, fresh, hash_windows, hash_words, save, split_words, text_runs
+from . import simhash
+from .common import LOWER, SPACED, fresh, hash_windows, hash_words, heavy, join_spread, save, split_words, text_runs
 from .simhash import stars
 
-SIMILARITY, SHINGLE, BANDS, ROWS, CHUNK = 0.8, 5, 24, 4, 256
+SIMILARITY, SHINGLE, BITS, BANDS, ROWS, CHUNK = 0.8, 5, 4, 24, 4, 256
 _RNG = np.random.Generator(np.random.PCG64(20240301))
 _ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _MULTIPLIERS = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,6 +57,13 @@ def band_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def set_fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of sets of hashes, as signed longs; every row must have a hash."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, offsets[:-1], axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.diff(offsets)[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def compare(sets: list[np.ndarray], labels: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links (i, j) that join the labels of all sets with a similar pair; pairs within a label aren't looked at."""
     sizes = np.array([len(s) for s in sets])
@@ -83,25 +92,27 @@ def _row(docs: DataFrame, id_col: str, text_col: str) -> F.Column:
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(row, id, node, keys): row is a hash of id and text, node one of the shingle set."""
+    """(row, id, node, keys, fp): row is a hash of id and text, node one of the shingle set."""
 
     def work(batches):
         for b in batches:
-            nodes, keys = [], []
+            nodes, keys, fps = [], [], []
             for i, j, hashes, offsets in shingle_sets(b.column(2), shingle):
                 nodes += [xxhash.xxh64_intdigest(hashes[x:y].tobytes()) for x, y in zip(offsets[:-1], offsets[1:])]
                 filled = np.flatnonzero(np.diff(offsets))
-                own = np.zeros((j - i, BANDS), np.int64)
+                own, fp = np.zeros((j - i, BANDS), np.int64), np.zeros(j - i, np.int64)
                 if len(filled):
-                    own[filled] = band_keys(hashes, np.append(offsets[:-1][filled], offsets[-1]))
+                    at = np.append(offsets[:-1][filled], offsets[-1])
+                    own[filled], fp[filled] = band_keys(hashes, at), set_fingerprints(hashes, at)
+                fps.append(fp)
                 keys += [x.tobytes() if n else None for x, n in zip(own, np.diff(offsets))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], names=["row", "id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64))], names=["row", "id", "node", "keys", "fp"])
 
-    return docs.select(_row(docs, id_col, text_col), id_col, text_col).mapInArrow(work, f"row long, id {dict(docs.dtypes)[id_col]}, node long, keys binary")
+    return docs.select(_row(docs, id_col, text_col), id_col, text_col).mapInArrow(work, f"row long, id {dict(docs.dtypes)[id_col]}, node long, keys binary, fp long")
 
 
 def groups(nodes: DataFrame) -> DataFrame:
-    """(members): sorted nodes that have a key in common."""
+    """(g, node, least, n): nodes that have a MinHash key in common or a SimHash component, those of equal groups once; n members, least the smallest."""
 
     def spread(batches):
         for b in batches:
@@ -110,8 +121,14 @@ def groups(nodes: DataFrame) -> DataFrame:
                 keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "node"])
 
-    keyed = nodes.where("keys is not null").select("node", "keys").mapInArrow(spread, "key long, node long")
-    return keyed.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("members")).where(F.size("members") > 1).select("members").distinct()
+    filled = nodes.where("keys is not null")
+    linked = stars(simhash.links(save(filled.select("fp").distinct(), "fingerprints"), BITS)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    near = filled.select("node", "fp").join(linked, "fp", "left").select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"), "node")
+    keyed = save(filled.select("node", "keys").mapInArrow(spread, "key long, node long").unionByName(near).distinct(), "keyed")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), *marks).where("n > 1")
+    once = save(found.groupBy("n", "least", "x0", "x1").agg(F.min("key").alias("key")).select("key", "least", "n"), "once")
+    return join_spread(keyed, once, "key", heavy(once.select("key", "n"), "key"), ["node"]).withColumnRenamed("key", "g")
 
 
 def similar(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -127,17 +144,19 @@ def similar(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def links(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v): links whose components are those of all similar pairs in a group."""
-    group, rest = F.xxhash64("members"), F.expr(f"ceil((size(members) - 1) / {CHUNK})")
-    chunks = found.select(group.alias("g"), F.col("members")[0].alias("least"), F.posexplode("members").alias("at", "node"), rest.alias("n"))
-    pivots = found.select(group.alias("g"), F.col("members")[0].alias("node"), F.explode(F.sequence(F.lit(0), (rest - 1).cast("int"))).alias("c"))
-    first = chunks.where("at > 0").select("g", "node", F.expr(f"cast((at - 1) div {CHUNK} as int)").alias("c")).unionByName(pivots)
-    near = save(similar(first.select(F.xxhash64("g", "c").alias("cell"), "node", F.col("node").alias("label")), sets, similarity).distinct(), "near")
-    large = found.where(F.size("members") > CHUNK + 1).select(group.alias("g"), F.explode("members").alias("node"))
+    rest = F.expr(f"cast(ceil((n - 1) / {CHUNK}) as int)")
+    first = found.where("node <> least").select("g", "node", F.pmod(F.xxhash64("node"), rest).cast("int").alias("c"))
+    pivots = found.where("node = least").select("g", "node", F.explode(F.sequence(F.lit(0), rest - 1)).alias("c"))
+    near = save(similar(first.unionByName(pivots).select(F.xxhash64("g", "c").alias("cell"), "node", F.col("node").alias("label")), sets, similarity).distinct(), "near")
+    large = found.where(F.col("n") > CHUNK + 1).select("g", "node")
     if large.isEmpty():
         return near
     roots = stars(near)
     labelled = large.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("g", "node", F.coalesce("root", "node").alias("label"))
 
+    # Groups that the first chunks have joined already, as a group of true copies is, go no further.
+    open_ = labelled.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("g")
+
     def cut(members: pa.Table) -> pa.Table:
         label, node = members.column("label").to_numpy(), members.column("node").to_numpy()
         order = np.lexsort((node, label))
@@ -154,16 +173,16 @@ def links(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (cells, nodes, labels)]
         return pa.table(flat, names=["cell", "node", "label"])
 
-    cells = labelled.groupBy("g").applyInArrow(cut, "cell long, node long, label long")
+    cells = labelled.join(open_, "g", "left_semi").groupBy("g").applyInArrow(cut, "cell long, node long, label long")
     return near.unionByName(similar(cells, sets, similarity)).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(row, id, component): component is the smallest id reachable over links of similar documents."""
     marked = save(prints(docs, id_col, text_col, shingle), "prints")
-    nodes = save(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("keys").alias("keys")), "nodes")
+    nodes = save(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "nodes")
     found = save(groups(nodes), "groups")
-    wanted = found.select(F.explode("members").alias("node")).distinct().join(nodes.select("node", "row"), "node").select("row")
+    wanted = found.select("node").distinct().join(nodes.select("node", "row"), "node").select("row")
     texts = docs.select(_row(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(wanted, "row", "left_semi")
 
     def hashed(batches):
