@@ -1,6 +1,13 @@
 """From raw documents to packed training sequences: toxicity, line de-duplication, near-duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns of documents.
+
+Nulls and edge cases, stage by stage. A text without words (null, empty) isn't toxic unless most labels are, has no line to lose,
+is a copy of all other such texts, holds no test window, and is packed as its end token. A row without a doc_id stays in all
+stages unless it is toxic or contaminated itself; in line de-duplication such rows are one document. Repeated rows of a doc_id
+are each judged by their own text: near-duplicates stay or go with their text, lines and test windows are those of the row. Extra
+columns pass through, whatever their names, and have no say. Empty tables, labels or benchmarks give no rows, no toxic and no
+contaminated documents.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained classifier and a tokenizer aren't SQL; tests/llm holds the pipeline against a plain version.
+#: A trained classifier and a tokenizer aren't SQL; tests/llm/test_stages.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
