@@ -21,11 +21,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import LOWER, SPACED, fresh, hash_windows, hash_words, heavy, join_spread, save, split_words, text_runs
+from .common import LOWER, SPACED, fresh, hash_windows, hash_words, heavy, join_spread, save, shuffle_partitions, split_words, text_runs
 from .simhash import stars
 
 SIMILARITY, SHINGLE, BITS, BANDS, ROWS, CHUNK = 0.8, 5, 4, 24, 4, 256
@@ -142,39 +142,40 @@ def similar(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cells.join(sets, "node").groupBy("cell").applyInArrow(work, "u long, v long")
 
 
+def chunk_cells(labelled: DataFrame) -> DataFrame:
+    """(cell, node, label): a cell for each two chunks of a group, and each one, that aren't of one label; labelled: (g, n, node, label), n the group's size.
+
+    Members are in the order of their labels, numbered by ranges of rows, so that a group of any size is many tasks.
+    """
+    order = ["label", "node"]
+    tasks = 4 * shuffle_partitions(labelled.sparkSession)
+    ranged = save(labelled.repartitionByRange(tasks, "g", *order).withColumn("p", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # at most `tasks` rows a group
+    bases = ranged.groupBy("g", "p").agg(F.count("*").alias("m")).select("g", "p", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    place = F.col("base") + F.row_number().over(Window.partitionBy("g", "p").orderBy(*order)) - 1
+    placed = save(ranged.join(bases, ["g", "p"]).select("g", "n", F.floor(place / CHUNK).alias("x"), *order), "chunks")
+    chunks = placed.groupBy("g", "n", "x").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    last = F.expr(f"cast(ceil(n / {CHUNK}) as bigint) - 1")
+    pairs = chunks.select("g", "x", "least", F.explode(F.sequence("x", last)).alias("y")).join(chunks.select("g", F.col("x").alias("y"), "most"), ["g", "y"])
+    cells = pairs.where("least <> most").select("g", F.xxhash64("g", "x", "y").alias("cell"), F.explode(F.array_distinct(F.array("x", "y"))).alias("x"))
+    return cells.join(placed, ["g", "x"]).select("cell", "node", "label")
+
+
 def links(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v): links whose components are those of all similar pairs in a group."""
     rest = F.expr(f"cast(ceil((n - 1) / {CHUNK}) as int)")
     first = found.where("node <> least").select("g", "node", F.pmod(F.xxhash64("node"), rest).cast("int").alias("c"))
     pivots = found.where("node = least").select("g", "node", F.explode(F.sequence(F.lit(0), rest - 1)).alias("c"))
     near = save(similar(first.unionByName(pivots).select(F.xxhash64("g", "c").alias("cell"), "node", F.col("node").alias("label")), sets, similarity).distinct(), "near")
-    large = found.where(F.col("n") > CHUNK + 1).select("g", "node")
+    large = found.where(F.col("n") > CHUNK + 1).select("g", "n", "node")
     if large.isEmpty():
         return near
     roots = stars(near)
-    labelled = large.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("g", "node", F.coalesce("root", "node").alias("label"))
+    labelled = large.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("label"))
 
     # Groups that the first chunks have joined already, as a group of true copies is, go no further.
     open_ = labelled.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("g")
-
-    def cut(members: pa.Table) -> pa.Table:
-        label, node = members.column("label").to_numpy(), members.column("node").to_numpy()
-        order = np.lexsort((node, label))
-        label, node, g = label[order], node[order], members.column("g")[0].as_py()
-        at = range(0, len(node), CHUNK)
-        cells, nodes, labels = [], [], []
-        for x in at:
-            for y in at:
-                if x <= y and label[x] != label[min(y + CHUNK, len(label)) - 1]:
-                    part = np.unique(np.concatenate([np.arange(k, min(k + CHUNK, len(node))) for k in (x, y)]))
-                    cells.append(np.full(len(part), xxhash.xxh64_intdigest(f"{g},{x},{y}".encode()), np.uint64).view(np.int64))
-                    nodes.append(node[part])
-                    labels.append(label[part])
-        flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (cells, nodes, labels)]
-        return pa.table(flat, names=["cell", "node", "label"])
-
-    cells = labelled.join(open_, "g", "left_semi").groupBy("g").applyInArrow(cut, "cell long, node long, label long")
-    return near.unionByName(similar(cells, sets, similarity)).distinct()
+    return near.unionByName(similar(chunk_cells(labelled.join(open_, "g", "left_semi")), sets, similarity)).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
