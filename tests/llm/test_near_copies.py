@@ -40,6 +40,20 @@ def test_near_copies(spark, monkeypatch, chunk):
     assert kept.columns == documents(spark, []).columns and near_copies.keep_one(documents(spark, [])).count() == 0
 
 
+def test_chunk_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", 4)
+    groups = {g: sorted((k * k % (g + 2), 100 * g + k) for k in range(n)) for g, n in enumerate([1, 4, 5, 9, 30, 23])}
+    rows = [(g, len(own), node, label) for g, own in groups.items() for label, node in own]
+    expected = []
+    for own in groups.values():
+        parts = [own[i : i + 4] for i in range(0, len(own), 4)]
+        expected += [sorted({*x, *y}) for i, x in enumerate(parts) for y in parts[i:] if len({label for label, _ in x + y}) > 1]
+    cells = {}
+    for r in near_copies.chunk_cells(spark.createDataFrame(rows, "g long, n long, node long, label long").repartition(5)).collect():
+        cells.setdefault(r.cell, []).append((r.label, r.node))
+    assert sorted(map(sorted, cells.values())) == sorted(expected)
+
+
 def test_rows_without_or_with_the_same_id(spark):
     texts = [prose(100, 1), prose(100, 1), prose(100, 2), prose(100, 3), prose(100, 1)]
     kept = near_copies.keep_one(documents(spark, texts, [None, 1, 2, 2, 2]))
