@@ -90,6 +90,13 @@ def crc_remainder(col: str, of: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(of), F.lit(0))
 
 
+def crc_sql(text: str) -> str:
+    """crc32 of an ASCII string as DuckDB SQL, bit by bit."""
+    bytes_ = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    bits = "lambda d, z: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {bits})), 4294967295)"
+
+
 # Byte classes: True where a byte belongs to a word.
 SPACED = np.ones(256, bool)  # words are runs of bytes other than space and \t..\r
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
