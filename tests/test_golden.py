@@ -1,12 +1,14 @@
 """Values worked out by hand, and edge cases."""
 
 import datetime as dt
+import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickforge.functions import scalar
-from tickforge.operators import compare, indicators, liquidity, portfolio, signals, timeframe
+from tickforge.operators import compare, correlation, indicators, liquidity, portfolio, signals, timeframe
 from tickforge.sources import dims, readers
 
 X = [10.0, 11, 12, 11, 10, 9, 10, 12, 14, 13]
@@ -70,16 +72,36 @@ def test_returns_and_risk(spark):
     assert column(indicators.with_returns(bars(spark, s=[0, 1])), "ret") == [None, None]
 
 
-def test_pearson(spark):
-    a = [0.1, 1 / 11, -1 / 12, -1 / 11, -0.1, 1 / 9, 0.2]
-    b = [0.01, -0.02, 0.03, 0.01, 0, 0.02, -0.01]
-    df = spark.createDataFrame(list(zip(a, map(float, b))), "a double, b double")
-    assert df.agg(compare.pearson(F.col("a"), F.col("b")).alias("r")).first().r == pytest.approx(-0.42404673768518686)
-    flat = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], "a double, b double")
-    assert flat.agg(compare.pearson(F.col("a"), F.col("b")).alias("r")).first().r == 0
-    assert compare.correlation_matrix(bars(spark, s=X)).count() == 0
-    m = {(r.sym_a, r.sym_b): (r.n, r.corr) for r in compare.correlation_matrix(bars(spark, s=X, t=X[:5])).collect()}
+def test_correlation(spark):
+    m = {(r.sym_a, r.sym_b): (r.n, r["corr"]) for r in compare.correlation_matrix(bars(spark, s=X, t=X[:5])).collect()}
     assert len(m) == 4 and m["s", "t"][0] == 4 and m["s", "s"][1] == pytest.approx(1) and m["s", "t"] == m["t", "s"]
+    assert compare.correlation_matrix(bars(spark, s=X)).count() == 0 and compare.correlation_matrix(bars(spark)).count() == 0
+    a = [0.1, 1 / 11, -1 / 12, -1 / 11, -0.1, 1 / 9, 0.2]
+    b = [0.01, -0.02, 0.03, 0.01, 0, 0.02, -0.01, 5, 6]
+    flat, steps = [1.0, 1.0, 1.0], [1.0, 2.0, 3.0]
+    rows = [(s, k, float(x)) for s, values in (("a", a), ("b", b), ("c", flat), ("d", steps)) for k, x in enumerate(values)]
+    got = {(r.sym_a, r.sym_b): (r.n, r["corr"]) for r in correlation.correlations(spark.createDataFrame(rows, "symbol string, k int, x double"), 4).collect()}
+    assert got["a", "b"][0] == 7 and got["a", "b"][1] == pytest.approx(-0.42404673768518686) and got["c", "d"] == (3, 0.0) and got["c", "c"] == (3, 0.0)
+
+
+@pytest.mark.parametrize("block, positions", [(1, 3), (2, 5), (3, 64), (100, 7)])
+def test_correlation_tiles(spark, block, positions):
+    """Any cut into tiles gives what every pair of series gives on its own; values may lie far from 0, be missing, or not be there."""
+    rng = np.random.default_rng(block)
+    series = {f"s{i}": {int(k): (None if rng.random() < 0.1 else 1e3 + float(rng.normal())) for k in np.flatnonzero(rng.random(40) < 0.7) - 5} for i in range(7)}
+    series |= {"flat": dict.fromkeys(range(30), 1e3 + 0.1), "far": {100: 1.0}, "gone": {k: None for k in range(5)}}
+    df = spark.createDataFrame([(s, k, x) for s, values in series.items() for k, x in values.items()] + [(None, 1, 1.0)], "symbol string, k long, x double")
+    got = {(r.sym_a, r.sym_b): (r.n, r["corr"]) for r in correlation.correlations(df, len(series), block, positions).collect()}
+    want = {}
+    for a, b in itertools.combinations_with_replacement(sorted(series), 2):
+        shared = series[a].keys() & series[b].keys()
+        pairs = np.array([(series[a][k], series[b][k]) for k in shared if None not in (series[a][k], series[b][k])])
+        if shared:
+            varies = len(pairs) > 1 and np.ptp(pairs[:, 0]) > 0 and np.ptp(pairs[:, 1]) > 0
+            want[a, b] = len(shared), np.corrcoef(pairs.T)[0, 1] if varies else 0.0
+    assert got.keys() == want.keys()
+    for k, (n, c) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(c, abs=1e-6), k
 
 
 def days(spark, values):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import indicators, signals
+from . import correlation, indicators, signals
 
 # Periods of the returns table, in days.
 PERIODS = {"1W": 7, "1M": 30, "3M": 90, "6M": 180, "1Y": 365}
@@ -30,25 +30,18 @@ def period_returns(bars: DataFrame, as_of: str, periods: dict[str, int] = PERIOD
     return found.select("symbol", *(F.when(F.col(f"n_{p}") >= 2, F.try_divide(F.col(f"last_{p}") - F.col(f"first_{p}"), f"first_{p}") * 100).alias(f"ret_{p}") for p in periods))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """0 with fewer than two pairs or without variance."""
-    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
-
-
-def correlation_matrix(bars: DataFrame, align: str = "position") -> DataFrame:
+def correlation_matrix(bars: DataFrame, align: str = "position", symbols: int | None = None) -> DataFrame:
     """(sym_a, sym_b, n, corr, class) of returns, both triangles and the diagonal; no rows for fewer than two symbols.
 
-    align='position' pairs the i-th returns of two symbols, cut to the shorter; align='date' pairs days.
-    The join key is the position or day, so its rows spread evenly however long one symbol's series is.
+    align='position' pairs the i-th returns of two symbols, cut to the shorter; align='date' pairs days. By tiles (see correlation); their
+    number of symbols is counted first, unless it is given.
     """
+    if symbols is None:
+        symbols = bars.agg(F.count_distinct("symbol")).first()[0]
+    if symbols < 2:
+        bars = bars.limit(0)
     rets = indicators.with_returns(indicators.positions(bars)).where("rn > 1")
-    key = F.col("rn") if align == "position" else F.to_date("ts")
-    # One row for each key, with the symbols' returns: pairs of the upper triangle come from it without a join, and are mirrored once summed up.
-    wide = rets.groupBy(key.alias("k")).agg(F.array_sort(F.collect_list(F.struct("symbol", "ret"))).alias("v"))
-    upper = F.flatten(F.transform("v", lambda a, i: F.transform(F.slice("v", i + 1, F.size("v") - i), lambda b: F.struct(a["symbol"].alias("sym_a"), b["symbol"].alias("sym_b"), a["ret"].alias("x"), b["ret"].alias("y")))))
-    pairs = wide.select(F.explode(upper).alias("p")).select("p.*")
-    half = pairs.groupBy("sym_a", "sym_b").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("corr"))
+    key = F.col("rn") if align == "position" else F.datediff("ts", F.lit("1970-01-01").cast("date"))
+    half = correlation.correlations(rets.select("symbol", key.alias("k"), F.col("ret").alias("x")), symbols)
     both = F.when(F.col("sym_a") == F.col("sym_b"), F.array(F.struct("sym_a", "sym_b"))).otherwise(F.array(F.struct("sym_a", "sym_b"), F.struct(F.col("sym_b").alias("sym_a"), F.col("sym_a").alias("sym_b"))))
-    found = half.select(F.explode(both).alias("p"), "n", "corr").select("p.*", "n", "corr")
-    many = bars.select("symbol").distinct().limit(2).agg(F.count("*").alias("symbols"))
-    return found.crossJoin(F.broadcast(many)).where("symbols >= 2").select("sym_a", "sym_b", "n", "corr", signals.correlation_class(F.col("corr")).alias("class"))
+    return half.select(F.explode(both).alias("p"), "n", "corr").select("p.*", "n", "corr", signals.correlation_class(F.col("corr")).alias("class"))

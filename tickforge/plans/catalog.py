@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, volume
+from . import market, series, volume
 
-_ALL = {**volume.QUERIES, **market.QUERIES}
+_ALL = {**volume.QUERIES, **market.QUERIES, **series.QUERIES}
 
 
 def queries() -> dict:

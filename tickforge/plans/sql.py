@@ -9,12 +9,16 @@ def text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-#: Day bars of lineitem.
-BARS = """bars AS (
+def bars(by: str, rows: str = "lineitem") -> str:
+    """Day bars of lineitem, or of lineitem joined with other tables."""
+    return f"""bars AS (
   SELECT symbol, ts, value / nullif(volume, 0) AS close, volume, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn
-  FROM (SELECT l_returnflag AS symbol, l_shipdate AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value,
-               CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem GROUP BY 1, 2)
+  FROM (SELECT {by} AS symbol, l_shipdate AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value,
+               CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM {rows} GROUP BY 1, 2)
 )"""
+
+
+BARS = bars("l_returnflag")
 #: Ticks by symbol and day.
 DAYS = """days AS (
   SELECT event_type AS symbol, CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS volume, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2

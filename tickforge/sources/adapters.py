@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, ts, close, volume): day bars at the volume-weighted price, a symbol for each return flag."""
+def daily_bars(spark: SparkSession, sf_dir: str, by: str = "l_returnflag") -> DataFrame:
+    """(symbol, ts, close, volume): day bars at the volume-weighted price, a symbol for each return flag, or for each value of another column of lineitem."""
     money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("ts"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col(by).alias("symbol"), F.col("l_shipdate").alias("ts"))
     return rows.agg(money("l_extendedprice").alias("value"), money("l_quantity").alias("volume")).select("symbol", "ts", F.try_divide("value", "volume").alias("close"), "volume")
 
 
