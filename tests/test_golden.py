@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.functions import scalar
-from tickforge.operators import compare, correlation, indicators, liquidity, portfolio, signals, timeframe
+from tickforge.operators import backtest, compare, correlation, indicators, liquidity, portfolio, signals, summary, timeframe
 from tickforge.sources import dims, readers
 
 X = [10.0, 11, 12, 11, 10, 9, 10, 12, 14, 13]
@@ -238,3 +238,63 @@ def test_weight_totals(spark):
     rows = [("a", "x", 60.0), ("a", "y", 40.0), ("b", "x", 60.0), ("c", "x", 100.0), ("c", "y", None)]
     got = portfolio.weight_totals(spark.createDataFrame(rows, "p string, symbol string, weight double"), ["p"])
     assert {r.p: (r.members, r.total_weight, r.is_valid) for r in got.collect()} == {"a": (2, 100.0, True), "b": (1, 60.0, False), "c": (2, 100.0, True)}
+
+
+def test_summaries_merge(spark):
+    """Any cut of a series gives the summary of the whole: in tasks, in plans, and against plain loops."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        x = np.where(rng.random(n := rng.integers(0, 30)) < 0.15, rng.choice([0.0, np.nan], n), rng.random(n) * 50)
+        want = summary.of(x)
+        got = summary.EMPTY
+        for part in np.split(x, np.sort(rng.integers(0, n + 1, 4))):
+            got = summary.then(got, summary.of(part))
+        assert got == pytest.approx(want, nan_ok=True), x
+        known = [v for v in x if v == v]
+        falls = [(max(known[: i + 1]) - v) / max(known[: i + 1]) * 100 for i, v in enumerate(known) if max(known[: i + 1]) > 0]
+        rets = [(b - a) / a for a, b in zip(x, x[1:]) if a == a and b == b and a != 0]
+        assert want[5] == pytest.approx(max(falls, default=0)) and want[6] == len(rets)
+        if rets:
+            assert (want[7], want[8]) == (pytest.approx(np.mean(rets)), pytest.approx(np.var(rets) * len(rets), abs=1e-9))
+    series = {s: [None if v != v else float(v) for v in np.where(rng.random(50) < 0.1, np.nan, rng.random(50) * 9)] for s in "abc"}
+    rows = [(s, k // 7, [float("nan") if v is None else v for v in x[k : k + 7]]) for s, x in series.items() for k in range(0, 50, 7)]
+    parts = summary.by_chunk(spark.createDataFrame(rows, "name string, q long, values array<double>"), ["name", "q"])
+    flat = spark.createDataFrame([(s, i, v) for s, x in series.items() for i, v in enumerate(x)], "name string, i int, v double").repartition(6)
+    by_rows = {r.name: tuple(r.s) for r in summary.by_series(flat, ["name"], ["i"], "v").collect()}
+    for r in summary.folded(parts, ["name"], "q").collect():
+        want = summary.of(np.array(series[r.name], np.float64))
+        assert tuple(r.s) == pytest.approx(want) and by_rows[r.name] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block, positions", [(1, 2), (2, 3), (128, 1024)])
+@pytest.mark.parametrize("align", ["position", "date"])
+def test_portfolios_in_blocks(spark, align, block, positions):
+    """Each portfolio of a table is what simulate and metrics give for it alone."""
+    prices = {"A": [100, 110, 121, 130, 90], "B": [50, 45, 55], "C": [10, 10, 20, 30], "D": [5]}
+    df = bars(spark, **prices).where("not (symbol = 'C' and ts = '2024-01-02')")
+    mixes = {"p": {"A": 50, "B": 50}, "q": {"C": 100}, "r": {"A": 20, "B": 30, "C": 50}, "short": {"D": 60, "A": 40}, "off": {"A": 99}, "gone": {"E": 100}, "zero": {"A": 100, "B": 0}}
+    rows = [(p, s, float(w), 9) for p, mix in mixes.items() for s, w in mix.items()] + [("q", None, 5.0, 9), (None, "A", 100.0, 9), ("void", "A", None, 9)]
+    asked = spark.createDataFrame(rows, "portfolio string, symbol string, weight double, members int")
+    status, found = backtest.simulate_all(df, asked, 1000.0, "2024-01-01", "2024-12-31", align, block_symbols=block, positions=positions)
+    states = {r.portfolio: r.status for r in status.collect()}
+    assert states == {"p": "ok", "q": "ok", "r": "ok", "zero": "ok", "short": "bars", "off": "weights", "gone": "bars", "void": "weights"}
+    values = {p: [] for p in states}
+    for row in backtest.series(found, positions).orderBy("portfolio", "i").collect():
+        values[row.portfolio].append(row.value)
+    risks = {row.portfolio: tuple(row)[1:] for row in backtest.metrics_all(status, found, 1000.0, "2024-01-01", "2024-12-31").collect()}
+    assert risks.keys() == states.keys()
+    for p, state in states.items():
+        if state != "ok":
+            assert values[p] == [] and risks[p] == (state, *[None] * 5)
+            continue
+        alone = portfolio.simulate(df, mixes[p], 1000.0, "2024-01-01", "2024-12-31", align)
+        near(values[p], column(alone, "value", "i"))
+        near(risks[p][1:], tuple(portfolio.metrics(alone, 1000.0, "2024-01-01", "2024-12-31").first()))
+    assert backtest.simulate_all(df, asked.limit(0), 1.0, "2024-01-01", "2024-12-31")[1].count() == 0
+
+
+def test_summaries_have_no_window(spark, sf_dir):
+    from tickforge.plans import catalog
+
+    plan = catalog.queries()["max_drawdown"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("FileScan") == 1

@@ -70,7 +70,7 @@ def test_plans(spark, sf_dir):
 
     found = plan(indicators.with_rsi(indicators.with_sma(adapters.daily_bars(spark, sf_dir), [50, 200])))
     assert "SinglePartition" not in found
-    for name in ("sma_50_200", "rsi_14", "daily_changes", "daily_returns", "ma_crosses", "signal_report", "ma_panel", "rsi_zone", "running_peak", "max_drawdown", "ema_12_26"):
+    for name in ("sma_50_200", "rsi_14", "daily_changes", "daily_returns", "ma_crosses", "signal_report", "ma_panel", "rsi_zone", "running_peak", "ema_12_26"):
         assert re.search(r"hashpartitioning\(symbol#\d+, slice#", plan(catalog.queries()[name](spark, sf_dir))), name
     scan = plan(timeframe.in_range(adapters.table(spark, sf_dir, "events").select("ts", "value"), "1W", "2024-01-31"))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in scan and "ReadSchema: struct<ts:timestamp_ntz,value:double>" in scan

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from . import indicators, timeframe
+from . import indicators, summary, timeframe
 
 
 def cagr(start: Column, end: Column, years: Column) -> Column:
@@ -33,7 +33,35 @@ def drawdowns(values: DataFrame, by: list[str], order: str, value: str = "value"
 
 
 def max_drawdown(values: DataFrame, by: list[str], order: str, value: str = "value") -> DataFrame:
-    return drawdowns(values, by, order, value).groupBy(*by).agg(F.greatest(F.lit(0.0), F.max("drawdown")).alias("max_drawdown"))
+    """(by, max_drawdown): the worst fall from a peak in percent, 0 without any; from summaries of slices that are merged in order."""
+    return summary.by_series(values, by, [order], value).select(*by, summary.worst_fall(F.col("s")).alias("max_drawdown"))
+
+
+def yearly(s: Column, per_year: int = 252) -> Column:
+    """Of a summary: yearly deviation of returns in percent, as volatility."""
+    return summary.deviation(s) * F.sqrt(F.lit(float(per_year))) * 100
+
+
+def sharpe_of(s: Column, risk_free: float = 0.05, per_year: int = 252) -> Column:
+    """Of a summary: as sharpe."""
+    vol = yearly(s, per_year) / 100
+    return F.when(vol == 0, 0.0).otherwise(F.try_divide(s["mean"] * per_year - risk_free, vol))
+
+
+def risk(values: DataFrame, by: list[str], order: str, value: str = "value", risk_free: float = 0.05, per_year: int = 252) -> DataFrame:
+    """(by, volatility, sharpe, max_drawdown) of each series, in one pass."""
+    s = F.col("s")
+    found = summary.by_series(values, by, [order], value)
+    return found.select(*by, yearly(s, per_year).alias("volatility"), sharpe_of(s, risk_free, per_year).alias("sharpe"), summary.worst_fall(s).alias("max_drawdown"))
+
+
+def measures(s: Column, amount: Column, years: Column, risk_free: float = 0.05, per_year: int = 252) -> list[Column]:
+    """total_return, cagr, max_drawdown, volatility and sharpe of the summary of a portfolio's values."""
+    last = s["last"]
+    return [
+        ((last - amount) / amount * 100).alias("total_return"), cagr(amount, last, years).alias("cagr"), summary.worst_fall(s).alias("max_drawdown"),
+        yearly(s, per_year).alias("volatility"), sharpe_of(s, risk_free, per_year).alias("sharpe"),
+    ]
 
 
 def equal_weights(symbols: DataFrame) -> DataFrame:
@@ -77,15 +105,10 @@ def simulate(bars: DataFrame, weights: dict[str, float], amount: float, start: s
 
 
 def metrics(values: DataFrame, amount: float, start: str, end: str, risk_free: float = 0.05, per_year: int = 252) -> DataFrame:
-    """One row of total_return, cagr, max_drawdown, volatility, sharpe for (i, value), in slices of rows."""
-    numbered = values.select(F.lit("portfolio").alias("symbol"), F.col("i").alias("rn"), "i", "value")
-    falls = drawdowns(indicators.with_returns(numbered, "value", "i"), ["symbol"], "i")
+    """One row of total_return, cagr, max_drawdown, volatility, sharpe for (i, value); none without values."""
     years = scalar.year_fraction(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
-    last = F.max_by("value", "i")
-    return falls.agg(
-        ((last - amount) / amount * 100).alias("total_return"), cagr(F.lit(float(amount)), last, years).alias("cagr"),
-        F.greatest(F.lit(0.0), F.max("drawdown")).alias("max_drawdown"), volatility(F.col("ret"), per_year).alias("volatility"), sharpe(F.col("ret"), risk_free, per_year).alias("sharpe"), F.count("*").alias("n"),
-    ).where("n > 0").drop("n")
+    found = summary.by_series(values.select(F.lit(0).alias("one"), "i", "value"), ["one"], ["i"], "value")
+    return found.select(*measures(F.col("s"), F.lit(float(amount)), years, risk_free, per_year))
 
 
 def classes(found: DataFrame) -> DataFrame:

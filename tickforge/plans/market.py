@@ -134,8 +134,7 @@ def max_drawdown(spark, d):
 
 
 def risk_by_symbol(spark, d):
-    rets = indicators.with_returns(adapters.daily_bars(spark, d))
-    return rets.groupBy("symbol").agg(F.round(portfolio.volatility(F.col("ret")), 4).alias("volatility"), F.round(portfolio.sharpe(F.col("ret")), 4).alias("sharpe"))
+    return portfolio.risk(adapters.daily_bars(spark, d), ["symbol"], "ts", "close").select("symbol", r("volatility"), r("sharpe"))
 
 
 def running_peak(spark, d):

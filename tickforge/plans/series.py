@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare
+from ..operators import backtest, compare
 from ..sources import adapters
 from . import sql
 
@@ -17,7 +17,57 @@ def _supplier_correlation(align):
     return lambda spark, d: compare.correlation_matrix(adapters.daily_bars(spark, d, "l_suppkey"), align).select("sym_a", "sym_b", "n", r("corr", 6), F.col("class").alias("bucket"))
 
 
+AMOUNT, START, END, SHORT_END = 10_000.0, "2000-01-01", "2000-12-31", "2000-03-31"
+
+
+def portfolio_table(spark, d):
+    """Each customer's mix of brands as a portfolio held for a year; those that are no portfolio say why."""
+    status, found = backtest.simulate_all(adapters.brand_bars(spark, d), adapters.customer_mix(spark, d, "p_brand"), AMOUNT, START, END)
+    return _risks(backtest.metrics_all(status, found, AMOUNT, START, END))
+
+
+def portfolio_table_by_date(spark, d):
+    """Each customer's mix of return flags, on days on which all were traded."""
+    status, found = backtest.simulate_all(adapters.daily_bars(spark, d), adapters.customer_mix(spark, d, "l_returnflag"), AMOUNT, START, END, align="date")
+    return _risks(backtest.metrics_all(status, found, AMOUNT, START, END))
+
+
+def portfolio_table_values(spark, d):
+    _, found = backtest.simulate_all(adapters.brand_bars(spark, d), adapters.customer_mix(spark, d, "p_brand"), AMOUNT, START, SHORT_END)
+    return backtest.series(found).select("portfolio", F.col("i").cast("long").alias("i"), r("value", 2))
+
+
+def _risks(found):
+    return found.select("portfolio", "status", *(r(c) for c in ("total_return", "cagr", "max_drawdown", "volatility", "sharpe")))
+
+
+def _mix(by: str) -> str:
+    return f"""bought AS (SELECT o_custkey AS portfolio, {by} AS symbol, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+w AS (SELECT portfolio, symbol, floor(n * 100 / sum(n) OVER (PARTITION BY portfolio) + 0.5) AS weight FROM bought)"""
+
+
+def _simulated(by: str, end: str, key: str) -> str:
+    rows = "lineitem JOIN part ON l_partkey = p_partkey"
+    return f"""{sql.bars(by, rows)}, {_mix(by)},
+part_ AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{end}'),
+grown AS (SELECT p.symbol, p.{key} AS k, p.close / nullif(b.close, 0) AS growth FROM part_ p JOIN part_ b ON b.symbol = p.symbol AND b.i = 1),
+checked AS (SELECT portfolio, count(*) AS members, CASE WHEN sum(weight) <> 100 THEN 'weights' WHEN min(coalesce(n, 0)) < 2 THEN 'bars' ELSE 'ok' END AS status
+  FROM w LEFT JOIN (SELECT symbol, count(*) AS n FROM part_ GROUP BY 1) USING (symbol) GROUP BY portfolio),
+values_ AS (SELECT portfolio, k, sum({AMOUNT} * weight / 100 * growth) AS value FROM w JOIN checked USING (portfolio) JOIN grown USING (symbol) WHERE status = 'ok' GROUP BY portfolio, k, members HAVING count(*) = members)"""
+
+
+def _measured(by: str, key: str) -> str:
+    return f"""WITH {_simulated(by, END, key)},
+x AS (SELECT portfolio, k, value, value / lag(value) OVER w - 1 AS ret, max(value) OVER w AS peak FROM values_ WINDOW w AS (PARTITION BY portfolio ORDER BY k)),
+v AS (SELECT portfolio, arg_max(value, k) AS last, greatest(0, max((peak - value) / peak * 100)) AS dd, coalesce(stddev_samp(ret), 0) * sqrt(252) AS vol, avg(ret) AS m FROM x GROUP BY portfolio)
+SELECT portfolio, status, round((last - {AMOUNT}) / {AMOUNT} * 100, 4) AS total_return, round((power(last / {AMOUNT}, 1 / (date_diff('day', DATE '{START}', DATE '{END}') / 365.25)) - 1) * 100, 4) AS cagr,
+  round(dd, 4) AS max_drawdown, round(vol * 100, 4) AS volatility, round(CASE WHEN vol = 0 THEN 0 ELSE (m * 252 - 0.05) / vol END, 4) AS sharpe FROM checked LEFT JOIN v USING (portfolio)"""
+
+
 QUERIES = {
+    "portfolio_table": (portfolio_table, _measured("p_brand", "i")),
+    "portfolio_table_by_date": (portfolio_table_by_date, _measured("l_returnflag", "ts")),
+    "portfolio_table_values": (portfolio_table_values, f"WITH {_simulated('p_brand', SHORT_END, 'i')} SELECT portfolio, k AS i, round(value, 2) AS value FROM values_"),
     **{
         name: (
             _supplier_correlation(align),
