@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import dims, static_tables
-from . import timeframe
+from . import indicators, timeframe
 
 SPIKE, MIN_DAYS, TOP, REACH_DAYS = 1.2, 10, 6, 3
 
@@ -30,6 +30,16 @@ def history_for_range(days: DataFrame, range_name: str, as_of: str, futures: str
     return history(wide.select("symbol", F.to_date("ts").alias("date"), "volume", "close"), futures)
 
 
+def history_for_ranges(days: DataFrame, ranges: list[str], as_of: str, futures: str) -> DataFrame:
+    """(range, date, total_volume): as history_for_range for several ranges, from one reading of days."""
+    ts, end = F.col("date").cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz")
+    bars = F.array_compact(F.array(*(F.when(ts >= timeframe.range_start(k, as_of), F.struct(F.lit(k).alias("range"), F.to_date(timeframe.bucket(ts, timeframe.history_interval(k))).alias("bar"))) for k in ranges)))
+    cut = days.where(ts <= end).select("symbol", "date", "volume", "close", F.explode(bars).alias("w"))
+    wide = cut.groupBy("w.range", F.col("w.bar").alias("bar"), "symbol").agg(F.sum("volume").alias("volume"), F.max_by("close", "date").alias("close"))
+    value = F.col("volume") * F.col("close") * multiplier(F.col("symbol"), futures)
+    return wide.groupBy("range", F.col("bar").alias("date")).agg(F.sum(value).alias("total_volume"))
+
+
 def split_columns(days: DataFrame, total: str = "total_volume") -> DataFrame:
     """A column for each demand source, by name."""
     return days.withColumns({key: F.col(total) * (percent / 100) for key, _, percent, _ in static_tables.SOURCES})
@@ -55,8 +65,8 @@ def snapshot(quotes: DataFrame, futures: str, names: dict[str, str] | None = Non
 
 
 def futures_price(quotes: DataFrame, futures: str) -> DataFrame:
-    """One row: the futures' price, 0 without a quote."""
-    return quotes.agg(F.coalesce(F.max(F.when(F.col("symbol") == futures, F.col("price"))), F.lit(0.0)).alias("price"))
+    """One row: the futures' price, 0 without a quote. Only that symbol's quotes are read."""
+    return quotes.where(F.col("symbol") == futures).agg(F.coalesce(F.max("price"), F.lit(0.0)).alias("price"))
 
 
 def scale_regions(total: DataFrame) -> DataFrame:
@@ -89,8 +99,8 @@ def spikes(days: DataFrame, top: int | None = TOP, least: float = SPIKE, min_day
 
 
 def numbered(top: DataFrame) -> DataFrame:
-    """The top spikes in order of their days, numbered from 1; there are at most TOP of them."""
-    return top.withColumn("number", F.row_number().over(Window.orderBy("date")))
+    """Spikes in order of their days, numbered from 1: days of a year are numbered in it, behind those of the years before, so any number of them will do."""
+    return indicators.positions(top, "date", (), "year").withColumn("number", F.col("rn").cast("int")).drop("rn")
 
 
 def nearest_event(days: DataFrame, events: DataFrame | None = None, reach: int = REACH_DAYS) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -25,10 +22,10 @@ def bars_in_range(spark, d):
 
 
 def bars_by_range(spark, d):
-    """Bars of four ranges, each at its own width, and one at a width asked for."""
+    """Bars of four ranges, each at its own width, and one at a width asked for, from one scan."""
     asked = [(k, None) for k in ("1D", "1W", "1M", "5Y")] + [("1D", "1h")]
-    found = [timeframe.bars_for_range(adapters.ticks(spark, d), k, adapters.TICKS_AS_OF, i).select(F.lit(k).alias("range"), F.lit(timeframe.interval_for(k, i)).alias("width"), "symbol", "ts", "open", "high", "low", "close", "volume") for k, i in asked]
-    return reduce(DataFrame.unionByName, found)
+    found = timeframe.bars_for_ranges(adapters.ticks(spark, d), asked, adapters.TICKS_AS_OF)
+    return found.select("range", "width", "symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 def sma_50_200(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, compare
+from ..operators import asof, backtest, compare, timeframe
 from ..sources import adapters
 from . import sql
 
@@ -64,7 +64,43 @@ SELECT portfolio, status, round((last - {AMOUNT}) / {AMOUNT} * 100, 4) AS total_
   round(dd, 4) AS max_drawdown, round(vol * 100, 4) AS volatility, round(CASE WHEN vol = 0 THEN 0 ELSE (m * 252 - 0.05) / vol END, 4) AS sharpe FROM checked LEFT JOIN v USING (portfolio)"""
 
 
+ALL_WIDTHS = {"5m": "time_bucket(INTERVAL 5 MINUTE, ts)", "15m": "time_bucket(INTERVAL 15 MINUTE, ts)", "1h": "date_trunc('hour', ts)", "1d": "date_trunc('day', ts)::TIMESTAMP", "1wk": "date_trunc('week', ts)::TIMESTAMP", "1mo": "date_trunc('month', ts)::TIMESTAMP"}
+REACH_HOURS = 6
+
+
+def bars_all_widths(spark, d):
+    return timeframe.resample_all(adapters.ticks(spark, d), list(ALL_WIDTHS)).select("symbol", "width", "ts", "open", "high", "low", "close", "volume", "n")
+
+
+def _user_ticks(spark, d):
+    e = adapters.table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return e.where("event_type <> 'purchase'").select("user_id", "ts", "event_id"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("ordinal"), "value")
+
+
+def _purchases(direction, reach=None):
+    def query(spark, d):
+        ticks, bought = _user_ticks(spark, d)
+        found = asof.join_asof(ticks, bought, ["user_id"], direction=direction, reach_seconds=reach)
+        gap = F.unix_micros(F.col("match.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+        return found.select("event_id", "user_id", F.col("match.ordinal").alias("purchase_id"), F.col("match.value").alias("value"), gap.alias("micros"))
+
+    return query
+
+
+def _nearest_sql(condition: str) -> str:
+    return f"""WITH p AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase'), t AS (SELECT * FROM events WHERE event_type <> 'purchase'),
+m AS (SELECT t.event_id, p.event_id AS purchase_id, p.value, epoch_us(p.ts) - epoch_us(t.ts) AS micros FROM t JOIN p ON p.user_id = t.user_id AND {condition} QUALIFY row_number() OVER (PARTITION BY t.event_id ORDER BY abs(epoch_us(p.ts) - epoch_us(t.ts)), p.event_id) = 1)
+SELECT event_id, user_id, purchase_id, m.value, micros FROM t LEFT JOIN m USING (event_id)"""
+
+
 QUERIES = {
+    "bars_all_widths": (
+        bars_all_widths,
+        " UNION ALL ".join(f"(SELECT event_type AS symbol, '{w}' AS width, {trunc} AS ts, arg_min(value, (events.ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (events.ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, count(*) AS n FROM events GROUP BY event_type, {trunc.replace('ts)', 'events.ts)')})" for w, trunc in ALL_WIDTHS.items()),
+    ),
+    "nearest_purchase": (_purchases(asof.NEAREST), _nearest_sql("true")),
+    "last_purchase": (_purchases(asof.BEFORE, 3600 * REACH_HOURS), _nearest_sql(f"p.ts <= t.ts AND p.ts >= t.ts - INTERVAL {REACH_HOURS} HOUR")),
+    "next_purchase": (_purchases(asof.AFTER), _nearest_sql("p.ts >= t.ts")),
     "portfolio_table": (portfolio_table, _measured("p_brand", "i")),
     "portfolio_table_by_date": (portfolio_table_by_date, _measured("l_returnflag", "ts")),
     "portfolio_table_values": (portfolio_table_values, f"WITH {_simulated('p_brand', SHORT_END, 'i')} SELECT portfolio, k AS i, round(value, 2) AS value FROM values_"),

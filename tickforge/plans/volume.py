@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -41,8 +38,8 @@ def liquidity_spikes_explained(spark, d):
 
 def history_by_range(spark, d):
     """Histories of three ranges, whose bars are days, weeks and months."""
-    found = [liquidity.history_for_range(adapters.tick_days(spark, d), k, adapters.TICKS_AS_OF, FUTURES).select(F.lit(k).alias("range"), "date", r("total_volume")) for k in RANGES]
-    return reduce(DataFrame.unionByName, found)
+    found = liquidity.history_for_ranges(adapters.tick_days(spark, d), list(RANGES), adapters.TICKS_AS_OF, FUTURES)
+    return found.select("range", "date", r("total_volume"))
 
 
 def spikes_topk(spark, d):
@@ -68,7 +65,7 @@ def source_order(spark, d):
 
 
 def price_chart(spark, d):
-    bars = timeframe.in_range(timeframe.resample(adapters.ticks(spark, d), "1h"), "1W", adapters.TICKS_AS_OF)
+    bars = timeframe.bars_for_range(adapters.ticks(spark, d), "1W", adapters.TICKS_AS_OF, "1h")
     return bars.select("symbol", "ts", "open", "high", "low", "close", "volume", scalar.bar_direction(F.col("open"), F.col("close")).alias("direction"))
 
 
