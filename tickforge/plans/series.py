@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, backtest, compare, timeframe
+from ..operators import asof, backtest, compare, prefix, timeframe
 from ..sources import adapters
 from . import sql
 
@@ -93,7 +93,26 @@ m AS (SELECT t.event_id, p.event_id AS purchase_id, p.value, epoch_us(p.ts) - ep
 SELECT event_id, user_id, purchase_id, m.value, micros FROM t LEFT JOIN m USING (event_id)"""
 
 
+LONG, SHORT_SLICE = (500, 1200), 256
+
+
+def sma_long(spark, d):
+    """Averages over more rows than a slice has."""
+    return prefix.with_sma(adapters.daily_bars(spark, d), list(LONG), rows=SHORT_SLICE).select("symbol", "ts", *(r(f"sma_{p}") for p in LONG))
+
+
+def rsi_long(spark, d):
+    return prefix.with_rsi(adapters.daily_bars(spark, d), LONG[0], rows=SHORT_SLICE).select("symbol", "ts", r(f"rsi_{LONG[0]}"))
+
+
 QUERIES = {
+    "sma_long": (sma_long, f"WITH {sql.BARS} SELECT symbol, ts, " + ", ".join(f"round(CASE WHEN rn >= {p} THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) END, 4) AS sma_{p}" for p in LONG) + " FROM bars"),
+    "rsi_long": (
+        rsi_long,
+        f"""WITH {sql.BARS}, c AS (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS c FROM bars),
+s AS (SELECT symbol, ts, rn, sum(greatest(c, 0)) OVER w AS gain, sum(greatest(-c, 0)) OVER w AS loss FROM c WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {LONG[0] - 1} PRECEDING AND CURRENT ROW))
+SELECT symbol, ts, round(CASE WHEN rn <= {LONG[0]} THEN NULL WHEN loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / nullif(loss, 0)) END, 4) AS rsi_{LONG[0]} FROM s""",
+    ),
     "bars_all_widths": (
         bars_all_widths,
         " UNION ALL ".join(f"(SELECT event_type AS symbol, '{w}' AS width, {trunc} AS ts, arg_min(value, (events.ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (events.ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, count(*) AS n FROM events GROUP BY event_type, {trunc.replace('ts)', 'events.ts)')})" for w, trunc in ALL_WIDTHS.items()),
