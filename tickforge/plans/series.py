@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, backtest, compare, prefix, timeframe
-from ..sources import adapters
+from ..sources import adapters, barstore
 from . import sql
 
 
@@ -105,7 +105,28 @@ def rsi_long(spark, d):
     return prefix.with_rsi(adapters.daily_bars(spark, d), LONG[0], rows=SHORT_SLICE).select("symbol", "ts", r(f"rsi_{LONG[0]}"))
 
 
+STORE_ROWS, STORE_LOOKBACK = 1024, 640
+
+
+def stored_indicators(spark, d):
+    """Averages and the oscillator of a bar store written from lineitem: after that, no shuffle."""
+    name = barstore.write(adapters.daily_bars(spark, d), rows=STORE_ROWS, lookback=STORE_LOOKBACK)
+    found = barstore.with_indicators(spark, name, sma=[50, 200], rsi=[14], ema=[12, 26])
+    return found.select("symbol", "ts", *(r(c) for c in ("sma_50", "sma_200", "rsi_14", "ema_12", "ema_26")))
+
+
+def stored_range(spark, d):
+    """A year of each supplier's bars from a store: other years' files aren't read."""
+    name = barstore.write(adapters.daily_bars(spark, d, "l_suppkey"), rows=STORE_ROWS, lookback=1)
+    return barstore.in_range(spark, name, "1Y", adapters.DAILY_AS_OF).select("symbol", "ts", "close", "volume")
+
+
 QUERIES = {
+    "stored_indicators": (
+        stored_indicators,
+        f"WITH RECURSIVE {sql.INDICATORS}, {sql.ema(12)}, {sql.ema(26)} SELECT r.symbol, r.ts, round(sma_50, 4) AS sma_50, round(sma_200, 4) AS sma_200, round(rsi_14, 4) AS rsi_14, round(a.v, 4) AS ema_12, round(c.v, 4) AS ema_26 FROM rsi r LEFT JOIN ema_12 a USING (symbol, rn) LEFT JOIN ema_26 c USING (symbol, rn)",
+    ),
+    "stored_range": (stored_range, f"WITH {sql.bars('l_suppkey')} SELECT symbol, ts, close, volume FROM bars WHERE ts BETWEEN TIMESTAMP '{adapters.DAILY_AS_OF}' - INTERVAL 365 DAY AND TIMESTAMP '{adapters.DAILY_AS_OF}'"),
     "sma_long": (sma_long, f"WITH {sql.BARS} SELECT symbol, ts, " + ", ".join(f"round(CASE WHEN rn >= {p} THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW) END, 4) AS sma_{p}" for p in LONG) + " FROM bars"),
     "rsi_long": (
         rsi_long,
