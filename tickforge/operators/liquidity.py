@@ -87,12 +87,13 @@ def demand(regions: DataFrame) -> DataFrame:
     return flat.select("region", "country", "b.type", "b.percent", "b.color", (F.col("_v") * F.col("b.percent") / 100).alias("volume"))
 
 
-def spikes(days: DataFrame, top: int | None = TOP, least: float = SPIKE, min_days: int = MIN_DAYS) -> DataFrame:
+def spikes(days: DataFrame, top: int | None = TOP, least: float = SPIKE, min_days: int = MIN_DAYS, stats: DataFrame | None = None) -> DataFrame:
     """(date, total_volume, deviation): the `top` days (all if None) furthest above the mean, over `least` population deviations; earlier days win ties.
 
-    None for fewer than `min_days` days or days that are all alike. Mean and deviation are one row, joined, so no window spans all days.
+    None for fewer than `min_days` days or days that are all alike. Mean and deviation are one row (stats: _mean, _std, _n, if they are known), joined, so no window spans all days.
     """
-    stats = days.agg(F.avg("total_volume").alias("_mean"), F.stddev_pop("total_volume").alias("_std"), F.count("*").alias("_n"))
+    if stats is None:
+        stats = days.agg(F.avg("total_volume").alias("_mean"), F.stddev_pop("total_volume").alias("_std"), F.count("*").alias("_n"))
     scored = days.crossJoin(F.broadcast(stats)).where((F.col("_n") >= min_days) & (F.col("_std") > 0)).withColumn("deviation", F.try_divide(F.col("total_volume") - F.col("_mean"), "_std"))
     found = scored.where(F.col("deviation") > least).select("date", "total_volume", "deviation")
     return found.orderBy(F.desc("deviation"), "date").limit(top) if top else found

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, backtest, compare, prefix, timeframe
-from ..sources import adapters, barstore
+from ..sources import adapters, barstore, shared
+from ..streaming import live, refresh
 from . import sql
 
 
@@ -121,7 +122,46 @@ def stored_range(spark, d):
     return barstore.in_range(spark, name, "1Y", adapters.DAILY_AS_OF).select("symbol", "ts", "close", "volume")
 
 
+STREAM_CUT = "1999-01-01"
+
+
+def stream_indicators(spark, d):
+    """Indicators of a stream of bars that comes in two parts, with a restart between them."""
+    at = shared.new_path(spark, "live")
+    bars = adapters.daily_bars(spark, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.PROVIDER)
+    try:
+        for part in (F.col("ts") < STREAM_CUT, F.col("ts") >= STREAM_CUT):
+            bars.where(part).write.mode("append").parquet(f"{at}/bars")
+            found = live.with_indicators(spark.readStream.schema(bars.schema).parquet(f"{at}/bars"))
+            found.writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    found = spark.read.parquet(f"{at}/found")
+    return found.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "rn", *(r(c) for c in ("sma_50", "sma_200", "rsi_14", "ema_12", "ema_26")), F.col("cross").alias("cross_type"))
+
+
+def refreshed_spikes(spark, d):
+    """Spikes of ticks that come in three batches, one of them twice."""
+    at = shared.new_path(spark, "refresh")
+    ticks = adapters.ticks(spark, d)
+    for batch in (0, 1, 1, 2):
+        refresh.upsert(ticks.where(F.col("id") % 3 == batch), batch, at, adapters.FUTURES)
+    return refresh.spikes(spark, at, adapters.FUTURES, top=None).select("date", r("total_volume"), r("deviation"))
+
+
 QUERIES = {
+    "stream_indicators": (
+        stream_indicators,
+        f"""WITH RECURSIVE {sql.CROSSES}, {sql.ema(12)}, {sql.ema(26)}
+SELECT r.symbol, r.ts, r.rn, round(sma_50, 4) AS sma_50, round(sma_200, 4) AS sma_200, round(rsi_14, 4) AS rsi_14, round(a.v, 4) AS ema_12, round(c.v, 4) AS ema_26, x.cross_type
+FROM rsi r LEFT JOIN ema_12 a USING (symbol, rn) LEFT JOIN ema_26 c USING (symbol, rn) LEFT JOIN crosses x ON x.symbol = r.symbol AND x.ts = r.ts""",
+    ),
+    "refreshed_spikes": (
+        refreshed_spikes,
+        f"WITH {sql.HISTORY}, stats AS (SELECT avg(total_volume) AS mean, stddev_pop(total_volume) AS std, count(*) AS n FROM history) SELECT date, round(total_volume, 4) AS total_volume, round((total_volume - mean) / std, 4) AS deviation FROM history, stats WHERE n >= 10 AND std > 0 AND (total_volume - mean) / std > 1.2",
+    ),
     "stored_indicators": (
         stored_indicators,
         f"WITH RECURSIVE {sql.INDICATORS}, {sql.ema(12)}, {sql.ema(26)} SELECT r.symbol, r.ts, round(sma_50, 4) AS sma_50, round(sma_200, 4) AS sma_200, round(rsi_14, 4) AS rsi_14, round(a.v, 4) AS ema_12, round(c.v, 4) AS ema_26 FROM rsi r LEFT JOIN ema_12 a USING (symbol, rn) LEFT JOIN ema_26 c USING (symbol, rn)",
