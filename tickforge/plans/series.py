@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, backtest, compare, prefix, timeframe
-from ..sources import adapters, barstore, shared
+from ..sources import adapters, barstore, quote_files, shared
 from ..streaming import live, refresh
 from . import sql
 
@@ -151,7 +151,24 @@ def refreshed_spikes(spark, d):
     return refresh.spikes(spark, at, adapters.FUTURES, top=None).select("date", r("total_volume"), r("deviation"))
 
 
+QUOTES_FROM, QUOTES_TO = "2024-01-10 06:30:00", "2024-01-12"
+
+
+def quotes_from_files(spark, d):
+    """Hourly quotes as JSON files, read back through the data source: two symbols and two days, other files aren't opened."""
+    at = shared.new_path(spark, "quotes")
+    bars = timeframe.resample(adapters.ticks(spark, d), "1h")
+    quote_files.write(bars.select("symbol", "ts", F.col("close").alias("price"), "volume"), at)
+    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (QUOTES_FROM, QUOTES_TO))
+    found = quote_files.read(spark, at)
+    return found.where(F.col("symbol").isin("click", "view") & (F.col("ts") >= lo) & (F.col("ts") < hi))
+
+
 QUERIES = {
+    "quotes_from_files": (
+        quotes_from_files,
+        f"SELECT event_type AS symbol, date_trunc('hour', events.ts) AS ts, arg_max(value, (events.ts, event_id)) AS price, CAST(count(*) AS DOUBLE) AS volume FROM events WHERE event_type IN ('click', 'view') AND date_trunc('hour', events.ts) >= TIMESTAMP '{QUOTES_FROM}' AND date_trunc('hour', events.ts) < TIMESTAMP '{QUOTES_TO}' GROUP BY 1, 2",
+    ),
     "stream_indicators": (
         stream_indicators,
         f"""WITH RECURSIVE {sql.CROSSES}, {sql.ema(12)}, {sql.ema(26)}
