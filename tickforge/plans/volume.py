@@ -59,9 +59,10 @@ def ticker_point(spark, d):
 
 
 def source_order(spark, d):
-    """Sources by their place in a legend that leaves some out."""
+    """The total's shares by source, by their place in a legend that leaves some out."""
     place = scalar.order_of(F.col("key"), ["mining", "jewelry", "institutional"])
-    return dims.sources(spark).orderBy(place, "ordinal").select("key", "name", place.cast("int").alias("place"))
+    shares = liquidity.split_rows(_total(spark, d)).join(F.broadcast(dims.sources(spark).select("name", "key")), "name")
+    return shares.orderBy(place, "ordinal").select("key", "name", place.cast("int").alias("place"), r("value"))
 
 
 def price_chart(spark, d):
@@ -114,7 +115,10 @@ def region_rollup(spark, d):
 
 
 def region_sizes(spark, d):
-    return dims.regions(spark).select("region", "percent", F.size("countries").cast("long").alias("n_countries"), F.aggregate("countries", F.lit(0.0), lambda a, c: a + c["percent"]).alias("country_percent"))
+    """Regions with their number of countries, and their countries' percents and volumes added up."""
+    regions = liquidity.scale_regions(_total(spark, d))
+    added = lambda field: F.aggregate("countries", F.lit(0.0), lambda a, c: a + c[field])
+    return regions.select("region", "percent", F.size("countries").cast("long").alias("n_countries"), added("percent").alias("country_percent"), F.round(added("volume"), 4).alias("volume"))
 
 
 def nation_shares(spark, d):
@@ -128,8 +132,11 @@ def nation_shares(spark, d):
 
 
 def equal_weights(spark, d):
-    sizes = spark.createDataFrame([(n,) for n in range(1, 11)], "n int")
-    return sizes.select("n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("position")).select("n", "position", scalar.equal_weight(F.col("n"), F.col("position")).alias("weight"))
+    """The priorities of each customer's orders as equal members of a portfolio, in whole percents."""
+    members = adapters.table(spark, d, "orders").select(F.col("o_custkey").alias("portfolio"), F.col("o_orderpriority").alias("symbol")).distinct()
+    listed = members.groupBy("portfolio").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))  # five at most
+    placed = listed.select("portfolio", F.size("symbols").alias("n"), F.posexplode("symbols").alias("at", "symbol"))
+    return placed.select("portfolio", "symbol", "n", scalar.equal_weight(F.col("n"), F.col("at") + 1).alias("weight"))
 
 
 def market_open_flag(spark, d):
@@ -197,7 +204,9 @@ def symbol_filter(spark, d):
 
 
 def symbol_union(spark, d):
-    return dims.funds(spark).select("ordinal", "symbol", "color")
+    """Parts dealt over the union of the fund lists: number and price of each fund's."""
+    parts = adapters.table(spark, d, "part").groupBy((F.col("p_partkey") % len(static_tables.ALL_FUNDS)).cast("int").alias("ordinal")).agg(F.count("*").alias("n_parts"), F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double").alias("price"))
+    return F.broadcast(dims.funds(spark)).join(parts, "ordinal").select("ordinal", "symbol", "color", "n_parts", "price")
 
 
 def toggle_set(spark, d):
@@ -226,8 +235,13 @@ def quote_json(spark, d):
 
 
 def instrument_classes(spark, d):
-    i = dims.instruments(spark)
-    return i.select("symbol", "name", "multiplier", scalar.instrument_class(F.col("symbol")).alias("class"), scalar.lookup(F.col("symbol"), static_tables.SYMBOL_COLORS, static_tables.DEFAULT_COLOR).alias("color"), F.col("symbol").isin(static_tables.METAL_FUNDS).alias("is_metal"))
+    """Ticks dealt over the instruments by id: each instrument's class, colour, number of ticks and value at its contract size."""
+    instruments = F.broadcast(dims.instruments(spark))
+    dealt = adapters.ticks(spark, d).groupBy((F.col("id") % len(static_tables.INSTRUMENTS)).cast("int").alias("ordinal")).agg(F.count("*").alias("n"), F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("price"))
+    color = scalar.lookup(F.col("symbol"), static_tables.SYMBOL_COLORS, static_tables.DEFAULT_COLOR)
+    return instruments.join(dealt, "ordinal").select(
+        "symbol", "name", "multiplier", scalar.instrument_class(F.col("symbol")).alias("class"), color.alias("color"), F.col("symbol").isin(static_tables.METAL_FUNDS).alias("is_metal"), "n", (F.col("price") * F.col("multiplier")).alias("value")
+    )
 
 
 _SPIKES = """stats AS (SELECT avg(total_volume) AS mean, stddev_pop(total_volume) AS std, count(*) AS n FROM {0}),
@@ -281,7 +295,7 @@ SELECT event_id AS id, user_id AS key, e.id IS NULL AS hit FROM events LEFT JOIN
     "spike_days": (spike_days, f"WITH {_ORDERS}, {_SPIKES.format('order_days')} SELECT date, round(total_volume, 4) AS total_volume, round(deviation, 6) AS deviation FROM spikes"),
     "spikes_numbered": (spikes_numbered, f"WITH {_ORDERS}, {_SPIKES.format('order_days')}, top AS (SELECT date FROM spikes ORDER BY deviation DESC, date LIMIT 6) SELECT date, CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS number, strftime(date, '%m-%d') AS label FROM top"),
     "ticker_point": (ticker_point, "SELECT event_type AS symbol, arg_max(value, (ts, event_id)) AS price, CAST(count(*) AS DOUBLE) AS volume, max(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY 1"),
-    "source_order": (source_order, f"WITH {sql.SOURCES} SELECT key, name, CAST(CASE key WHEN 'mining' THEN 0 WHEN 'jewelry' THEN 1 WHEN 'institutional' THEN 2 ELSE 99 END AS INTEGER) AS place FROM sources"),
+    "source_order": (source_order, f"WITH {sql.TOTAL}, {sql.SOURCES} SELECT key, name, CAST(CASE key WHEN 'mining' THEN 0 WHEN 'jewelry' THEN 1 WHEN 'institutional' THEN 2 ELSE 99 END AS INTEGER) AS place, round(total * percent / 100, 4) AS value FROM total, sources"),
     "price_chart": (price_chart, f"WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2) SELECT *, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM b WHERE ts BETWEEN TIMESTAMP '{adapters.TICKS_AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{adapters.TICKS_AS_OF}'"),
     "nearest_events": (nearest_events, f"WITH {sql.EVENTS}, s AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events) SELECT s.date, e.event_date, coalesce(e.title, {_TITLE}) AS title FROM s {_NEAREST}"),
     "liquidity_summary": (liquidity_summary, f"WITH {sql.HISTORY}, one AS (SELECT coalesce(sum(total_volume), 0) AS total_volume, coalesce(avg(total_volume), 0) AS avg_daily_volume, count(*) AS trading_days FROM history) SELECT round(total_volume, 4) AS total_volume, round(avg_daily_volume, 4) AS avg_daily_volume, trading_days, {_SHARES} FROM one"),
@@ -292,9 +306,9 @@ SELECT event_id AS id, user_id AS key, e.id IS NULL AS hit FROM events LEFT JOIN
     "country_allocation": (country_allocation, f"WITH {sql.TOTAL}, {sql.COUNTRIES} SELECT region, country, percent, round(total * percent / 100, 7) AS volume FROM total, countries"),
     "demand_breakdown": (demand_breakdown, f"WITH {sql.TOTAL}, {sql.COUNTRIES}, {sql.DEMAND} SELECT region, c.country, d.type, d.percent, d.color, round(total * c.percent / 100 * d.percent / 100, 7) AS volume FROM total, countries c JOIN demand d ON c.country = d.country"),
     "region_rollup": (region_rollup, f"WITH {sql.TOTAL}, {sql.COUNTRIES}, {sql.DEMAND} SELECT region, c.country, round(sum(total * c.percent / 100 * d.percent / 100), 7) AS volume, count(*) AS n FROM total, countries c JOIN demand d ON c.country = d.country GROUP BY ROLLUP (region, c.country)"),
-    "region_sizes": (region_sizes, f"WITH {sql.COUNTRIES}, p(region, percent) AS (VALUES {', '.join(f'({sql.text(n)}, {p}::DOUBLE)' for n, p, *_ in static_tables.REGIONS)}) SELECT region, p.percent, count(*) AS n_countries, sum(c.percent) AS country_percent FROM countries c JOIN p USING (region) GROUP BY region, p.percent"),
+    "region_sizes": (region_sizes, f"WITH {sql.TOTAL}, {sql.COUNTRIES}, p(region, percent) AS (VALUES {', '.join(f'({sql.text(n)}, {p}::DOUBLE)' for n, p, *_ in static_tables.REGIONS)}) SELECT region, p.percent, count(*) AS n_countries, sum(c.percent) AS country_percent, round(sum(total * c.percent / 100), 4) AS volume FROM total, countries c JOIN p USING (region) GROUP BY region, p.percent"),
     "nation_shares": (nation_shares, "WITH s AS (SELECT c_nationkey, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS value FROM customer GROUP BY 1) SELECT r_name AS region, n_name AS nation, round(value * 100 / (SELECT sum(value) FROM s), 4) AS share FROM s JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
-    "equal_weights": (equal_weights, "SELECT n::INTEGER AS n, p::INTEGER AS position, CAST(CASE WHEN p = n THEN 100 - floor(100.0 / n + 0.5) * (n - 1) ELSE floor(100.0 / n + 0.5) END AS INTEGER) AS weight FROM range(1, 11) t(n), LATERAL (SELECT unnest(range(1, n + 1)) AS p)"),
+    "equal_weights": (equal_weights, "WITH m AS (SELECT DISTINCT o_custkey AS portfolio, o_orderpriority AS symbol FROM orders), c AS (SELECT *, count(*) OVER (PARTITION BY portfolio) AS n, row_number() OVER (PARTITION BY portfolio ORDER BY symbol) AS p FROM m) SELECT portfolio, symbol, n::INTEGER AS n, CAST(CASE WHEN p = n THEN 100 - floor(100.0 / n + 0.5) * (n - 1) ELSE floor(100.0 / n + 0.5) END AS INTEGER) AS weight FROM c"),
     "market_open_flag": (market_open_flag, "WITH l AS (SELECT event_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS t FROM events), o AS (SELECT event_id, dayofweek(t) BETWEEN 1 AND 5 AND hour(t) * 60 + minute(t) BETWEEN 570 AND 960 AS is_open FROM l) SELECT event_id AS id, is_open, CAST(CASE WHEN is_open THEN 30 ELSE 300 END AS INTEGER) AS refresh FROM o"),
     "format_volumes": (
         format_volumes,
@@ -307,10 +321,10 @@ SELECT date, CASE WHEN v >= 1e9 THEN printf('%.1fB', v / 1e9) WHEN v >= 1e6 THEN
     "format_money": (format_money, "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || '$' || format('{:,.2f}', abs(c_acctbal)) AS money, CASE WHEN c_acctbal >= 0 THEN 'positive' ELSE 'negative' END AS sign FROM customer"),
     "rate_limit_windows": (rate_limit_windows, "SELECT user_id AS client, date_trunc('minute', ts) AS ts, count(*) AS n, least(count(*), 2) AS allowed, greatest(count(*) - 2, 0) AS rejected FROM events GROUP BY 1, 2"),
     "symbol_filter": (symbol_filter, f"WITH {_QUOTES}, w(ordinal, symbol) AS (VALUES (0::INTEGER, 'view'), (1::INTEGER, 'nothing'), (2::INTEGER, 'click')) SELECT ordinal, symbol, price, volume FROM w JOIN quotes USING (symbol)"),
-    "symbol_union": (symbol_union, "SELECT * FROM (VALUES " + ", ".join(f"({i}::INTEGER, '{s}', '{static_tables.SYMBOL_COLORS[s]}')" for i, s in enumerate(static_tables.ALL_FUNDS)) + ") t(ordinal, symbol, color)"),
+    "symbol_union": (symbol_union, "SELECT ordinal, symbol, color, count(*) AS n_parts, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS price FROM part JOIN (VALUES " + ", ".join(f"({i}::INTEGER, '{s}', '{static_tables.SYMBOL_COLORS[s]}')" for i, s in enumerate(static_tables.ALL_FUNDS)) + f") t(ordinal, symbol, color) ON p_partkey % {len(static_tables.ALL_FUNDS)} = ordinal GROUP BY 1, 2, 3"),
     "toggle_set": (toggle_set, "SELECT DISTINCT event_type AS symbol, CASE event_type WHEN 'click' THEN 'view' WHEN 'view' THEN 'click' ELSE 'click,view,' || event_type END AS items FROM events"),
     "quote_parse": (quote_parse, f"WITH {_QUOTES} SELECT symbol, CAST(CAST(price AS DECIMAL(18,4)) AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS change, volume AS change_percent FROM quotes"),
     "quotes_filled": (quotes_filled, f"WITH {_QUOTES} SELECT symbol, CASE WHEN symbol = 'click' THEN 'click' ELSE short_name END AS short_name, CASE WHEN symbol = 'view' THEN 0.0 ELSE price END AS price, 'CLOSED' AS market_state, false AS is_open FROM quotes"),
     "quote_json": (quote_json, f"""WITH {_QUOTES} SELECT '{{"symbol":"' || symbol || '","volume":' || CAST(volume AS VARCHAR) || '}}' AS body FROM quotes"""),
-    "instrument_classes": (instrument_classes, "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {sql.text(n)}, {m}::DOUBLE, '{'futures' if s == 'GC=F' else 'miners' if s == 'GDX' else 'fund'}', '{static_tables.SYMBOL_COLORS[s]}', {str(s in static_tables.METAL_FUNDS).lower()})" for s, n, m in static_tables.INSTRUMENTS) + ") t(symbol, name, multiplier, class, color, is_metal)"),
+    "instrument_classes": (instrument_classes, "SELECT symbol, name, multiplier, class, color, is_metal, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) * multiplier AS value FROM events JOIN (VALUES " + ", ".join(f"({i}, '{s}', {sql.text(n)}, {m}::DOUBLE, '{'futures' if s == 'GC=F' else 'miners' if s == 'GDX' else 'fund'}', '{static_tables.SYMBOL_COLORS[s]}', {str(s in static_tables.METAL_FUNDS).lower()})" for i, (s, n, m) in enumerate(static_tables.INSTRUMENTS)) + f") t(ordinal, symbol, name, multiplier, class, color, is_metal) ON event_id % {len(static_tables.INSTRUMENTS)} = ordinal GROUP BY symbol, name, multiplier, class, color, is_metal"),
 }
