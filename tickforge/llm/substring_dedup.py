@@ -15,9 +15,10 @@ doc_id, and a word goes if any window over it goes.
 4. Each document takes the answers of its pieces, and its removed windows become spans.
 
 A shard's automaton meets the pieces of its keys instead of every document: other documents can't match it, and
-a broadcast to all would make the work grow as the square of the corpus. A key whose different pieces have more
-than `HOT` words is cut into single windows, dealt over shards by their hash, so that no shard depends on one key's size.
-Keys and pieces that many documents have are salted where they are joined.
+a broadcast to all would make the work grow as the square of the corpus. If the different pieces of a key have more than
+`HOT` words, they are cut again under longer keys, the least hashes of grams of twice and four times as many words and at last
+of the window itself, each time only those that are still too many. Equal windows have equal keys of any length, so they meet in
+one shard's automaton however often a key is cut. Keys and pieces that many documents have are salted where they are joined.
 
 Nulls and edge cases: a null text has no words; documents shorter than a window lose nothing; a document without a
 doc_id loses nothing and takes nothing from others; repeated rows of a doc_id, equal or not, lose what an earlier doc_id has, none against another;
@@ -48,14 +49,14 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (k - width)], out[k - width :]) if width < k else out
 
 
-def window_keys(data: np.ndarray, offsets: np.ndarray, window: int):
-    """(word starts, word ends, first words, word hashes, windows' first words, their keys) of the rows of a run."""
+def window_keys(data: np.ndarray, offsets: np.ndarray, window: int, gram: int = GRAM):
+    """(word starts, word ends, first words, word hashes, windows' first words, their keys) of the rows of a run; a key is the least hash of the window's grams."""
     starts, ends, first = split_words(data, offsets, SPACED)
     words = hash_words(data, starts, ends)
     counts = np.maximum(np.diff(first) - window + 1, 0)
     at = ranges(first[:-1], counts)
-    grams = hash_windows(words, min(GRAM, window))
-    keys = sliding_min(grams, window - min(GRAM, window) + 1)[at] if len(at) else np.zeros(0, np.uint64)
+    grams = hash_windows(words, min(gram, window))
+    keys = sliding_min(grams, window - min(gram, window) + 1)[at] if len(at) else np.zeros(0, np.uint64)
     return starts, ends, first, words, at, keys
 
 
@@ -154,8 +155,8 @@ def repeated(spans: DataFrame, window: int, buckets: int) -> DataFrame:
                 h = h[first]
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                got = [(k, row["bid"], h[by[i:j]].tobytes(), np.packbits(several[by[i:j]]).tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+                filled, at = np.unique(bucket[by], return_index=True)
+                got = [(k, row["bid"], h[by[i:j]].tobytes(), np.packbits(several[by[i:j]]).tobytes()) for k, i, j in zip(filled.tolist(), at, np.append(at[1:], len(by)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "bid", "hashes", "several"])
 
     def answer(t: pa.Table) -> pa.Table:
@@ -295,7 +296,47 @@ def answers(distinct: DataFrame, window: int) -> DataFrame:
     return distinct.groupBy("shard").applyInArrow(work, "piece binary, firsts binary")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def recut(pieces_: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key, piece, of, at, doc, n, text): pieces (piece, doc, text) cut into runs of windows under one key of longer grams; `at` orders those of a piece."""
+
+    def work(batches):
+        for b in batches:
+            for piece, doc, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                data = np.frombuffer(text, np.uint8)
+                starts, ends, _, _, at, keys = window_keys(data, np.array([0, len(data)]), window, gram)
+                cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(at)]))
+                rows = [(int(keys[i].astype(np.int64)), piece, int(i), doc, int(j - i), text[starts[i] : ends[j - 1 + window - 1]]) for i, j in zip(cuts[:-1], cuts[1:])]
+                cols = zip(*[(k, xxhash.xxh3_128_digest(x), of, i, d, n, x) for k, of, i, d, n, x in rows])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "piece", "of", "at", "doc", "n", "text"])
+
+    return pieces_.select("piece", "doc", "text").mapInArrow(work, "key long, piece binary, of binary, at int, doc long, n int, text binary")
+
+
+def first_documents(distinct: DataFrame, window: int, hot: int, gram: int = GRAM) -> DataFrame:
+    """(piece, firsts binary) as answers, for distinct pieces (key, piece, doc, text, n) whose keys are of `gram` words. Keys with over `hot` words of different pieces are cut again."""
+    words = F.sum(F.col("n") + (window - 1))
+    shards = 1 + int((distinct.agg(words).first()[0] or 0) // SHARD_WORDS)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    if gram >= window:
+        return answers(distinct.select(shard, "piece", "doc", "text"), window)
+    sizes = save(distinct.groupBy("key").agg(words.alias("size"), F.count("*").alias("n")), "sizes")
+    large = sizes.where(F.col("size") > hot).select("key", F.lit(True).alias("large"))
+    if not large.take(1):
+        return answers(distinct.select(shard, "piece", "doc", "text"), window)
+    marked = save(join_spread(distinct, sizes.select("key").join(large, "key", "left"), "key", heavy(sizes, "key"), ["piece"]), "marked")
+    longer = min(2 * gram, window)
+    cut = save(recut(marked.where("large"), window, longer), "recut")
+    again = save(cut.groupBy("key", "piece").agg(F.min("doc").alias("doc"), F.any_value("text").alias("text"), F.any_value("n").alias("n")), "distinct")
+    found = first_documents(again, window, hot, longer)
+    # A group is one piece's parts.
+    shared = heavy(cut.groupBy("piece").agg(F.count("*").alias("n")), "piece")
+    gathered = join_spread(cut.select("of", "at", "piece"), found, "piece", shared, ["of", "at"]).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("at", "firsts"))).alias("parts"))
+    whole = gathered.select(F.col("of").alias("piece"), F.to_binary(F.array_join(F.transform("parts", lambda p: F.hex(p["firsts"])), ""), F.lit("hex")).alias("firsts"))
+    return answers(marked.where("large is null").select(shard, "piece", "doc", "text"), window).unionByName(whole)
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int | None = None) -> DataFrame:
     """(doc, mark, spans binary): for each document that loses words, pairs of first word and length, in order; mark tells texts of a doc_id apart."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
@@ -314,29 +355,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = save(pieces(spans, repeated(spans, window, buckets), window), "pieces")
     # Text comes with the smallest document of each batch; the smallest of all is among them.
     distinct = found.where("text is not null").groupBy("key", "piece").agg(F.min("doc").alias("doc"), F.any_value("text").alias("text"), F.any_value("n").alias("n"))
-    distinct = save(distinct, "distinct")
-    hot = distinct.groupBy("key").agg(F.sum(F.col("n") + (window - 1)).alias("size")).where(F.col("size") > HOT)
-    shards = 1 + int((distinct.agg(F.sum(F.col("n") + (window - 1))).first()[0] or 0) // SHARD_WORDS)
-    many = heavy(distinct.groupBy("key").agg(F.count("*").alias("n")), "key")
-    every = distinct.select("key").distinct().join(hot, "key", "left")
-    marked = join_spread(distinct, every, "key", many, ["piece"])
-    plain = marked.where("size is null").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "piece", "doc", "text")
-
-    def single(batches):
-        for b in batches:
-            for doc, text, piece in zip(*(b.column(k).to_pylist() for k in range(3))):
-                w = text.split()
-                texts = [b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(texts), pa.int64()), pa.array(texts, pa.binary()), pa.array([piece] * len(texts), pa.binary()), pa.array(range(len(texts)), pa.int32())], names=["doc", "text", "of", "i"])
-
-    ones = marked.where("size is not null").select("doc", "text", "piece").mapInArrow(single, "doc long, text binary, of binary, i int").withColumn("piece", F.unhex(F.md5("text")))
-    one_text = save(ones.groupBy("piece").agg(F.min("doc").alias("doc"), F.any_value("text").alias("text")), "windows")
-    one_shards = 1 + one_text.count() * window // SHARD_WORDS
-    one_answers = answers(one_text.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(one_shards))), window)
-    # A group is one piece's windows.
-    gathered = ones.select("of", "i", "piece").join(one_answers, "piece").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("i", "firsts"))).alias("parts"))
-    singles = gathered.select(F.col("of").alias("piece"), F.to_binary(F.array_join(F.transform("parts", lambda p: F.hex(p["firsts"])), ""), F.lit("hex")).alias("firsts"))
-    firsts = answers(plain, window).unionByName(singles)
+    firsts = first_documents(save(distinct, "distinct"), window, HOT if hot is None else hot)
 
     def lost(batches):
         for b in batches:
@@ -370,10 +389,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return parts.groupBy("doc", F.shiftright("start", 32).alias("mark")).agg(F.sort_array(F.collect_list(F.struct(place, "length"))).alias("spans")).mapInArrow(merge, "doc long, mark long, spans binary")
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, out: str = "removed_spans") -> DataFrame:
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, out: str = "removed_spans", hot: int | None = None) -> DataFrame:
     """docs and a column of spans, null for documents that lose nothing."""
     key, mark = fresh(docs, "_doc"), fresh(docs, "_mark")
-    spans = removed_spans(docs, id_col, text_col, window).select(F.col("doc").alias(key), F.col("mark").alias(mark), F.col("spans").alias(out))
+    spans = removed_spans(docs, id_col, text_col, window, hot).select(F.col("doc").alias(key), F.col("mark").alias(mark), F.col("spans").alias(out))
     return docs.join(spans, (docs[id_col].cast("long") == F.col(key)) & (text_mark(docs[text_col]) == F.col(mark)), "left").drop(key, mark)
 
 
