@@ -337,3 +337,13 @@ def test_entry_lists_all():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+
+
+@pytest.mark.parametrize("n", [1, 3, 12, 211, 99_991])
+def test_filled_ranges(n):
+    """Ranges of the count tables: all hashes in order, none in two, edges where cuts of all ranges have them."""
+    rng = np.random.default_rng(n)
+    edges = [((k << 32) // n << 32) + d for k in rng.integers(1, n, 50).tolist() for d in (-1, 0)] if n > 1 else []
+    h = np.unique(np.concatenate([rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.array(edges, np.uint64)]))
+    cuts = np.searchsorted(h >> np.uint64(32), (np.arange(n + 1) << 32) // n)
+    assert katz.Buckets.filled(h, n) == [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i] and katz.Buckets.filled(h[:0], n) == []

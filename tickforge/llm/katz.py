@@ -184,9 +184,15 @@ class Buckets:
         return Buckets(grams, grams[:-1])
 
     @staticmethod
-    def cuts(hashes: np.ndarray, n: int) -> np.ndarray:
-        """Where each range's hashes begin in sorted hashes, and where the last ends: ranges are of the top 32 bits."""
-        return np.searchsorted(hashes >> np.uint64(32), (np.arange(n + 1) << 32) // n)
+    def filled(hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+        """(range, begin, end) of the ranges that hold any of the sorted hashes; range k starts at k / n of the top 32 bits, rounded down."""
+        if not len(hashes):
+            return []
+        top = (hashes >> np.uint64(32)).astype(np.int64)
+        k = (top * n) >> 32
+        k += top >= ((k + 1) << 32) // n
+        begin = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+        return list(zip(k[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(k)]))
 
 
 ASKED = "bucket int, bid long, hashes binary, counts binary"
@@ -204,8 +210,7 @@ def ask(batches, order: int, buckets: Buckets):
         for row in b.to_pylist():
             batch, out, base = Batch(row, order), [], 0
             for level, n in zip(batch.levels, buckets.grams):
-                at = Buckets.cuts(level.grams, n)
-                out += [(base + k, batch.bid, pack(level.grams[i:j]), narrow(level.counts[i:j])) for k, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+                out += [(base + k, batch.bid, pack(level.grams[i:j]), narrow(level.counts[i:j])) for k, i, j in Buckets.filled(level.grams, n)]
                 base += n
             yield from _emit(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), [c.split()[0] for c in ASKED.split(", ")])
 
@@ -272,10 +277,10 @@ def table_of(batch: Batch, told: list[dict], buckets: Buckets) -> tuple[list[np.
     counts = [np.zeros(len(x.grams), np.int64) for x in batch.levels]
     speaks = [np.zeros(len(x.grams), bool) for x in batch.levels]
     base = np.cumsum([0, *buckets.grams])
-    cuts = [Buckets.cuts(x.grams, n) for x, n in zip(batch.levels, buckets.grams)]
+    places = [{k: (i, j) for k, i, j in Buckets.filled(x.grams, n)} for x, n in zip(batch.levels, buckets.grams)]
     for a in told:
         level = int(np.searchsorted(base, a["bucket"], "right")) - 1
-        i, j = cuts[level][a["bucket"] - base[level] :][:2]
+        i, j = places[level][a["bucket"] - int(base[level])]
         counts[level][i:j] = widen(a["counts"])
         speaks[level][i:j] = np.unpackbits(np.frombuffer(a["speaks"], np.uint8))[: j - i].astype(bool)
     return counts, speaks
@@ -323,8 +328,7 @@ def ask_alpha(batches, order: int, buckets: Buckets, totals: Totals):
                 below = np.bincount(where, lower[token], len(every))
                 need = np.isin(every, needs)
                 n = buckets.histories[level - 1]
-                at = Buckets.cuts(every, n)
-                out += [(base + k, batch.bid, pack(every[i:j]), [narrow(s[i:j].astype(np.int64)) for s in sums], below[i:j].tobytes(), np.packbits(need[i:j]).tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+                out += [(base + k, batch.bid, pack(every[i:j]), [narrow(s[i:j].astype(np.int64)) for s in sums], below[i:j].tobytes(), np.packbits(need[i:j]).tobytes()) for k, i, j in Buckets.filled(every, n)]
                 base += n
                 # A gram that was seen was seen one order below too, so its probability there needs no alpha.
                 seen = batch.valid[level - 1]
