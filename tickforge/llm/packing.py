@@ -4,8 +4,8 @@ Documents become token ids. As many full windows as a document has leave as sequ
 of it, less than a window, is packed. Document frequencies and mean length are counted over whole documents.
 
 Remainders are dealt so that lexical neighbours meet: a sample gives the main axes of the BM25-weighted tokens and a
-tree that cuts along them into leaves of about `SHARD` remainders; a leaf of over half as much again is dealt by a
-hash of the row. Each shard has an inverted index of its own over its remainders' tokens, weighted by BM25.
+tree that cuts along them into leaves of about `SHARD` remainders; a leaf of over half as much again is dealt by
+rows' places in the saved table, equal rows too. Each shard has an inverted index of its own over its remainders' tokens, weighted by BM25.
 In a shard, the first unused remainder is the seed of a new window. All its ids give each unused remainder a score;
 down the full order of scores, those that fit are taken. What space is left, less than any unused remainder, is
 filled by cutting the best one, whose rest stays unused. So every window but the last of a shard is full. Neighbours
@@ -30,7 +30,7 @@ from .tokens import default_path, encoded, small_batches
 WINDOW, SHARD = 2048, 2048
 #: Of the tree that deals remainders: latent axes, remainders they are fitted to, sampled remainders a leaf and in all.
 AXES, LATENT, LEAF_SAMPLE, SAMPLE = 32, 4096, 64, 1 << 15
-K1, B = 1.2, 0.75
+K1, B, DIGITS = 1.2, 0.75, 6
 
 
 def crc(ids: bytes, dtype: np.dtype) -> int:
@@ -161,7 +161,7 @@ class Shard:
         common = np.flatnonzero(self.ends - self.begins > max(1, self.n // 8))
         self.line = np.full(len(df), -1)
         self.line[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n), np.float32)
+        self.dense = np.zeros((len(common), self.n))
         for k, t in enumerate(common.tolist()):
             own = slice(self.begins[t], self.ends[t])
             self.dense[k, self.rows[own]] = self.weights[own]
@@ -172,7 +172,8 @@ class Shard:
         line = self.line[token]
         rare = token[line < 0]
         at = ranges(self.begins[rare], self.ends[rare] - self.begins[rare])
-        return np.bincount(self.rows[at], self.weights[at], self.n) + self.dense[line[line >= 0]].sum(axis=0)
+        found = np.bincount(self.rows[at], self.weights[at], self.n) + self.dense[line[line >= 0]].sum(axis=0)
+        return np.round(found, DIGITS)  # sums in another order are the same score
 
 
 def fill(ids: list[np.ndarray], index: Shard, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -234,8 +235,11 @@ def deal(found: DataFrame, df: np.ndarray, n: int, tails: int, shard: int, width
     parts = np.array([max(1, -(-sizes.get(k, 0) // (shard + shard // 2))) for k in range(max(sizes, default=0) + 1)])
     first, shards = np.cumsum(parts) - parts, int(parts.sum())
     table = found.sparkSession.createDataFrame([(k, int(a), int(p)) for k, (a, p) in enumerate(zip(first, parts))], "leaf int, first int, parts int")
-    own = F.when(F.col("leaf").isNull(), F.pmod(spread, F.lit(shards))).otherwise(F.col("first") + F.pmod(spread, F.col("parts")))
-    return found.join(F.broadcast(table), "leaf", "left").withColumn("shard", own.cast("long")).drop("leaf", "first", "parts"), shards
+    # By a row's place in the saved table, so that equal rows are spread too.
+    place_of = F.xxhash64(F.monotonically_increasing_id())
+    found = found.withColumn("place", place_of)
+    own = F.when(F.col("leaf").isNull(), F.pmod("place", F.lit(shards))).otherwise(F.col("first") + F.pmod("place", F.col("parts")))
+    return found.join(F.broadcast(table), "leaf", "left").withColumn("shard", own.cast("long")).drop("leaf", "first", "parts", "place"), shards
 
 
 def pack(docs: DataFrame, path: str, kind: str, end_id: int, window: int = WINDOW, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
