@@ -347,3 +347,25 @@ def test_filled_ranges(n):
     h = np.unique(np.concatenate([rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.array(edges, np.uint64)]))
     cuts = np.searchsorted(h >> np.uint64(32), (np.arange(n + 1) << 32) // n)
     assert katz.Buckets.filled(h, n) == [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i] and katz.Buckets.filled(h[:0], n) == []
+
+
+def test_manifests_are_of_bounded_runs(spark, tmp_path):
+    """9,000 documents in one range: three manifests; one that doesn't match is told."""
+    path, before = str(tmp_path / "store"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        docs = spark.range(9000).selectExpr("id AS doc_id", "concat('w', id % 50) AS text")
+        token_store.write(docs, path, tokens.default_path("word_bpe_49k.json"), "word", 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stored = spark.read.schema(token_store.STORED).parquet(path)
+    told = stored.where("kind = 'm'").orderBy("run").select("run", "start").collect()
+    assert [tuple(r) for r in told] == [(0, 4096), (1, 4096), (2, 808)]
+    back = token_store.read(spark, path).orderBy("doc_id").collect()
+    assert [r.doc_id for r in back] == list(range(9000)) and all(b.start == a.start + a.n_tokens for a, b in zip(back, back[1:]))
+    stored.where("not (kind = 'd' and doc_id = 5000)").coalesce(1).write.parquet(path + "-less")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read(spark, path + "-less")
+    stored.where("not (kind = 'm' and run = 1)").coalesce(1).write.parquet(path + "-told")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read(spark, path + "-told")

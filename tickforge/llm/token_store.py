@@ -5,15 +5,16 @@ that equal passages make equal chunks wherever they stand. A chunk's name is the
 ids are stored once: by the first document, in order of doc_id, that has it. The store is a Parquet table in ascending
 doc_id order with one row a document: its recipe (names and lengths of its chunks), its root (Merkle tree over
 the names), the ids of the chunks that are its own alone (`own`) and of those that others name too (`shared`). Each
-range of documents ends with a manifest row: its first document's number, how many ids it has, and the root over its documents' roots.
+range of documents is written in runs of at most `RUN` documents, and each run ends with a manifest row: how many documents and ids it has,
+and the root over its documents' roots.
 
 Writing shuffles ids once, to the range of their doc_id; who stores a chunk is settled on names alone. Reading
 takes documents that have all their chunks from where they stand; for the others only the shared chunks move.
 Names that many documents share are salted in both joins, so a common chunk is copied to a bounded number of tasks.
-Every chunk is checked against its name, every document against its root and every range against its manifest.
+Every chunk is checked against its name, every document against its root and every run against its manifest.
 
 Nulls and edge cases: a null or empty text is its end id alone; a null doc_id comes first in the order; repeated rows
-of a doc_id must be equal, and are written and read back each; extra columns stay out; empty tables make an empty store.
+of a doc_id, equal or not, are written and read back each, next to each other in no stated order; extra columns stay out; empty tables make an empty store.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .common import hash_windows, heavy, join_spread, mix, new_path, save, shuff
 from .tokens import default_path, encoded, small_batches
 
 ROLL, LEAST, MEAN, MOST = 8, 64, 512, 4096
-NAME = 16
+NAME, RUN = 16, 4096
 
 
 def chunk_ends(blobs: list[bytes], dtype: np.dtype) -> list[list[int]]:
@@ -99,15 +100,19 @@ def chunked_ids(docs: DataFrame, path: str, kind: str, end_id: int, id_col: str,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(work, "doc_id long, names binary, lengths binary, ids binary, width int")
 
 
-STORED = "part int, kind string, doc_id long, start long, n_tokens long, width int, root binary, names binary, lengths binary, foreign boolean, own binary, shared array<struct<name:binary,ids:binary>>"
+STORED = "part int, run int, kind string, doc_id long, start long, n_tokens long, width int, root binary, names binary, lengths binary, foreign boolean, own binary, shared array<struct<name:binary,ids:binary>>"
 
 
 def write_range(batches):
     """Stored rows of a range: rows (doc_id, copy marks first) sorted by doc_id; a mark is a chunk that several documents name."""
-    part, start, n_docs, roots = TaskContext.get().partitionId(), 0, 0, []
+    part, start, run, run_start, roots = TaskContext.get().partitionId(), 0, 0, 0, []
     schema = pa.schema(
-        [("part", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("root", pa.binary()), ("names", pa.binary()), ("lengths", pa.binary()), ("foreign", pa.bool_()), ("own", pa.binary()), ("shared", pa.list_(pa.struct([("name", pa.binary()), ("ids", pa.binary())])))]
+        [("part", pa.int32()), ("run", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("root", pa.binary()), ("names", pa.binary()), ("lengths", pa.binary()), ("foreign", pa.bool_()), ("own", pa.binary()), ("shared", pa.list_(pa.struct([("name", pa.binary()), ("ids", pa.binary())])))]
     )
+
+    def manifest() -> tuple:
+        return part, run, "m", None, len(roots), start - run_start, None, merkle(roots), None, None, False, None, None
+
     marks: tuple[object, dict[bytes, bool]] = (None, {})
     seen: set[bytes] = set()
     for b in batches:
@@ -131,15 +136,16 @@ def write_range(batches):
                     shared.append({"name": name, "ids": data})
             n = len(ids) // width
             root = merkle(split_names(names))
-            rows.append((part, "d", doc, start, n, width, root, names, lengths, foreign or bool(own_marks), b"".join(own), shared))
+            rows.append((part, run, "d", doc, start, n, width, root, names, lengths, foreign or bool(own_marks), b"".join(own), shared))
             roots.append(root)
             start += n
-            n_docs += 1
+            if len(roots) == RUN:
+                rows.append(manifest())
+                run, run_start, roots = run + 1, start, []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-    if n_docs:
-        last = (part, "m", None, n_docs, start, None, merkle(roots), None, None, False, None, None)
-        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(last, schema)], schema=schema)
+    if roots:
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(manifest(), schema)], schema=schema)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -172,33 +178,35 @@ def verify(names: bytes, lengths: bytes, root: bytes, width: int, own: bytes, ot
     return b"".join(out)
 
 
-def manifests(spark: SparkSession, path: str) -> dict[int, tuple[int, int, int, bytes]]:
-    """part -> (ids of all parts before it, its ids, its documents, its root): a row a range."""
+def before_ranges(spark: SparkSession, path: str) -> dict[int, int]:
+    """part -> how many ids all parts before it have, from the manifests: a row a range."""
     found, at = {}, 0
-    for r in spark.read.schema(STORED).parquet(path).where("kind = 'm'").select("part", "n_tokens", F.col("start").alias("docs"), "root").orderBy("part").collect():
-        found[r.part] = (at, r.n_tokens, r.docs, bytes(r.root))
-        at += r.n_tokens
+    for r in spark.read.schema(STORED).parquet(path).where("kind = 'm'").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        found[r.part] = at
+        at += r.n
     return found
 
 
-def check_ranges(spark: SparkSession, path: str) -> None:
-    """Raises ValueError unless each range's documents make up its manifest. A group is one range's roots."""
-    rows = spark.read.schema(STORED).parquet(path).where("kind = 'd'")
-    found = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"), F.sort_array(F.collect_list(F.struct("doc_id", "start", "root"))).alias("roots"))
+def check_runs(spark: SparkSession, path: str) -> None:
+    """Raises ValueError unless each run's documents make up its manifest. A group is one run's roots."""
+    stored = spark.read.schema(STORED).parquet(path)
+    found = stored.where("kind = 'd'").groupBy("part", "run").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("roots"))
 
     def roots(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([merkle([x["root"] for x in sorted(r, key=lambda x: x["start"])]) for r in b.column(3).to_pylist()], pa.binary())], names=["part", "n", "docs", "root"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([merkle([x["root"] for x in r]) for r in b.column(4).to_pylist()], pa.binary())], names=["part", "run", "n", "docs", "root"])
 
-    told = {p: (n, docs, root) for p, (_, n, docs, root) in manifests(spark, path).items()}
-    if told != {r.part: (r.n, r.docs, bytes(r.root)) for r in found.mapInArrow(roots, "part int, n long, docs long, root binary").collect()}:
-        raise ValueError("a range doesn't match its manifest")
+    kinds = "part int, run int, n long, docs long, root binary"
+    told = stored.where("kind = 'm'").select("part", "run", F.col("n_tokens").alias("n"), F.col("start").alias("docs"), "root")
+    both = found.mapInArrow(roots, kinds).select("part", "run", F.struct("n", "docs", "root").alias("found")).join(told.select("part", "run", F.struct("n", "docs", "root").alias("told")), ["part", "run"], "full")
+    if both.where(~F.col("found").eqNullSafe(F.col("told"))).take(1):
+        raise ValueError("a run doesn't match its manifest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document's ids, verified, as little-endian 4-byte integers; start counts the ids of all documents before it."""
-    check_ranges(spark, path)
-    before = {p: m[0] for p, m in manifests(spark, path).items()}
+    check_runs(spark, path)
+    before = before_ranges(spark, path)
     rows = spark.read.schema(STORED).parquet(path).where("kind = 'd'")
     shared = rows.where(F.size("shared") > 0).select(F.explode("shared").alias("c")).select("c.name", "c.ids")
     row = F.xxhash64("part", "start")  # a row's place names it
