@@ -13,7 +13,8 @@ logits, so that a toxic one is answered for by its toxic spans and a clean one b
 The sample is cut into `FOLDS` by a hash of the text, so copies stay together. A model is trained without each fold, a
 task each, and says how that fold's documents score: logits of texts it hasn't seen. On these the cut is chosen that has
 the most recall less `PRICE` times the false alarms; a score of 0.5 is that cut, and its slope is a ridge fit at the
-classes' true shares. The model that scores is the mean of the folds' models.
+classes' true shares. The model that scores is one of the same kind, trained on the whole sample by one more task, so cut and
+scores are both of the greatest span logit of a single model.
 
 Training takes a bounded sample: at most `per_class` labelled documents of either class, those whose ids have
 the smallest hashes; the driver gets the models alone, and a logit for each sampled document. Scoring takes every document,
@@ -234,20 +235,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 
     def learn(t: pa.Table) -> pa.Table:
         found = sorted((x.encode(), y, k) for x, y, k in zip(t.column("text").to_pylist(), t.column("y").to_pylist(), t.column("fold").to_pylist()))
-        number = t.column("without")[0].as_py()
+        number = t.column("without")[0].as_py()  # FOLDS: without none
         y, out = np.array([f[1] for f in found], float), np.array([f[2] == number for f in found])
         if not 0 < y.sum() < len(y):
             return pa.table({"buckets": pa.array([], pa.binary()), "tops": pa.array([], pa.binary()), "labels": pa.array([], pa.binary())})
         buckets, tops = cross_fit([f[0] for f in found], y, out, number)
-        return pa.table({"buckets": pa.array([buckets.astype(np.float32).tobytes()], pa.binary()), "tops": pa.array([tops.tobytes()], pa.binary()), "labels": pa.array([y[out].tobytes()], pa.binary())})
+        return pa.table({"buckets": pa.array([buckets.astype(np.float32).tobytes() if number == FOLDS else None], pa.binary()), "tops": pa.array([tops.tobytes()], pa.binary()), "labels": pa.array([y[out].tobytes()], pa.binary())})
 
-    copies = sample.withColumn("without", F.explode(F.array(*(F.lit(k) for k in range(FOLDS)))))
+    copies = sample.withColumn("without", F.explode(F.array(*(F.lit(k) for k in range(FOLDS + 1)))))
     got = copies.groupBy("without").applyInArrow(learn, "buckets binary, tops binary, labels binary").collect()
     if not got:
         return Model(None, 0.0, 1.0, constant)
     tops, y = (np.concatenate([np.frombuffer(r[k], float) for r in got]) for k in ("tops", "labels"))
     slope, offset = calibrate(tops, y, constant)
-    return Model(np.mean([np.frombuffer(r.buckets, np.float32) for r in got], axis=0), offset, slope, constant)
+    return Model(next(np.frombuffer(r.buckets, np.float32) for r in got if r.buckets), offset, slope, constant)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
