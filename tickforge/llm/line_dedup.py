@@ -109,7 +109,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc, pos): the lines to drop; pos as in hashed_lines."""
     spark = docs.sparkSession
     order = [F.col("h"), F.col("g"), F.col("doc").desc(), F.col("pos")]
-    lines = hashed_lines(docs, id_col, text_col, min_chars)
+    lines = save(hashed_lines(docs, id_col, text_col, min_chars), "hashes")  # ranges are sampled: lines are hashed once, not twice
     ranged = lines.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     found = save(ranged.mapInArrow(lambda batches: stream_range(batches, min_docs), "h long, g long, doc long, pos long, tag string"), "lines")
     ends = found.where("tag <> 'd'")

@@ -88,7 +88,9 @@ def compare(sets: list[np.ndarray], labels: np.ndarray, similarity: float = SIMI
 
 
 def _row(docs: DataFrame, id_col: str, text_col: str) -> F.Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """128 bits that name a row by its id and text; nulls differ from empty ones."""
+    told = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.md5(F.concat(told[0], F.lit("\n"), told[1]).cast("binary"))
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -108,7 +110,7 @@ def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
                 keys += [x.tobytes() if n else None for x, n in zip(own, np.diff(offsets))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64))], names=["row", "id", "node", "keys", "fp"])
 
-    return docs.select(_row(docs, id_col, text_col), id_col, text_col).mapInArrow(work, f"row long, id {dict(docs.dtypes)[id_col]}, node long, keys binary, fp long")
+    return docs.select(_row(docs, id_col, text_col), id_col, text_col).mapInArrow(work, f"row string, id {dict(docs.dtypes)[id_col]}, node long, keys binary, fp long")
 
 
 def groups(nodes: DataFrame) -> DataFrame:
@@ -149,6 +151,7 @@ def chunk_cells(labelled: DataFrame) -> DataFrame:
     """
     order = ["label", "node"]
     tasks = 4 * shuffle_partitions(labelled.sparkSession)
+    labelled = save(labelled, "labelled")  # ranges are sampled from what is there already
     ranged = save(labelled.repartitionByRange(tasks, "g", *order).withColumn("p", F.spark_partition_id()), "ranged")
     before = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # at most `tasks` rows a group
     bases = ranged.groupBy("g", "p").agg(F.count("*").alias("m")).select("g", "p", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
