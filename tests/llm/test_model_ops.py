@@ -369,3 +369,45 @@ def test_manifests_are_of_bounded_runs(spark, tmp_path):
     stored.where("not (kind = 'm' and run = 1)").coalesce(1).write.parquet(path + "-told")
     with pytest.raises(ValueError, match="manifest"):
         token_store.read(spark, path + "-told")
+
+
+def test_recall_is_measured_and_raised(spark):
+    """From one probe and a shortlist of 12 up, until trial queries find their neighbours; more queries than a chunk takes."""
+    x = np.random.default_rng(8).normal(size=(1500, 12)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    index = ann.build(vectors, 10, probes=1, shortlist=12)
+    exact = ann.exact_distances(index, vectors.where("id < 5"), 10)
+    for i in range(5):
+        d = np.sort(np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(1)))
+        assert exact[i] == pytest.approx(d[10], rel=1e-12)
+
+    def recall(ix):
+        got = defaultdict(set)
+        for r in ann.reranked(ix, vectors.where("id % 15 = 0"), 10).collect():
+            got[r.query_id].add(r.id)
+        d = ((x[::15, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+        return np.mean([len(set(np.argsort(row)[1:11].tolist()) & got[15 * i]) / 10 for i, row in enumerate(d)])
+
+    better = ann.measured(index, 10, 0.95)
+    assert better.probes > 1 and better.shortlist > 12 and recall(index) < 0.7 and recall(better) >= 0.9
+    assert ann.measured(better, 10, 0.5) is better
+
+
+def test_groups_without_queries_are_not_sent(spark, monkeypatch):
+    """Clustered vectors, queries from one cluster: rows of other groups stay out; many queries share chunks."""
+    rng = np.random.default_rng(9)
+    x = (np.repeat(np.eye(6) * 50, 1200, axis=0) + rng.normal(size=(7200, 6))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 100)
+    index = ann.build(vectors, 10, probes=1, shortlist=20)
+    queries = vectors.where("id < 1200")
+    sent = ann.shortlists(index, queries)
+    assert sent.select("query_id").distinct().count() == 1200 and sent.agg({"id": "max"}).first()[0] < 1200
+    got = defaultdict(list)
+    for r in ann.reranked(index, queries.where("id < 40"), 3).orderBy("rank").collect():
+        got[r.query_id].append(r.id)
+    hits = 0
+    for i in range(40):
+        d = ((x[:1200].astype(float) - x[i].astype(float)) ** 2).sum(1)
+        hits += len(set(np.argsort(d)[1:4].tolist()) & set(got[i]))
+    assert hits >= 0.4 * 120  # of one probe and 20 candidates

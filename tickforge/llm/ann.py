@@ -12,7 +12,11 @@ the same for every list. Of all the lists it looks into, a query keeps the `shor
 those are vectors fetched, and reranked by exact Euclidean distance in double precision.
 
 Lists are packed into groups of bounded size, and one with more rows is cut; a query goes once to each group that has
-a list of its own. What is shuffled for the search are codes and queries.
+a list of its own, and a group's rows are sent once for each `CELL_QUERIES` queries that it has. What is shuffled for the search
+are codes and queries.
+
+Recall is measured on the finished index: `TRIALS` rows are searched exactly over all rows (one pass, a bounded top a task)
+and through the index; while it found less than `recall` of their neighbours, probes and shortlist are doubled.
 
 Nulls and edge cases: vectors that are null, zero, of another length than most (ties: the shorter), or hold null or
 non-finite components take no part, nor do null ids; repeated rows of an id count once (the least vector);
@@ -22,7 +26,7 @@ probes hold `shortlist` rows or there are no more; an empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import heavy, join_spread, save, shuffle_partitions
 
-PER_LIST, CELL_ROWS, CELL_QUERIES = 32, 1 << 16, 1 << 13
+PER_LIST, CELL_ROWS, CELL_QUERIES, TRIALS = 32, 1 << 16, 1 << 13, 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -149,13 +153,27 @@ def search_cell(model: Model, lists: np.ndarray, ids: np.ndarray, codes: np.ndar
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, parts: int = 16, shortlist: int = 200, reach: float = 0.97) -> DataFrame:
-    """(query_id, rank, id, score) for (id, v) tables from `usable`; a query's own id is no candidate."""
+@dataclass
+class Index:
+    """Stored rows (list, id, code, bias) of distinct vectors (id, v, ids), and how lists are packed into groups."""
+
+    distinct: DataFrame
+    stored: DataFrame
+    model: Model
+    probes: int
+    shortlist: int
+    sizes: np.ndarray  # rows of each list
+    first: np.ndarray  # each list's first group, and how many it takes
+    pieces: np.ndarray
+
+
+def build(vectors: DataFrame, k: int, lists: int | None = None, probes: int | None = None, parts: int = 16, shortlist: int = 200, reach: float = 0.97) -> Index | None:
+    """The index of (id, v) rows from `usable`; None without any."""
     spark = vectors.sparkSession
     distinct = save(collapsed(vectors, k), "distinct")
     n = distinct.count()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+        return None
     lists = lists or int(np.clip(np.sqrt(n), 8, 4096))
 
     def packed(batches):
@@ -176,10 +194,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | Non
                 at, codes, bias = held.value.encode(matrix(b.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(bias)], names=["list", "id", "code", "bias"])
 
-    index = save(distinct.select("id", "v").mapInArrow(to_lists, "list int, id long, code binary, bias double"), "ivf")
+    stored = save(distinct.select("id", "v").mapInArrow(to_lists, "list int, id long, code binary, bias double"), "ivf")
     # One row a list, at most 4,096: lists are packed into groups, side by side; one that is larger than a group is cut.
     sizes = np.zeros(len(model.centers), np.int64)
-    for r in index.groupBy("list").agg(F.count("*").alias("n")).collect():
+    for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r.list] = r.n
     room = int(np.clip(n // (2 * shuffle_partitions(spark)), 1024, CELL_ROWS))
     pieces = np.maximum(1, -(-sizes // room))
@@ -190,11 +208,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | Non
             group, used = group + (used > 0), 0
         first[at] = group
         group, used = (group + cut, 0) if cut > 1 else (group, used + size)
-    deal = spark.sparkContext.broadcast((sizes, first, pieces))
-    chunks = max(1, -(-queries.count() // CELL_QUERIES))
-    salt = F.abs(F.xxhash64("id"))
-    table = F.broadcast(spark.createDataFrame([(k_, int(a), int(c)) for k_, (a, c) in enumerate(zip(first, pieces))], "list int, first long, pieces long"))
-    rows = index.join(table, "list").select((F.col("first") + salt % F.col("pieces")).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("j"), "id", "list", "code", "bias", F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("binary").alias("probes"))
+    return Index(distinct, stored, model, probes, shortlist, sizes, first, pieces)
+
+
+def shortlists(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, id): for each query (id, v), the least of all its lists by their codes, the index's `shortlist` of them."""
+    spark, probes, shortlist = queries.sparkSession, index.probes, index.shortlist
+    held, deal = spark.sparkContext.broadcast(index.model), spark.sparkContext.broadcast((index.sizes, index.first, index.pieces))
 
     def to_groups(batches):
         size, begin, cut = deal.value
@@ -212,8 +232,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | Non
                 part = b.slice(i, 1).take(pa.array(np.zeros(len(groups), np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(groups), part.column(0), part.column(1), pa.array([blob] * len(groups), pa.binary())], names=["g", "id", "q", "probes"])
 
-    asked = queries.select("id", F.col("v").cast("array<double>")).mapInArrow(to_groups, "g long, id long, q array<double>, probes binary")
-    asks = asked.select("g", (salt % chunks).cast("int").alias("j"), "id", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("bias"), "q", "probes")
+    asked = save(queries.select("id", F.col("v").cast("array<double>")).mapInArrow(to_groups, "g long, id long, q array<double>, probes binary"), "asked")
+    # A group has as many chunks as its own queries fill; groups without any aren't sent at all.
+    chunks = asked.groupBy("g").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("chunks"))
+    salt = F.abs(F.xxhash64("id"))
+    table = F.broadcast(spark.createDataFrame([(k_, int(a), int(c)) for k_, (a, c) in enumerate(zip(index.first, index.pieces))], "list int, first long, pieces long"))
+    dealt = index.stored.join(table, "list").select((F.col("first") + salt % F.col("pieces")).alias("g"), "id", "list", "code", "bias")
+    rows = dealt.join(chunks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "id", "list", "code", "bias", F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("binary").alias("probes"))
+    asks = asked.join(chunks, "g").select("g", (salt % F.col("chunks")).cast("int").alias("j"), "id", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("bias"), "q", "probes")
 
     def cell(t: pa.Table) -> pa.Table:
         is_row = np.asarray(t.column("code").is_valid())
@@ -227,15 +253,69 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | Non
 
     found = rows.unionByName(asks).groupBy("g", "j").applyInArrow(cell, "query_id long, id long, near double")
     least = Window.partitionBy("query_id").orderBy("near", "id")
-    chosen = save(found.withColumn("place", F.row_number().over(least)).where(F.col("place") <= shortlist).select("query_id", "id"), "shortlists")
+    return save(found.withColumn("place", F.row_number().over(least)).where(F.col("place") <= shortlist).select("query_id", "id"), "shortlists")
+
+
+def reranked(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score): the k exactly nearest of each query's shortlist, copies told apart; a query's own id is no candidate."""
+    chosen = shortlists(index, queries)
     hot = heavy(chosen.groupBy("id").agg(F.count("*").alias("n")), "id")
-    fetched = join_spread(chosen, distinct, "id", hot, ["query_id"]).join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    fetched = join_spread(chosen, index.distinct, "id", hot, ["query_id"]).join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     gap = F.zip_with("v", "q", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0)))
     exact = fetched.select("query_id", F.explode("ids").alias("id"), F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)).alias("score")).where("id <> query_id")
     best = Window.partitionBy("query_id").orderBy("score", "id")
     return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def exact_distances(index: Index, queries: DataFrame, k: int) -> dict[int, float]:
+    """query id -> the distance of its k-th nearest distinct vector (of the last, if there are fewer), by a pass over all; queries: a bounded few."""
+    asked = [(r.id, r.v) for r in queries.collect()]
+    held = index.distinct.sparkSession.sparkContext.broadcast((np.array([i for i, _ in asked]), np.array([v for _, v in asked], float)))
+
+    def least(batches):
+        ids, q = held.value
+        best = np.full((len(q), k), np.inf)
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(1))
+                d = np.stack([((x - one) ** 2).sum(axis=1) for one in q])
+                d[b.column(0).to_numpy()[None, :] == ids[:, None]] = np.inf
+                best = np.sort(np.concatenate([best, d], axis=1), axis=1)[:, :k]
+        where = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, where.sum(axis=1))), pa.array(np.sqrt(best[where]))], names=["id", "d"])
+
+    found = index.distinct.select("id", "v").mapInArrow(least, "id long, d double")
+    w = Window.partitionBy("id").orderBy("d")
+    return {r.id: r.d for r in found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).groupBy("id").agg(F.max("d").alias("d")).collect()}
+
+
+def measured(index: Index, k: int, recall: float) -> Index:
+    """The index with enough probes and shortlist for a recall of its trial rows' k nearest distinct vectors."""
+    rows, lists = int(index.sizes.sum()), len(index.sizes)
+    if rows <= index.shortlist:  # every row is reranked
+        return index
+    trial = save(index.distinct.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(TRIALS).select("id", "v"), "trial")
+    far = exact_distances(index, trial, k)
+    while True:
+        found = shortlists(index, trial).where("id <> query_id").join(index.distinct.select("id", "v"), "id").join(trial.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        gap = F.zip_with("v", "q", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0)))
+        near = found.select("query_id", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)).alias("d"))
+        bounds = F.broadcast(near.sparkSession.createDataFrame(list(far.items()), "query_id long, far double"))
+        hits = {r.query_id: min(r.n, k) for r in near.join(bounds, "query_id").where("d <= far * (1 + 1e-12)").groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+        whole = min(k, rows - 1) * len(far)
+        if sum(hits.values()) >= recall * whole or (index.probes >= lists and index.shortlist >= rows):
+            return index
+        index = replace(index, probes=min(2 * index.probes, lists), shortlist=2 * index.shortlist)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, parts: int = 16, shortlist: int = 200, reach: float = 0.97, recall: float = 0.95) -> DataFrame:
+    """(query_id, rank, id, score) for (id, v) tables from `usable`; a query's own id is no candidate."""
+    index = build(vectors, k, lists, probes, parts, shortlist, reach)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    return reranked(measured(index, k, recall), queries, k)
+
+
 def op1_ann(spark, sf_dir: str) -> DataFrame:
     vectors = save(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"), "vectors")
     return search(vectors, vectors.where(F.col("id") % 100 == 0)).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
