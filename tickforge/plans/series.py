@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, backtest, compare, prefix, timeframe
 from ..sources import adapters, barstore, quote_files, shared
-from ..streaming import live, refresh
+from ..streaming import live, refresh, streams
 from . import sql
 
 
@@ -164,7 +164,25 @@ def quotes_from_files(spark, d):
     return found.where(F.col("symbol").isin("click", "view") & (F.col("ts") >= lo) & (F.col("ts") < hi))
 
 
+TICKS_CUT = "2024-01-16"
+
+
+def streamed_bars(spark, d):
+    """Quarter-hour bars of a stream of ticks that comes in two parts, with a restart between them: those that no later tick can change."""
+    at = shared.new_path(spark, "ticks")
+    ticks = adapters.ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (F.col("ts") < TICKS_CUT, F.col("ts") >= TICKS_CUT):
+        ticks.where(part).write.mode("append").parquet(f"{at}/ticks")
+        found = streams.stream_bars(spark.readStream.schema(ticks.schema).parquet(f"{at}/ticks"), "15 minutes", "0 seconds")
+        found.writeStream.format("parquet").outputMode("append").option("path", f"{at}/bars").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/bars").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
+
+
 QUERIES = {
+    "streamed_bars": (
+        streamed_bars,
+        "WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 15 MINUTE, events.ts) AS ts, arg_min(value, (events.ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (events.ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2) SELECT * FROM b WHERE b.ts + INTERVAL 15 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events)",
+    ),
     "quotes_from_files": (
         quotes_from_files,
         f"SELECT event_type AS symbol, date_trunc('hour', events.ts) AS ts, arg_max(value, (events.ts, event_id)) AS price, CAST(count(*) AS DOUBLE) AS volume FROM events WHERE event_type IN ('click', 'view') AND date_trunc('hour', events.ts) >= TIMESTAMP '{QUOTES_FROM}' AND date_trunc('hour', events.ts) < TIMESTAMP '{QUOTES_TO}' GROUP BY 1, 2",
