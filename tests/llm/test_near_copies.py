@@ -26,9 +26,10 @@ def edited(words, places):
     return " ".join("changed" if k in places else w for k, w in enumerate(words))
 
 
-@pytest.mark.parametrize("chunk", [256, 3])
-def test_near_copies(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, large", [(256, 4096), (3, 4096), (3, 5)])
+def test_near_copies(spark, monkeypatch, chunk, large):
     monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "LARGE", large)
     base = prose(200, 9, 3000).split()
     # Of 196 shingles 5 go with each edit: similarity 0.95 at one, 0.81 at four, 0.77 at five.
     near = [edited(base, {20 * k + 7 + i for k in range(i % 6)}) for i in range(30)]
@@ -64,3 +65,19 @@ def test_sets_are_those_of_whole_texts():
     texts = awkward()
     (i, j, hashes, offsets), *more = near_copies.shingle_sets(pa.array(texts, pa.string()))
     assert not more and (offsets[1:] - offsets[:-1]).tolist() == [len(shingles(t)) for t in texts]
+
+
+def test_documents_of_a_template_are_hardly_paired(spark, monkeypatch):
+    """600 documents that share half their shingles, none a copy but a few: finer keys leave few of them together, and lose no copy."""
+    monkeypatch.setattr(near_copies, "CHUNK", 16)
+    monkeypatch.setattr(near_copies, "LARGE", 64)
+    head = prose(60, 77, 3000)
+    texts = [head + " " + prose(40, 1000 + i, 3000) for i in range(600)]
+    texts += [edited(texts[7 * i].split(), {80}) for i in range(20)]
+    ids = list(range(len(texts)))
+    sent, cells = [], near_copies.chunk_cells
+    monkeypatch.setattr(near_copies, "chunk_cells", lambda rows: sent.append(found := near_copies.save(cells(rows), "cells")) or found)
+    kept = {r.doc_id for r in near_copies.keep_one(documents(spark, texts, ids)).select("doc_id").collect()}
+    assert kept == set(range(600))
+    counted = sent[0].groupBy("cell").count().collect()
+    assert sum(r["count"] for r in counted) < 620 * 40, "all pairs of 39 chunks would send each of 620 members to 39 cells, for each of its groups"
