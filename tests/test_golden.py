@@ -290,6 +290,10 @@ def test_portfolios_in_blocks(spark, align, block, positions):
         alone = portfolio.simulate(df, mixes[p], 1000.0, "2024-01-01", "2024-12-31", align)
         near(values[p], column(alone, "value", "i"))
         near(risks[p][1:], tuple(portfolio.metrics(alone, 1000.0, "2024-01-01", "2024-12-31").first()))
+    if align == "position":
+        dated = backtest.with_dates(backtest.series(found, positions), df, asked, "2024-01-01", "2024-12-31")
+        alone = portfolio.simulate(df, mixes["r"], 1000.0, "2024-01-01", "2024-12-31")
+        assert column(dated.where("portfolio = 'r'"), "ts", "i") == column(alone, "ts", "i") and dated.where("ts is null").count() == 0
     assert backtest.simulate_all(df, asked.limit(0), 1.0, "2024-01-01", "2024-12-31")[1].count() == 0
 
 

@@ -127,6 +127,14 @@ def series(found: DataFrame, positions: int = BLOCK_POSITIONS) -> DataFrame:
     return kept.withColumn("_before", F.coalesce(before, F.lit(0))).select("portfolio", "_before", F.posexplode("values").alias("_i", "value")).select("portfolio", (F.col("_before") + F.col("_i") + 1).alias("i"), "value")
 
 
+def with_dates(values: DataFrame, bars: DataFrame, allocations: DataFrame, start: str, end: str, ordinal: str = "symbol", whole_end_day: bool = False) -> DataFrame:
+    """(portfolio, i, value) of series paired by position, and ts: the time of the i-th bar of the portfolio's first symbol, by a column of allocations (names, if none is given)."""
+    first = allocations.where(F.col("portfolio").isNotNull() & F.col("symbol").isNotNull()).groupBy("portfolio").agg(F.min_by("symbol", ordinal).alias("symbol"))
+    part = timeframe.between_days(bars, start, end, whole_end_day=whole_end_day)
+    placed = indicators.positions(part).select("symbol", F.col("rn").alias("i"), "ts")
+    return values.join(first, "portfolio").join(placed, ["symbol", "i"], "left").drop("symbol")
+
+
 def metrics_all(status: DataFrame, found: DataFrame, amount: float, start: str, end: str, risk_free: float = 0.05, per_year: int = 252) -> DataFrame:
     """(portfolio, status, total_return, cagr, max_drawdown, volatility, sharpe), a row for each portfolio; nulls where the status isn't ok or no position is shared."""
     years = scalar.year_fraction(F.to_date(F.lit(start)), F.to_date(F.lit(end)))

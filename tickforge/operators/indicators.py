@@ -21,14 +21,15 @@ SLICE_ROWS = 1 << 16
 LEAST_WEIGHT = 1e-20
 
 
-def positions(bars: DataFrame, ts: str = "ts", by: tuple[str, ...] = ("symbol",), bucket: str = "day", tie: str | None = None) -> DataFrame:
+def positions(bars: DataFrame, ts: str = "ts", by: tuple[str, ...] = ("symbol",), bucket: str = "day", tie: str | None = None, total: str | None = None) -> DataFrame:
     """bars and rn, the row's number in its symbol from 1: counts by day (or a wider bucket) are summed up first, then rows are numbered in their day (`tie` orders rows of one moment).
 
-    No task sees more than one symbol's days or one day's rows.
+    No task sees more than one symbol's days or one day's rows. `total` names a column for how many rows the symbol has, from the same counts.
     """
     day = F.date_trunc(bucket, ts)
     before = bars.groupBy(*by, day.alias("_day")).agg(F.count("*").alias("_n"))
-    before = before.select(*by, "_day", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_day")) - F.col("_n")).alias("_before"))
+    whole = [F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []
+    before = before.select(*by, "_day", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_day")) - F.col("_n")).alias("_before"), *whole)
     within = F.row_number().over(Window.partitionBy(*by, "_day").orderBy(*([ts, tie] if tie else [ts])))
     return bars.withColumn("_day", day).join(before, [*by, "_day"]).withColumn("rn", F.col("_before") + within).drop("_day", "_before")
 
@@ -136,7 +137,7 @@ def with_last(numbered: DataFrame) -> DataFrame:
 
 def latest_ema(bars: DataFrame, period: int, price: str = "close", ts: str = "ts") -> DataFrame:
     """(symbol, ema): the last exponential average of each symbol."""
-    numbered = with_last(bars if "rn" in bars.columns else positions(bars, ts))
+    numbered = with_last(bars) if "rn" in bars.columns else positions(bars, ts, total="n")
     return numbered.groupBy("symbol").agg(ema_aggregate(period, price, F.col("n")).alias("ema"))
 
 

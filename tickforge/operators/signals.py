@@ -79,7 +79,7 @@ def latest_indicators(bars: DataFrame) -> DataFrame:
 
     One window stage over slices, then partial aggregates.
     """
-    numbered = indicators.with_last(indicators.positions(bars))
+    numbered = indicators.positions(bars, total="n")
 
     def windows(cut: DataFrame) -> DataFrame:
         averaged = indicators.with_rsi(indicators.with_sma(cut, [50, 200]), 14)

@@ -34,8 +34,10 @@ def portfolio_table_by_date(spark, d):
 
 
 def portfolio_table_values(spark, d):
-    _, found = backtest.simulate_all(adapters.brand_bars(spark, d), adapters.customer_mix(spark, d, "p_brand"), AMOUNT, START, SHORT_END)
-    return backtest.series(found).select("portfolio", F.col("i").cast("long").alias("i"), r("value", 2))
+    bars, mixes = adapters.brand_bars(spark, d), adapters.customer_mix(spark, d, "p_brand")
+    _, found = backtest.simulate_all(bars, mixes, AMOUNT, START, SHORT_END)
+    dated = backtest.with_dates(backtest.series(found), bars, mixes, START, SHORT_END)
+    return dated.select("portfolio", F.col("i").cast("long").alias("i"), "ts", r("value", 2))
 
 
 def _risks(found):
@@ -218,7 +220,7 @@ SELECT symbol, ts, round(CASE WHEN rn <= {LONG[0]} THEN NULL WHEN loss = 0 THEN
     "next_purchase": (_purchases(asof.AFTER), _nearest_sql("p.ts >= t.ts")),
     "portfolio_table": (portfolio_table, _measured("p_brand", "i")),
     "portfolio_table_by_date": (portfolio_table_by_date, _measured("l_returnflag", "ts")),
-    "portfolio_table_values": (portfolio_table_values, f"WITH {_simulated('p_brand', SHORT_END, 'i')} SELECT portfolio, k AS i, round(value, 2) AS value FROM values_"),
+    "portfolio_table_values": (portfolio_table_values, f"WITH {_simulated('p_brand', SHORT_END, 'i')} SELECT v.portfolio, k AS i, p.ts, round(value, 2) AS value FROM values_ v JOIN (SELECT portfolio, min(symbol) AS symbol FROM w GROUP BY 1) f USING (portfolio) LEFT JOIN part_ p ON p.symbol = f.symbol AND p.i = v.k"),
     **{
         name: (
             _supplier_correlation(align),
