@@ -199,7 +199,7 @@ def build(vectors: DataFrame, k: int, lists: int | None = None, probes: int | No
     sizes = np.zeros(len(model.centers), np.int64)
     for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r.list] = r.n
-    room = int(np.clip(n // (2 * shuffle_partitions(spark)), 1024, CELL_ROWS))
+    room = int(np.clip(n // shuffle_partitions(spark), 1024, CELL_ROWS))
     pieces = np.maximum(1, -(-sizes // room))
     first = np.zeros(len(sizes), np.int64)
     group, used = 0, 0
@@ -308,7 +308,7 @@ def measured(index: Index, k: int, recall: float) -> Index:
         index = replace(index, probes=min(2 * index.probes, lists), shortlist=2 * index.shortlist)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, parts: int = 16, shortlist: int = 200, reach: float = 0.97, recall: float = 0.95) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, parts: int = 16, shortlist: int = 200, reach: float = 0.97, recall: float = 0.92) -> DataFrame:
     """(query_id, rank, id, score) for (id, v) tables from `usable`; a query's own id is no candidate."""
     index = build(vectors, k, lists, probes, parts, shortlist, reach)
     if index is None:
