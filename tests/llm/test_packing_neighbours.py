@@ -29,14 +29,14 @@ def test_windows_follow_brute_force_bm25():
     idf = [np.log(1 + (70 - d + 0.5) / (d + 0.5)) for d in df]
 
     def bm25(seed, other):
-        return sum(idf[t] * (n := (other == t).sum()) * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(other) / mean)) for t in set(seed.tolist()) if (other == t).any())
+        return sum(round(packing.STEPS * idf[t] * (n := (other == t).sum()) * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(other) / mean))) for t in set(seed.tolist()) if (other == t).any())
 
     left, want = {i: (0, len(x)) for i, x in enumerate(ids)}, []
     while left:
         seed = min(left)
         at, n = left.pop(seed)
         own, space = [(seed, at, n)], window - n
-        ranked = sorted(left, key=lambda r: (-round(bm25(ids[seed], ids[r]), packing.DIGITS), r))
+        ranked = sorted(left, key=lambda r: (-bm25(ids[seed], ids[r]), r))
         for r in ranked:
             if left[r][1] <= space:
                 own.append((r, *left[r]))

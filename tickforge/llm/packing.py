@@ -30,7 +30,9 @@ from .tokens import default_path, encoded, small_batches
 WINDOW, SHARD = 2048, 2048
 #: Of the tree that deals remainders: latent axes, remainders they are fitted to, sampled remainders a leaf and in all.
 AXES, LATENT, LEAF_SAMPLE, SAMPLE = 32, 4096, 64, 1 << 15
-K1, B, DIGITS = 1.2, 0.75, 6
+K1, B = 1.2, 0.75
+#: BM25 weights are whole numbers of steps, so that sums are exact in any order, and the numbers small.
+STEPS = 4096
 
 
 def crc(ids: bytes, dtype: np.dtype) -> int:
@@ -149,7 +151,7 @@ class Shard:
         token, tf, row = np.concatenate(tokens).astype(np.int64), np.concatenate(counts), np.concatenate(rows)
         lengths = np.array([len(x) for x in ids])
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean))
+        weight = np.rint(STEPS * idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean))).astype(np.int32)
         self.size = np.append(0, np.cumsum([len(t) for t in tokens]))
         self.own = token
         order = np.argsort(token, kind="stable")
@@ -161,19 +163,18 @@ class Shard:
         common = np.flatnonzero(self.ends - self.begins > max(1, self.n // 8))
         self.line = np.full(len(df), -1)
         self.line[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n))
+        self.dense = np.zeros((len(common), self.n), np.int32)
         for k, t in enumerate(common.tolist()):
             own = slice(self.begins[t], self.ends[t])
             self.dense[k, self.rows[own]] = self.weights[own]
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of each remainder for all ids of the seed."""
+        """BM25 of each remainder for all ids of the seed, in steps of 1 / STEPS."""
         token = self.own[self.size[seed] : self.size[seed + 1]]
         line = self.line[token]
         rare = token[line < 0]
         at = ranges(self.begins[rare], self.ends[rare] - self.begins[rare])
-        found = np.bincount(self.rows[at], self.weights[at], self.n) + self.dense[line[line >= 0]].sum(axis=0)
-        return np.round(found, DIGITS)  # sums in another order are the same score
+        return np.bincount(self.rows[at], self.weights[at], self.n) + self.dense[line[line >= 0]].sum(axis=0, dtype=np.int32)
 
 
 def fill(ids: list[np.ndarray], index: Shard, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
