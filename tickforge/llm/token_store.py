@@ -19,6 +19,7 @@ of a doc_id, equal or not, are written and read back each, next to each other in
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from array import array
 
@@ -35,11 +36,18 @@ ROLL, LEAST, MEAN, MOST = 8, 64, 512, 4096
 NAME, RUN = 16, 4096
 
 
+@functools.cache
+def small_ids() -> np.ndarray:
+    """The hash of each id of two bytes."""
+    return mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 def chunk_ends(blobs: list[bytes], dtype: np.dtype) -> list[list[int]]:
     """Where the chunks of each document's ids end."""
     sizes = [len(x) // dtype.itemsize for x in blobs]
-    ids = np.frombuffer(b"".join(blobs), dtype).astype(np.uint64)
-    cuts = np.flatnonzero(hash_windows(mix(ids + np.uint64(1)), ROLL) & np.uint64(MEAN - 1) == 0) + ROLL
+    ids = np.frombuffer(b"".join(blobs), dtype)
+    hashes = small_ids()[ids] if dtype.itemsize == 2 else mix(ids.astype(np.uint64) + np.uint64(1))
+    cuts = np.flatnonzero(hash_windows(hashes, ROLL) & np.uint64(MEAN - 1) == 0) + ROLL
     begin, out = 0, []
     where = np.searchsorted(cuts, np.cumsum([0, *sizes])).tolist()
     all_cuts = cuts.tolist()
@@ -86,7 +94,7 @@ def chunked_ids(docs: DataFrame, path: str, kind: str, end_id: int, id_col: str,
     """(doc_id, names, lengths, ids): one row a document."""
 
     def work(batches):
-        for b in small_batches(batches):
+        for b in small_batches(batches, 1000):  # hashes take 8 bytes an id, several times over
             names, lengths, blobs, width, dtype = [], [], [], 0, np.dtype("<u2")
             for _, ids, dtype in encoded(b.column(1).cast(pa.binary()), path, kind, end_id):
                 width = dtype.itemsize
