@@ -178,7 +178,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     offsets = np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter(map(digest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    hashes = np.fromiter(map(digest, words.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(words.dictionary))
     return hashes[words.indices.to_numpy()] if len(starts) else hashes
 
 

@@ -137,7 +137,7 @@ class Encoder:
         odd = self._odd(texts)
         words, first = self._units([b"" if o else t for t, o in zip(texts, odd)])
         coded = words.dictionary_encode()
-        units = coded.dictionary.to_pylist()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # bytes, ten times as fast as to_pylist
         ids = list(map(self.known.get, units))
         for i in [i for i, x in enumerate(ids) if x is None]:
             ids[i] = self._learn(units[i])
