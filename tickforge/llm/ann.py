@@ -18,6 +18,11 @@ are codes and queries.
 Recall is measured on the finished index: `TRIALS` rows are searched exactly over all rows (one pass, a bounded top a task)
 and through the index; while it found less than `recall` of their neighbours, probes and shortlist are doubled.
 
+A recall that holds on average says nothing about one query, so an exact check follows. A query's k-th distance found is
+a bound; each list's least and greatest distance from its centroid tell which lists can hold a row within it (triangle inequality).
+The query goes to these lists once more, where distances are exact, and the least k are kept: what codes, shortlist or probes
+missed comes in, ties too. Vectors with clusters rule out most lists, noise rules out none: its work grows with queries times rows.
+
 Nulls and edge cases: vectors that are null, zero, of another length than most (ties: the shorter), or hold null or
 non-finite components take no part, nor do null ids; repeated rows of an id count once (the least vector);
 extra columns stay out; with fewer candidates all found are returned, and lists are added for a query until its
@@ -26,6 +31,7 @@ probes hold `shortlist` rows or there are no more; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -155,7 +161,7 @@ def search_cell(model: Model, lists: np.ndarray, ids: np.ndarray, codes: np.ndar
 
 @dataclass
 class Index:
-    """Stored rows (list, id, code, bias) of distinct vectors (id, v, ids), and how lists are packed into groups."""
+    """Stored rows (list, id, code, bias, gap, v; gap: distance from the centroid) of distinct vectors (id, v, ids), and how lists are packed into groups."""
 
     distinct: DataFrame
     stored: DataFrame
@@ -163,6 +169,8 @@ class Index:
     probes: int
     shortlist: int
     sizes: np.ndarray  # rows of each list
+    least: np.ndarray  # distances of its nearest and farthest row from its centroid
+    most: np.ndarray
     first: np.ndarray  # each list's first group, and how many it takes
     pieces: np.ndarray
 
@@ -191,14 +199,16 @@ def build(vectors: DataFrame, k: int, lists: int | None = None, probes: int | No
     def to_lists(batches):
         for b in batches:
             if b.num_rows:
-                at, codes, bias = held.value.encode(matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(bias)], names=["list", "id", "code", "bias"])
+                x = matrix(b.column(1))
+                at, codes, bias = held.value.encode(x)
+                gap = np.sqrt(((x - held.value.centers[at]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(bias), pa.array(gap), b.column(1)], names=["list", "id", "code", "bias", "gap", "v"])
 
-    stored = save(distinct.select("id", "v").mapInArrow(to_lists, "list int, id long, code binary, bias double"), "ivf")
+    stored = save(distinct.select("id", "v").mapInArrow(to_lists, f"list int, id long, code binary, bias double, gap double, v {dict(distinct.dtypes)['v']}"), "ivf")
     # One row a list, at most 4,096: lists are packed into groups, side by side; one that is larger than a group is cut.
-    sizes = np.zeros(len(model.centers), np.int64)
-    for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect():
-        sizes[r.list] = r.n
+    sizes, least, most = np.zeros(len(model.centers), np.int64), np.zeros(len(model.centers)), np.zeros(len(model.centers))
+    for r in stored.groupBy("list").agg(F.count("*").alias("n"), F.min("gap").alias("least"), F.max("gap").alias("most")).collect():
+        sizes[r.list], least[r.list], most[r.list] = r.n, r.least, r.most
     room = int(np.clip(n // shuffle_partitions(spark), 1024, CELL_ROWS))
     pieces = np.maximum(1, -(-sizes // room))
     first = np.zeros(len(sizes), np.int64)
@@ -208,57 +218,81 @@ def build(vectors: DataFrame, k: int, lists: int | None = None, probes: int | No
             group, used = group + (used > 0), 0
         first[at] = group
         group, used = (group + cut, 0) if cut > 1 else (group, used + size)
-    return Index(distinct, stored, model, probes, shortlist, sizes, first, pieces)
+    return Index(distinct, stored, model, probes, shortlist, sizes, least, most, first, pieces)
 
 
-def shortlists(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, id): for each query (id, v), the least of all its lists by their codes, the index's `shortlist` of them."""
-    spark, probes, shortlist = queries.sparkSession, index.probes, index.shortlist
-    held, deal = spark.sparkContext.broadcast(index.model), spark.sparkContext.broadcast((index.sizes, index.first, index.pieces))
+def to_groups(index: Index, queries: DataFrame, choose: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]) -> DataFrame:
+    """(g, id, q, far, probes): a query (id, v, far) for each group that has one of the lists that `choose` gives it; probes: its lists as bits."""
+    deal = queries.sparkSession.sparkContext.broadcast((index.sizes, index.first, index.pieces))
 
-    def to_groups(batches):
+    def work(batches):
         size, begin, cut = deal.value
         for b in batches:
             if not b.num_rows:
                 continue
-            order = np.argsort(distances(matrix(b.column(1)), held.value.centers), axis=1, kind="stable")
-            enough = (np.cumsum(size[order], axis=1) < shortlist).sum(axis=1) + 1  # lists until they hold a shortlist
-            for i, (own, m) in enumerate(zip(order, np.maximum(enough, probes))):
-                own = own[:m][size[own[:m]] > 0]
+            for i, own in enumerate(choose(matrix(b.column(1)), b.column(2).to_numpy())):
+                own = own[size[own] > 0]
+                if not len(own):
+                    continue
                 mask = np.zeros(len(size), bool)
                 mask[own] = True
                 groups = np.unique(np.concatenate([np.arange(begin[a], begin[a] + cut[a]) for a in own]))
                 blob = np.packbits(mask, bitorder="little").tobytes()
                 part = b.slice(i, 1).take(pa.array(np.zeros(len(groups), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(groups), part.column(0), part.column(1), pa.array([blob] * len(groups), pa.binary())], names=["g", "id", "q", "probes"])
+                yield pa.RecordBatch.from_arrays([pa.array(groups), *part.columns, pa.array([blob] * len(groups), pa.binary())], names=["g", "id", "q", "far", "probes"])
+
+    return save(queries.select("id", F.col("v").cast("array<double>"), "far").mapInArrow(work, "g long, id long, q array<double>, far double, probes binary"), "asked")
+
 
-    asked = save(queries.select("id", F.col("v").cast("array<double>")).mapInArrow(to_groups, "g long, id long, q array<double>, probes binary"), "asked")
+def in_cells(index: Index, asked: DataFrame, columns: list[str], search: Callable, out: str) -> DataFrame:
+    """What `search` gives for a cell's stored rows (list, id and the columns) and its queries (id, q, far, bits of lists)."""
+    spark = asked.sparkSession
     # A group has as many chunks as its own queries fill; groups without any aren't sent at all.
     chunks = asked.groupBy("g").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("chunks"))
     salt = F.abs(F.xxhash64("id"))
     table = F.broadcast(spark.createDataFrame([(k_, int(a), int(c)) for k_, (a, c) in enumerate(zip(index.first, index.pieces))], "list int, first long, pieces long"))
-    dealt = index.stored.join(table, "list").select((F.col("first") + salt % F.col("pieces")).alias("g"), "id", "list", "code", "bias")
-    rows = dealt.join(chunks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "id", "list", "code", "bias", F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("binary").alias("probes"))
-    asks = asked.join(chunks, "g").select("g", (salt % F.col("chunks")).cast("int").alias("j"), "id", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("bias"), "q", "probes")
+    dealt = index.stored.join(table, "list").select((F.col("first") + salt % F.col("pieces")).alias("g"), "id", "list", *columns)
+    rows = dealt.join(chunks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "id", "list", *columns)
+    asks = asked.join(chunks, "g").select("g", (salt % F.col("chunks")).cast("int").alias("j"), "id", "q", "far", "probes")
 
     def cell(t: pa.Table) -> pa.Table:
-        is_row = np.asarray(t.column("code").is_valid())
+        is_row = np.asarray(t.column("list").is_valid())
         rows, asks = t.filter(pa.array(is_row)), t.filter(pa.array(~is_row))
         if not len(rows) or not len(asks):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float64())})
-        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), out: pa.array([], pa.float64())})
         bits = np.frombuffer(b"".join(asks.column("probes").to_pylist()), np.uint8).reshape(len(asks), -1)
-        found = search_cell(held.value, rows.column("list").to_numpy(), rows.column("id").to_numpy(), codes, rows.column("bias").to_numpy(), asks.column("id").to_numpy(), matrix(asks.column("q")), bits, shortlist)
-        return pa.table({"query_id": found[0], "id": found[1], "near": found[2]})
+        found = search(rows, asks.column("id").to_numpy(), matrix(asks.column("q")), asks.column("far").to_numpy(), bits)
+        return pa.table({"query_id": found[0], "id": found[1], out: found[2]})
 
-    found = rows.unionByName(asks).groupBy("g", "j").applyInArrow(cell, "query_id long, id long, near double")
-    least = Window.partitionBy("query_id").orderBy("near", "id")
-    return save(found.withColumn("place", F.row_number().over(least)).where(F.col("place") <= shortlist).select("query_id", "id"), "shortlists")
+    return rows.unionByName(asks, allowMissingColumns=True).groupBy("g", "j").applyInArrow(cell, f"query_id long, id long, {out} double")
 
 
-def reranked(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, score): the k exactly nearest of each query's shortlist, copies told apart; a query's own id is no candidate."""
-    chosen = shortlists(index, queries)
+def least(found: DataFrame, by: str, n: int) -> DataFrame:
+    """(query_id, id): each query's n least."""
+    order = Window.partitionBy("query_id").orderBy(by, "id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("query_id", "id")
+
+
+def shortlists(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, id): for each query (id, v), the least of all its lists by their codes, the index's `shortlist` of them."""
+    probes, shortlist, size = index.probes, index.shortlist, index.sizes
+    held = queries.sparkSession.sparkContext.broadcast(index.model)
+
+    def nearest_lists(q, far):
+        order = np.argsort(distances(q, held.value.centers), axis=1, kind="stable")
+        enough = (np.cumsum(size[order], axis=1) < shortlist).sum(axis=1) + 1  # lists until they hold a shortlist
+        return (own[:m] for own, m in zip(order, np.maximum(enough, probes)))
+
+    def by_codes(rows, query_ids, q, far, bits):
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
+        return search_cell(held.value, rows.column("list").to_numpy(), rows.column("id").to_numpy(), codes, rows.column("bias").to_numpy(), query_ids, q, bits, shortlist)
+
+    asked = to_groups(index, queries.select("id", "v", F.lit(float("inf")).alias("far")), nearest_lists)
+    return save(least(in_cells(index, asked, ["code", "bias"], by_codes, "near"), "near", shortlist), "shortlists")
+
+
+def ranked(index: Index, chosen: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score): the k exactly nearest of each query's chosen vectors, copies told apart; a query's own id is no candidate."""
     hot = heavy(chosen.groupBy("id").agg(F.count("*").alias("n")), "id")
     fetched = join_spread(chosen, index.distinct, "id", hot, ["query_id"]).join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     gap = F.zip_with("v", "q", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0)))
@@ -267,6 +301,63 @@ def reranked(index: Index, queries: DataFrame, k: int) -> DataFrame:
     return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def reranked(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score): the k exactly nearest of each query's shortlist."""
+    return ranked(index, shortlists(index, queries), queries, k)
+
+
+def check_cell(centers: np.ndarray, lists: np.ndarray, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, far: np.ndarray, probes: np.ndarray, n: int):
+    """(query, id, distance) of each query's n exactly nearest rows of a cell that are no farther than `far`."""
+    wanted = np.unpackbits(probes, axis=1, bitorder="little")[:, : len(centers)].astype(bool)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    order = np.argsort(lists, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(lists[order])) + 1):
+        at = lists[own[0]]
+        rest = x[own] - centers[at]  # small numbers, so products lose little
+        norms = (rest * rest).sum(axis=1)
+        asks, step = np.flatnonzero(wanted[:, at]), max(1, (1 << 20) // len(own))
+        for i in range(0, len(asks), step):
+            a = asks[i : i + step]
+            shift = q[a] - centers[at]
+            both = (shift * shift).sum(axis=1)[:, None] + norms[None, :]
+            row, col = np.nonzero(~(both - 2 * shift @ rest.T > far[a, None] ** 2 * (1 + 1e-9) + 1e-9 * both))
+            d = np.zeros(len(row))
+            for k in range(x.shape[1]):  # in the order that Spark adds in, so that ties are the same ones
+                d += (x[own[col], k] - q[a[row], k]) ** 2
+            d = np.sqrt(d)
+            near = ~(d > far[a[row]])
+            out.append(first_of(a[row[near]], ids[own[col[near]]], d[near], n))
+    at, found, d = first_of(*(np.concatenate(c) for c in zip(*out)), n)
+    return query_ids[at], found, d
+
+
+def first_of(group: np.ndarray, ids: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n rows of each group that are least by (d, id)."""
+    order = np.lexsort((ids, d, group))
+    group, ids, d = group[order], ids[order], d[order]
+    kept = np.arange(len(group)) - np.searchsorted(group, group) < n
+    return group[kept], ids[kept], d[kept]
+
+
+def completed(index: Index, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The exact k nearest of each query, as `ranked`: all lists that can hold a vector as near as the k-th of `found` are looked into."""
+    centers = queries.sparkSession.sparkContext.broadcast(index.model.centers)
+    least_gap, most_gap = index.least, index.most
+
+    def near_lists(q, far):
+        for one, bound in zip(q, far):
+            gap = np.sqrt(((centers.value - one) ** 2).sum(axis=1))
+            yield np.flatnonzero(~(np.maximum(gap - most_gap, least_gap - gap) > bound + 1e-9 * (gap + most_gap)))
+
+    def by_vectors(rows, query_ids, q, far, bits):
+        return check_cell(centers.value, rows.column("list").to_numpy(), rows.column("id").to_numpy(), matrix(rows.column("v")), query_ids, q, far, bits, k + 1)
+
+    bounds = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("score")).alias("far"))
+    bounded = queries.join(bounds, "id", "left").select("id", "v", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+    checked = in_cells(index, to_groups(index, bounded, near_lists), ["v"], by_vectors, "d")
+    return ranked(index, save(least(checked, "d", k + 1), "checked"), queries, k)  # one more: its own vector
+
+
 def exact_distances(index: Index, queries: DataFrame, k: int) -> dict[int, float]:
     """query id -> the distance of its k-th nearest distinct vector (of the last, if there are fewer), by a pass over all; queries: a bounded few."""
     asked = [(r.id, r.v) for r in queries.collect()]
@@ -309,11 +400,12 @@ def measured(index: Index, k: int, recall: float) -> Index:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, parts: int = 16, shortlist: int = 200, reach: float = 0.97, recall: float = 0.92) -> DataFrame:
-    """(query_id, rank, id, score) for (id, v) tables from `usable`; a query's own id is no candidate."""
+    """(query_id, rank, id, score) for (id, v) tables from `usable`, exactly the k nearest; a query's own id is no candidate."""
     index = build(vectors, k, lists, probes, parts, shortlist, reach)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
-    return reranked(measured(index, k, recall), queries, k)
+    index = measured(index, k, recall)
+    return completed(index, reranked(index, queries, k), queries, k)
 
 
 def op1_ann(spark, sf_dir: str) -> DataFrame:
