@@ -20,12 +20,16 @@ from .common import LOWER, RUN_BYTES, SPACED, bytes_of, ranges, runs
 
 #: Words that a worker remembers (some 100 MB); common ones come early.
 CACHE = 500_000
+#: Runs of marks at words' ends that a worker remembers.
+TAILS = 4096
 #: White space other than single spaces and line feeds: such texts are encoded whole.
 ODD = re.compile(rb"[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8\xa9\xaf]|\x81[\x9f\xa0])|\xe3\x80\x80|\xef\xbb\xbf")
 #: Bytes that such white space begins with, in UTF-8.
 SUSPECT = np.zeros(256, bool)
 SUSPECT[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 MARKS = frozenset(b".,;:!?")
+#: A run of these after a letter is one token of 'byte's pre-tokenizer (an apostrophe may begin a contraction).
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27)
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -64,6 +68,7 @@ class Encoder:
         self.marks = {m: self._library(chr(m)) for m in MARKS}
         self.line = self._library("\n")
         self.space = self.alphabet[32] if kind == "byte" else ""
+        self.tails: dict[bytes, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -90,6 +95,9 @@ class Encoder:
         letters = self._letters(body)
         if letters is not None:
             ids = lead + self._pack([t.id for t in self.tokenize(space + letters)])
+        elif self.kind == "byte" and (head := body.rstrip(PUNCTUATION)) != body and head and head[-1] in LETTERS:
+            tail = len(body) - len(head)
+            ids = (self.known.get(unit[:-tail]) or self._learn(unit[:-tail])) + self._tail(unit[-tail:])
         elif len(body) > 1 and body[-1] in MARKS and body[-2] in LETTERS:  # a mark after a letter is always a token of its own
             ids = (self.known.get(unit[:-1]) or self._learn(unit[:-1])) + self.marks[body[-1]]
         elif self.kind == "byte":
@@ -100,6 +108,56 @@ class Encoder:
             self.known[unit] = ids
         return ids
 
+    def _tail(self, tail: bytes) -> bytes:
+        """The ids of a run of marks after a letter."""
+        ids = self.tails.get(tail)
+        if ids is None:
+            ids = self._library(tail.decode())
+            if len(self.tails) < TAILS:
+                self.tails[tail] = ids
+        return ids
+
+    def _learn_all(self, units: list[bytes]) -> list[bytes]:
+        """Packed ids of new units, those of 'byte' without a call for each: letters, and a run of marks after them."""
+        if self.kind == "word":
+            return [self._learn(u) for u in units]
+        out, known, tails, tokenize, space, code, alphabet, big = [], self.known, self.tails, self.tokenize, self.space, self.code, self.alphabet, sys.byteorder == "big"
+        room = CACHE - len(known)
+        for unit in units:
+            body, tail = unit.rstrip(PUNCTUATION), b""
+            if body != unit:
+                tail = unit[len(body) :]
+                ids = known.get(body) if body[-1:].isalpha() else None
+                if ids:
+                    out.append(ids + (tails.get(tail) or self._tail(tail)))
+                    if room > 0:
+                        known[unit] = out[-1]
+                        room -= 1
+                    continue
+            if body.isalpha():
+                letters = body.decode()
+            elif not tail or body[-1:].isalpha():
+                letters = body.decode("latin-1").translate(alphabet) if body.decode().isalpha() else ""
+            else:
+                letters = ""
+            if not letters:
+                out.append(self._learn(unit))
+                continue
+            packed = array(code, [t.id for t in tokenize(space + letters)])
+            if big:
+                packed.byteswap()
+            ids = packed.tobytes()
+            if tail:
+                if room > 1:
+                    known[body] = ids
+                    room -= 1
+                ids += tails.get(tail) or self._tail(tail)
+            out.append(ids)
+            if room > 0:
+                known[unit] = ids
+                room -= 1
+        return out
+
     def _units(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
         """The units of all texts side by side, and where each text's begin."""
         data = np.frombuffer(b"\0" + b"\0".join(texts), np.uint8)
@@ -139,8 +197,9 @@ class Encoder:
         coded = words.dictionary_encode()
         units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # bytes, ten times as fast as to_pylist
         ids = list(map(self.known.get, units))
-        for i in [i for i, x in enumerate(ids) if x is None]:
-            ids[i] = self._learn(units[i])
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, self._learn_all([units[i] for i in new])):
+            ids[i] = x
         width = self.dtype.itemsize
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
         at = coded.indices.to_numpy()
