@@ -92,3 +92,22 @@ def test_cut_and_scores_are_of_one_kind_of_model(spark):
     assert np.allclose(model.buckets, alone, atol=1e-4)
     scored = {r.doc_id: r.score for r in T.score(docs, model).collect()}
     assert np.mean([(scored[i] >= 0.5) == (i % 3 == 0) for i in range(150)]) > 0.98
+
+
+def test_training_holds_few_arrays_of_spans():
+    """A task's memory: 48 bytes a span at most in the sample's arrays of spans and in a training step together with them."""
+    import tracemalloc
+
+    from tickforge.llm import toxicity
+
+    words = [bytes([97 + i, 98 + j, 99]) for i in range(20) for j in range(20)]
+    rng = np.random.default_rng(2)
+    texts = [b" ".join(words[k] for k in rng.integers(0, 400, 2000)) for _ in range(300)]
+    sample = toxicity.Sample(texts)
+    spans = len(sample.doc)
+    assert sum(x.nbytes for x in (sample.begin, sample.doc, sample.size)) <= 9 * spans
+    tracemalloc.start()
+    toxicity.train(sample, (np.arange(300) % 2).astype(float), steps=(1, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - 40 * toxicity.BUCKETS * toxicity.DIM <= 48 * spans, (peak, spans)

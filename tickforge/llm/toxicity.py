@@ -121,33 +121,47 @@ class Sample:
         ids: dict[bytes, int] = {}
         docs = [np.array([ids.setdefault(clean_word(w), len(ids)) for w in t.split() or [b""]], np.int32) for t in texts]
         vocab = list(ids)
+        del ids  # what isn't needed any more goes at once: a task's peak is here
         own, at = [], []
         for i in range(0, len(vocab), 20_000):
             o, a = features(vocab[i : i + 20_000])
             own.append((o + i).astype(np.int32))
             at.append(a.astype(np.int32))
-        own, at = np.concatenate(own), np.concatenate(at)
-        order = np.argsort(own, kind="stable")
-        self.words, self.at = np.concatenate(docs), at[order]
-        self.n, self.per = len(vocab), np.bincount(own, minlength=len(vocab)).astype(np.float32)
+        self.n = len(vocab)
+        del vocab
+        own = np.concatenate(own)
+        at = np.concatenate(at)
+        order = np.argsort(own, kind="stable").astype(np.int32)
+        self.at = at[order]
+        del order
+        self.words, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+        del docs
+        self.per = np.bincount(own, minlength=self.n).astype(np.float32)
         self.word_begin = np.cumsum(self.per).astype(np.int64) - self.per.astype(np.int64)
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at, kind="stable").astype(np.int32)
         self.own = own[order]
-        self.used, self.used_begin = np.unique(at[order], return_index=True)
-        sizes = np.array([len(d) for d in docs])
+        del own
+        at = at[order]
+        del order
+        self.used_begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        self.used = at[self.used_begin]
+        del at
         first = np.cumsum(sizes) - sizes
         counts = np.maximum(sizes - span + 1, 1)
-        self.begin = ranges(first, counts)
-        self.doc = np.repeat(np.arange(len(docs)), counts)
+        self.begin = ranges(first, counts).astype(np.int32)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
         self.doc_begin = np.cumsum(counts) - counts
-        self.size = np.minimum(sizes, span)[self.doc]
+        self.size = np.minimum(sizes, span).astype(np.uint8)[self.doc]
         self.spans = counts
 
     def logits(self, per_bucket: np.ndarray) -> np.ndarray:
         """Of each span, without the softmax's offset."""
         word = np.add.reduceat(per_bucket[self.at], self.word_begin) / self.per
         sums = np.concatenate(([0.0], np.cumsum(word[self.words], dtype=float)))
-        return (sums[self.begin + self.size] - sums[self.begin]) / self.size
+        found = sums[self.begin + self.size]
+        found -= sums[self.begin]
+        found /= self.size
+        return found
 
     def gradient(self, of_spans: np.ndarray) -> np.ndarray:
         """Of the used buckets, for a gradient of the spans' logits."""
@@ -167,8 +181,8 @@ def train(sample: Sample, labels: np.ndarray, steps: tuple[int, int] = (30, 60),
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    y = labels[sample.doc]
-    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())[sample.doc]
+    y = labels.astype(np.int8)[sample.doc]
+    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())  # of a document
     for t in range(1, sum(steps) + 1):
         e, w, b = params
         u = w[:, 1] - w[:, 0]
@@ -178,7 +192,16 @@ def train(sample: Sample, labels: np.ndarray, steps: tuple[int, int] = (30, 60),
         else:
             part = np.exp(z - np.maximum.reduceat(z, sample.doc_begin)[sample.doc])
             part /= np.add.reduceat(part, sample.doc_begin)[sample.doc]
-        d = share * part * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        # In place: spans are many, and each array of theirs counts.
+        np.clip(z, -30, 30, out=z)
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        np.divide(1, z, out=z)
+        z -= y
+        part *= share[sample.doc]
+        part *= z
+        d = part
         of_buckets = sample.gradient(d)
         held = e[sample.used]
         of_e = np.zeros_like(e)
