@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, vocab: int, windo
             rows = []
             for i, ids, dtype in encoded(b.column(1).cast(pa.binary()), path, kind, end_id):
                 n, w = len(ids) // dtype.itemsize, dtype.itemsize
-                df[np.unique(np.frombuffer(ids, dtype))] += 1
+                df[np.frombuffer(ids, dtype)] += 1  # once for each distinct id, however often it occurs
                 documents += 1
                 total += n
                 tails += n % window > 0
@@ -192,21 +192,18 @@ def fill(ids: list[np.ndarray], index: Shard, window: int = WINDOW) -> list[list
         left[seed] = 0
         if space:
             score = index.scores(seed)
-            near = np.flatnonzero(left)
-            near = near[np.argsort(-score[near], kind="stable")]
-            sizes, rest = left[near].tolist(), []
-            for r, n in zip(near.tolist(), sizes):
-                if n <= space:
-                    window_of.append((r, int(begin[r]), n))
-                    space -= n
-                    begin[r] += n
-                    left[r] = 0
-                    if not space:
-                        break
-                elif not rest:
-                    rest.append(r)
-            if space and rest:  # all that is left is longer than the space
-                r = rest[0]
+            near = np.flatnonzero((left > 0) & (left <= space))
+            while space and len(near):  # what doesn't fit now never will, so the best that fits is the next down the order
+                r = int(near[score[near].argmax()])
+                n = int(left[r])
+                window_of.append((r, int(begin[r]), n))
+                space -= n
+                begin[r] += n
+                left[r] = 0
+                size = left[near]
+                near = near[(size > 0) & (size <= space)]
+            if space and len(rest := np.flatnonzero(left)):  # all that is left is longer than the space
+                r = int(rest[score[rest].argmax()])
                 window_of.append((r, int(begin[r]), space))
                 begin[r] += space
                 left[r] -= space

@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER, RUN_BYTES, SPACED, bytes_of, ranges, runs
+from .common import LOWER, RUN_BYTES, SPACED, bytes_of, runs
 
 #: Words that a worker remembers (some 100 MB); common ones come early.
 CACHE = 500_000
@@ -27,10 +27,23 @@ ODD = re.compile(rb"[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?
 #: Bytes that such white space begins with, in UTF-8.
 SUSPECT = np.zeros(256, bool)
 SUSPECT[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
-MARKS = frozenset(b".,;:!?")
-#: A run of these after a letter is one token of 'byte's pre-tokenizer (an apostrophe may begin a contraction).
+#: A run of these after a letter or digit is one token of both pre-tokenizers (an apostrophe may begin a contraction).
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27)
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+MARK_BYTES, ALNUM_BYTES, LATIN_LEADS = np.zeros((3, 256), bool)
+MARK_BYTES[list(PUNCTUATION)] = True
+ALNUM_BYTES[[b for b in range(128) if chr(b).isalnum()]] = True
+#: First bytes of U+00C0 to U+017F, which are letters in either case, but for those whose second bytes are 0x97 and 0xB7 (signs) and
+#: 0xB0 (lower-casing U+0130 gives a mark).
+LATIN_LEADS[[0xC3, 0xC4, 0xC5]] = True
+LATIN_NEXT = np.zeros(256, bool)
+LATIN_NEXT[0x80:0xC0] = True
+LATIN_NEXT[[0x97, 0xB0, 0xB7]] = False
+#: Bytes of words, and those that aren't; bytes after which a unit of 'byte' is at its end.
+WORD_BYTES = SPACED.copy()
+WORD_BYTES[0] = False
+BLANKS = bytes(np.flatnonzero(~WORD_BYTES).tolist())
+BYTE_ENDS = np.zeros(256, bool)
+BYTE_ENDS[[0, 10, 32]] = True
 
 
 def default_path(name: str) -> str:
@@ -51,6 +64,8 @@ class Encoder:
 
     kind 'word': lower-casing, drops white space; a unit is a word. kind 'byte': byte-level, a word takes the space
     before it; a unit is a word without that space, or a line feed or (at a text's start) a zero byte and a word.
+    A run of marks that ends a word is a unit of its own, so that a word is known whatever marks follow it; for 'byte',
+    where no space comes before it, its first byte has the high bit set (no other unit has such a byte before none or one below 0x80).
     Letters alone are one token of the pre-tokenizer, so the library's model encodes them directly; all else goes
     through the whole library.
     """
@@ -65,7 +80,6 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.marks = {m: self._library(chr(m)) for m in MARKS}
         self.line = self._library("\n")
         self.space = self.alphabet[32] if kind == "byte" else ""
         self.tails: dict[bytes, bytes] = {}
@@ -84,29 +98,24 @@ class Encoder:
         if body.isalpha():
             return body.decode()
         text = body.decode()
+        if self.kind == "word" and max(text, default="") < "\u0100":
+            text = text.lower()  # as the normalizer does: one letter each, composed
         if text.isalpha() and (self.kind == "byte" or (text.lower() == text and unicodedata.is_normalized("NFC", text))):
-            return body.decode("latin-1").translate(self.alphabet)
+            return text.encode().decode("latin-1").translate(self.alphabet)
         return None
 
     def _learn(self, unit: bytes) -> bytes:
+        if self.kind == "byte" and unit[0] >= 0x80 and unit[1:2] < b"\x80":
+            return self._tail(bytes([unit[0] & 0x7F]) + unit[1:])
         lead, body, space = b"", unit, self.space
-        if self.kind == "byte" and unit and unit[0] in (0, 10):
+        if self.kind == "byte" and unit[0] in (0, 10):
             lead, body, space = self.line if unit[0] else b"", unit[1:], ""
         letters = self._letters(body)
         if letters is not None:
-            ids = lead + self._pack([t.id for t in self.tokenize(space + letters)])
-        elif self.kind == "byte" and (head := body.rstrip(PUNCTUATION)) != body and head and head[-1] in LETTERS:
-            tail = len(body) - len(head)
-            ids = (self.known.get(unit[:-tail]) or self._learn(unit[:-tail])) + self._tail(unit[-tail:])
-        elif len(body) > 1 and body[-1] in MARKS and body[-2] in LETTERS:  # a mark after a letter is always a token of its own
-            ids = (self.known.get(unit[:-1]) or self._learn(unit[:-1])) + self.marks[body[-1]]
-        elif self.kind == "byte":
-            ids = self._library(unit[1:].decode() if unit[:1] == b"\0" else unit.decode() if unit[:1] == b"\n" else " " + unit.decode())
-        else:
-            ids = self._library(unit.decode())
-        if len(self.known) < CACHE:
-            self.known[unit] = ids
-        return ids
+            return lead + self._pack([t.id for t in self.tokenize(space + letters)])
+        if self.kind == "byte":
+            return self._library(unit[1:].decode() if unit[:1] == b"\0" else unit.decode() if unit[:1] == b"\n" else " " + unit.decode())
+        return self._library(unit.decode())
 
     def _tail(self, tail: bytes) -> bytes:
         """The ids of a run of marks after a letter."""
@@ -118,94 +127,92 @@ class Encoder:
         return ids
 
     def _learn_all(self, units: list[bytes]) -> list[bytes]:
-        """Packed ids of new units, those of 'byte' without a call for each: letters, and a run of marks after them."""
-        if self.kind == "word":
-            return [self._learn(u) for u in units]
-        out, known, tails, tokenize, space, code, alphabet, big = [], self.known, self.tails, self.tokenize, self.space, self.code, self.alphabet, sys.byteorder == "big"
-        room = CACHE - len(known)
+        """Packed ids of new units; those of plain letters take no call but the model's."""
+        out, tokenize, space, code, big = [], self.tokenize, self.space, self.code, sys.byteorder == "big"
         for unit in units:
-            body, tail = unit.rstrip(PUNCTUATION), b""
-            if body != unit:
-                tail = unit[len(body) :]
-                ids = known.get(body) if body[-1:].isalpha() else None
-                if ids:
-                    out.append(ids + (tails.get(tail) or self._tail(tail)))
-                    if room > 0:
-                        known[unit] = out[-1]
-                        room -= 1
-                    continue
-            if body.isalpha():
-                letters = body.decode()
-            elif not tail or body[-1:].isalpha():
-                letters = body.decode("latin-1").translate(alphabet) if body.decode().isalpha() else ""
+            if unit.isalpha():
+                packed = array(code, [t.id for t in tokenize(space + unit.decode())])
+                if big:
+                    packed.byteswap()
+                out.append(packed.tobytes())
             else:
-                letters = ""
-            if not letters:
                 out.append(self._learn(unit))
-                continue
-            packed = array(code, [t.id for t in tokenize(space + letters)])
-            if big:
-                packed.byteswap()
-            ids = packed.tobytes()
-            if tail:
-                if room > 1:
-                    known[body] = ids
-                    room -= 1
-                ids += tails.get(tail) or self._tail(tail)
-            out.append(ids)
-            if room > 0:
-                known[unit] = ids
-                room -= 1
+        room = max(CACHE - len(self.known), 0)
+        self.known.update(zip(units[:room], out[:room]))
         return out
 
-    def _units(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
-        """The units of all texts side by side, and where each text's begin."""
-        data = np.frombuffer(b"\0" + b"\0".join(texts), np.uint8)
+    def _tails(self, data: np.ndarray, between: np.ndarray) -> np.ndarray:
+        """Where runs of marks begin that follow a letter or digit and end a unit: the pre-tokenizers always cut there."""
+        marks = MARK_BYTES[data]
+        turns = np.flatnonzero(marks[1:] != marks[:-1]) + 1
+        begins, ends = turns[::2], turns[1::2]
+        if len(ends) < len(begins):
+            ends = np.append(ends, len(data))
+        last, lead = data[begins - 1], data[begins - 2]
+        letter = ALNUM_BYTES[last] | (LATIN_LEADS[lead] & LATIN_NEXT[last])
+        return begins[letter & ((ends == len(data)) | between[data[np.minimum(ends, len(data) - 1)]])]
+
+    def _units(self, joined: bytes, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts side by side, and where each text's begin; joined: texts of these sizes, a zero byte before each."""
+        data = np.frombuffer(joined, np.uint8)
+        texts = np.append(0, np.cumsum(sizes + 1))
         if self.kind == "word":
-            data = LOWER[data]
-            inside = SPACED[data]
-            inside[data == 0] = False
+            inside = WORD_BYTES[data]
             starts = inside.copy()
             starts[1:] &= ~inside[:-1]
+            starts[self._tails(data, ~WORD_BYTES)] = True
+            begins = np.flatnonzero(starts)
+            offsets = np.append((np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)[begins]).astype(np.int64) - 1, 0)
+            body = joined.translate(LOWER.tobytes(), BLANKS)
         else:
-            inside = data != 32
             starts = (data == 0) | (data == 10)
-            starts[1:] |= ~inside[:-1]
-        begins = np.flatnonzero(starts)
-        ends = np.flatnonzero(data == 0)
-        kept = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
-        offsets = np.append(kept[begins] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
-        return words, np.searchsorted(begins, np.append(ends, len(data)))
-
-    def _odd(self, texts: list[bytes]) -> list[bool]:
+            starts[1:] |= data[:-1] == 32
+            starts[self._tails(data, BYTE_ENDS)] = True
+            begins = np.flatnonzero(starts)
+            spaced = data[begins - 1] == 32  # never the last byte, which the first unit looks at
+            offsets = np.append(begins - np.cumsum(spaced), 0)
+            own = data[begins]
+            tails = offsets[:-1][~spaced & (own != 0) & (own != 10)]
+            body = np.frombuffer(joined.translate(None, b" "), np.uint8).copy()
+            body[tails] |= 0x80
+        offsets[-1] = len(body)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        return words, np.searchsorted(begins, texts)
+
+    def _odd(self, texts: list[bytes], joined: bytes, sizes: np.ndarray) -> list[bool]:
         """Which texts have to be encoded whole: zero bytes, and for 'byte' white space other than single spaces and line feeds."""
+        if joined.count(0) == len(texts) and self.kind == "word":
+            return [False] * len(texts)
         if self.kind == "word":
             return [b"\0" in t for t in texts]
-        data = np.frombuffer(b"\0" + b"\0".join(texts), np.uint8)
-        ends = np.cumsum([0] + [len(t) + 1 for t in texts])
+        data = np.frombuffer(joined, np.uint8)
         space = (data == 32) | (data == 10)
         look = SUSPECT[data]
         look[1:] |= space[1:] & space[:-1]
-        suspects = set((np.searchsorted(ends, np.flatnonzero(look), "right") - 1).tolist())
+        suspects = set((np.searchsorted(np.append(0, np.cumsum(sizes + 1)), np.flatnonzero(look), "right") - 1).tolist())
         return [t[-1:] == b" " or (i in suspects and ODD.search(t) is not None) or b"\0" in t for i, t in enumerate(texts)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The packed ids of each text; a unit that recurs among the texts is looked up once."""
-        odd = self._odd(texts)
-        words, first = self._units([b"" if o else t for t, o in zip(texts, odd)])
+        if not texts:
+            return []
+        joined, sizes = b"\0" + b"\0".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        odd = self._odd(texts, joined, sizes)
+        if any(odd):
+            plain = [b"" if o else t for t, o in zip(texts, odd)]
+            joined, sizes = b"\0" + b"\0".join(plain), np.fromiter(map(len, plain), np.int64, len(plain))
+        words, first = self._units(joined, sizes)
         coded = words.dictionary_encode()
         units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # bytes, ten times as fast as to_pylist
         ids = list(map(self.known.get, units))
         new = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(new, self._learn_all([units[i] for i in new])):
             ids[i] = x
-        width = self.dtype.itemsize
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        at = coded.indices.to_numpy()
-        counts = sizes[at]
-        flat = np.frombuffer(b"".join(ids), self.dtype)[ranges((np.cumsum(sizes) - sizes)[at], counts)].tobytes()
-        cuts = (np.append(0, np.cumsum(counts))[first] * width).tolist()
+        offsets = np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(ids))])
+        taken = packed.take(coded.indices)
+        flat = taken.buffers()[2].to_pybytes() if len(taken) else b""
+        cuts = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[first].tolist() if len(taken) else [0] * len(first)
         return [self._library(t.decode()) if o else flat[i:j] for t, o, i, j in zip(texts, odd, cuts[:-1], cuts[1:])]
 
 
@@ -231,6 +238,6 @@ def encoded(texts, path: str, kind: str, end_id: int):
     e = encoder(path, kind)
     end = np.array([end_id], e.dtype).tobytes()
     _, offsets = bytes_of(texts)
-    for i, j in runs(offsets, 4 * RUN_BYTES):
+    for i, j in runs(offsets, 8 * RUN_BYTES):
         for k, ids in enumerate(e.encode([t or b"" for t in texts[i:j].to_pylist()])):
             yield i + k, ids + end, e.dtype
