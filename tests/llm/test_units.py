@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tickforge.llm import packing, tokens
+from tickforge.llm import packing, token_store, tokens
 
 FILES = {"word": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}
 
@@ -70,3 +70,22 @@ def test_windows_take_the_best_that_fits():
         rng = np.random.default_rng(case)
         ids = [np.zeros(n, np.uint16) for n in rng.integers(1, 40, 60)]
         assert packing.fill(ids, Index(), 40) == plain(ids, 40)
+
+
+def test_upper_case_latin_words_go_to_the_model(monkeypatch):
+    path, calls = tokens.default_path(FILES["word"]), []
+    e = tokens.Encoder(path, "word")
+    whole = e._library
+    monkeypatch.setattr(e, "_library", lambda t: calls.append(t) or whole(t))
+    words = [f"{c}a{c.lower()}" for c in map(chr, range(0xC0, 0xDF)) if c.isalpha()]
+    library = Tokenizer.from_file(path)
+    for w, ids in zip(words, e.encode([w.encode() for w in words])):
+        assert np.frombuffer(ids, e.dtype).tolist() == library.encode(w, add_special_tokens=False).ids
+    assert calls == []
+
+
+def test_chunks_do_not_depend_on_the_documents_beside():
+    rng = np.random.default_rng(1)
+    blobs = [rng.integers(0, 1000, n).astype("<u2").tobytes() for n in rng.integers(0, 6000, 40)]
+    alone = [token_store.chunk_ends([x], np.dtype("<u2"))[0] for x in blobs]
+    assert token_store.chunk_ends(blobs, np.dtype("<u2")) == alone == [e for i in range(0, 40, 7) for e in token_store.chunk_ends(blobs[i : i + 7], np.dtype("<u2"))]

@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hash_windows, heavy, join_spread, mix, new_path, save, shuffle_partitions
-from .tokens import default_path, encoded, small_batches
+from .tokens import default_path, encoded, forget, small_batches
 
 ROLL, LEAST, MEAN, MOST = 8, 64, 512, 4096
 NAME, RUN = 16, 4096
+#: Documents whose ids a task that writes or reads the store has unpacked at a time.
+ROWS = 500
 
 
 @functools.cache
@@ -94,12 +96,13 @@ def chunked_ids(docs: DataFrame, path: str, kind: str, end_id: int, id_col: str,
     """(doc_id, names, lengths, ids): one row a document."""
 
     def work(batches):
-        for b in small_batches(batches, 1000):  # hashes take 8 bytes an id, several times over
+        for b in small_batches(batches, 1000):
             names, lengths, blobs, width, dtype = [], [], [], 0, np.dtype("<u2")
             for _, ids, dtype in encoded(b.column(1).cast(pa.binary()), path, kind, end_id):
                 width = dtype.itemsize
                 blobs.append(ids)
-            for ids, ends in zip(blobs, chunk_ends(blobs, dtype)):
+            parts = (blobs[i : i + 500] for i in range(0, len(blobs), 500))  # hashes take 8 bytes an id, several times over
+            for ids, ends in ((x, e) for part in parts for x, e in zip(part, chunk_ends(part, dtype))):
                 begins = [0, *ends[:-1]]
                 names.append(b"".join([name_of(ids[i * width : j * width]) for i, j in zip(begins, ends)]))
                 lengths.append(array("I", [j - i for i, j in zip(begins, ends)]).tobytes())
@@ -123,7 +126,8 @@ def write_range(batches):
 
     marks: tuple[object, dict[bytes, bool]] = (None, {})
     seen: set[bytes] = set()
-    for b in batches:
+    forget()
+    for b in small_batches(batches, ROWS):
         rows = []
         for doc, mark, names, lengths, ids, width in zip(*(b.column(k).to_pylist() for k in range(6))):
             if mark is not None:
@@ -227,7 +231,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     joined = mixed.join(others, "row", "left").select(*columns, "others")
 
     def rebuild(batches):
-        for b in batches:
+        forget()
+        for b in small_batches(batches, ROWS):
             doc, part, start, n, width, root, names, lengths, own, others = (c.to_pylist() for c in b.columns)
             ids = [np.frombuffer(verify(m, s, r, w, o, {x["name"]: x["ids"] for x in e or ()}), f"<u{w}").astype("<u4").tobytes() for m, s, r, w, o, e in zip(names, lengths, root, width, own, others)]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([before[p] + s for p, s in zip(part, start)], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
