@@ -1,5 +1,6 @@
 """Correlation of many symbols: how tiles are sent, and strips that hold several blocks of symbols."""
 
+import datetime as dt
 import itertools
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.functions import scalar
-from tickforge.operators import correlation
+from tickforge.operators import compare, correlation
 
 
 def series_of(seed, symbols, length):
@@ -60,3 +61,27 @@ def test_half_away(spark):
     v = [0.0078125, -0.0078125, 0.1234564, -0.1234566, 1.0, -1.0, 0.0]
     got = [r.v for r in spark.createDataFrame([(x,) for x in v], "v double").select(scalar.half_away(F.col("v"), 6).alias("v")).collect()]
     assert got == [0.007813, -0.007813, 0.123456, -0.123457, 1.0, -1.0, 0.0]
+
+
+def test_days_in_two_ranges(spark, monkeypatch):
+    """Days a century apart are in two ranges, whose sums are added up by pair; only the days that there are get sent."""
+    start = dt.date(1901, 1, 1)
+    rng = np.random.default_rng(3)
+    days = {s: sorted({int(x) for x in rng.integers(0, 25, 15)} | {45_000 + int(x) for x in rng.integers(0, 25, 15)}) for s in "abcde"}
+    price = {(s, d): 10 + float(rng.random()) for s, own in days.items() for d in own}
+    rows = [(s, dt.datetime.combine(start + dt.timedelta(days=d), dt.time()), x) for (s, d), x in price.items()]
+    bytes_sent, plain = [], correlation._sent
+
+    def sent(*args):
+        out = plain(*args)
+        bytes_sent.append(out.agg(F.sum(F.length("cells") + F.length("x")).alias("n")).first().n)
+        return out
+
+    monkeypatch.setattr(correlation, "_sent", sent)
+    got = {(r.sym_a, r.sym_b): r for r in compare.correlation_matrix(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double"), "date").collect()}
+    rets = {s: {d: price[s, d] / price[s, before] - 1 for before, d in itertools.pairwise(own)} for s, own in days.items()}
+    assert bytes_sent == [12 * sum(map(len, rets.values()))]
+    assert got.keys() == set(itertools.product("abcde", repeat=2))
+    for (a, b), r in got.items():
+        shared = sorted(rets[a].keys() & rets[b].keys())
+        assert r.n == len(shared) > 2 and r["corr"] == pytest.approx(np.corrcoef([rets[a][d] for d in shared], [rets[b][d] for d in shared])[0, 1], abs=1e-9)
